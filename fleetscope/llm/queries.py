@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .packing import op2_best_fit_packing
+from .simhash import op3_simhash_near_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
 }
 
