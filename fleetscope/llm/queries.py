@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .packing import op2_best_fit_packing
+from .quality import op5_quality_rules
 from .simhash import op3_simhash_near_dedup
+from .substring import op6_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 SQL = {
