@@ -26,8 +26,9 @@ from .common import map_arrow
 
 RANKS = "byte_bpe_50k.tiktoken"
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Cuts a text only where every match of PATTERN ends: before a single blank or after a run of white space.
-CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+_PUNCTUATION, _LETTERS = "!-/:-@\\[-`{-~", "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Cuts a text only where every match of PATTERN ends: before a single blank, after a run of white space, between a letter or digit and punctuation.
+CHUNK = re.compile(f" ?[{_LETTERS}]+(?![^{_PUNCTUATION}{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
 
 class Vocabulary:
@@ -144,7 +145,7 @@ class Utf8Stream:
 class ChunkCache(dict):
     """The ids of a chunk as little-endian 32-bit words; filled on demand, emptied at a bound."""
 
-    def __init__(self, encode, most: int = 800_000) -> None:
+    def __init__(self, encode, most: int = 600_000) -> None:
         super().__init__()
         self.encode, self.most = encode, most
 

@@ -9,6 +9,7 @@ rank among those of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,12 +25,15 @@ from .common import Scratch, map_arrow
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END = 2048, 0
+#: Pieces of one length that are ranked together; a longer list is dealt over more salts.
+GROUP = 2_000
 
 
 class ChunkIds(dict):
     """The ids of text chunks by the tokenizers library, encoded a batch of new chunks at a time; emptied at a bound."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -40,11 +44,12 @@ class ChunkIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         chunked = [CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in self})
+        distinct = set().union(*chunked)
+        new = list(distinct.difference(self))
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list({c for chunks in chunked for c in chunks})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            new = list(distinct)
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
 
@@ -225,8 +230,8 @@ def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: i
     pieces = scratch.cut(pieces_of(docs, path, capacity))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     bins = fewest(histogram, capacity)
-    salts = max(64, sum(histogram.values()) // 200_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    lengths = docs.sparkSession.createDataFrame([(n, -(-c // GROUP)) for n, c in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.cut(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
