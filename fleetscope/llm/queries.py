@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
+from .embedding import op7_embedding_near_dedup
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
 from .simhash import op3_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
 }
 
 SQL = {
