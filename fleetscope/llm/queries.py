@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
+from .ctw import op9_context_tree_scores
 from .embedding import op7_embedding_near_dedup
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_context_tree_scores": op9_context_tree_scores,
 }
 
 SQL = {
