@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op4_bpe_round_trip
 from .ctw import op9_context_tree_scores
 from .embedding import op7_embedding_near_dedup
+from .html_extract import op10_html_extraction
+from .licenses import OP8_SQL, op8_license_scan
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
 from .simhash import op3_simhash_near_dedup
@@ -19,9 +21,12 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_context_tree_scores": op9_context_tree_scores,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {
     "op1_url_filter": OP1_SQL,
+    "op8_license_scan": OP8_SQL,
 }
