@@ -87,7 +87,7 @@ def branch_windows(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, runs: array<long>, windows: array<long>): what each document holds that starts in a smaller doc_id too."""
     runs = compacted(docs)
-    shared = runs.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("m")
+    shared = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")  # all that two documents share, and a few more
     hits = scratch.cut(runs.join(shared, "m").select("m", "run", "doc_id"))
     scratch.free()
     least = scratch.cut(hits.groupBy("m", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
@@ -101,6 +101,8 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = windows.groupBy("m", "w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     later = windows.join(first, ["m", "w"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("w").alias("windows"))
     out = scratch.cut(whole.join(later, "doc_id", "full"))
+    for done in (hits, least, windows):
+        scratch.drop(done)
     scratch.free()
     return out
 
