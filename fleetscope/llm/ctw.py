@@ -21,7 +21,7 @@ from .common import U64, Scratch, as_long, map_arrow, word_hashes
 DEPTH = 5
 #: A node needs this share of all bytes, a tabulated gram that; tokens whose counts are broadcast, at most.
 NODE_SHARE, GRAM_SHARE, MOST_TOKENS = 1 << 19, 1 << 21, 1 << 21
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def gram_blocks(texts: list[bytes], block: int = BLOCK):
@@ -56,30 +56,67 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return four
 
 
-def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    at, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return at, np.bincount(inverse, np.concatenate(counts), len(at)).astype(np.int64)
+class Tally:
+    """Counts of keys, merged now and then, so that memory follows the distinct keys."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.keys, self.counts, self.waiting, self.most = [], [], 0, most
+
+    def add(self, key: np.ndarray) -> None:
+        at, n = np.unique(key, return_counts=True)
+        self.keys.append(at)
+        self.counts.append(n)
+        self.waiting += len(at)
+        if self.waiting > self.most:
+            self.merge()
+            self.waiting = 0
+
+    def merge(self) -> int:
+        if len(self.keys) > 1:
+            key, n = np.concatenate(self.keys), np.concatenate(self.counts)
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.keys, self.counts = [key[first]], [np.add.reduceat(n, first)]
+        return len(self.keys[0]) if self.keys else 0
+
+    def batches(self, kind: int, size: int = 1 << 17):
+        n = self.merge()
+        for i in range(0, n, size):
+            key, count = self.keys[0][i : i + size], self.counts[0][i : i + size]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), as_long(key), pa.array(count.astype(np.int64))], names=["kind", "key", "n"])
+        self.keys, self.counts, self.waiting = [], [], 0
+
+
+#: Documents in Python's hands at a time; distinct keys that a task keeps.
+SLICE, MOST_KEPT = 1024, 4 << 20
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """(kind, key, n) over a column ``text``: kind 0 words by XXH64, 1 grams by code, 2 the number of texts."""
 
     def run(batches):
+        words, grams, n = Tally(), Tally(), 0
         for b in batches:
-            data = [(t or "").encode().lower() for t in b.column(0).to_pylist()]
-            words = [np.unique(word_hashes(d), return_counts=True) for d in _joined(data)]
-            grams = [np.unique(code, return_counts=True) for _, code in gram_blocks(data)]
-            for kind, parts in ((0, words), (1, grams)):
-                if parts:
-                    key, n = tally([p[0] for p in parts], [p[1] for p in parts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), as_long(key), pa.array(n)], names=["kind", "key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([len(data)], pa.int64())], names=["kind", "key", "n"])
+            for i in range(0, b.num_rows, SLICE):
+                data = [(t or "").encode().lower() for t in b.column(0).slice(i, SLICE).to_pylist()]
+                n += len(data)
+                for part in _joined(data):
+                    words.add(word_hashes(part))
+                for _, code in gram_blocks(data):
+                    grams.add(code)
+            for kind, t in ((0, words), (1, grams)):
+                if t.keys and len(t.keys[0]) > MOST_KEPT:
+                    yield from t.batches(kind)
+        yield from words.batches(0)
+        yield from grams.batches(1)
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["kind", "key", "n"])
 
     return map_arrow(texts, run, "kind tinyint, key long, n long")
 
 
 def _joined(data: list[bytes]):
-    """The words of a few million bytes of texts at a time."""
+    """The words of about a block of bytes of texts at a time."""
     part, size = [], 0
     for d in data:
         part += d.split()
@@ -87,7 +124,8 @@ def _joined(data: list[bytes]):
         if size > BLOCK:
             yield part
             part, size = [], 0
-    yield part
+    if part:
+        yield part
 
 
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
@@ -181,7 +219,7 @@ class Table:
     """An open-addressing hash table from 64-bit keys to numbers, filled and read a vector at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(len(keys) * 2).bit_length())
+        bits = max(4, int(len(keys) * 1.5).bit_length())
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.full = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype), np.zeros(1 << bits, bool)
         todo, slot = np.arange(len(keys)), self._slot(keys)
@@ -225,6 +263,7 @@ class Scorer:
     def tables(self) -> tuple[Table, Table]:
         if self._tables is None:
             self._tables = Table(self.grams, self.gram_logs), Table(self.tokens, self.counts)
+            self.grams = self.gram_logs = self.tokens = self.counts = None
         return self._tables
 
     def score(self, data: list[bytes]) -> np.ndarray:
@@ -286,7 +325,7 @@ def language_model_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             data = [(t or "").encode().lower() for t in b.column(1).to_pylist()]
             n_tokens, known, base, rare, n_rare = [], [], [], [], []
             table = model.tables()[1]

@@ -26,13 +26,13 @@ from .common import Scratch, map_arrow
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END = 2048, 0
 #: Pieces of one length that are ranked together; a longer list is dealt over more salts.
-GROUP = 2_000
+GROUP = 1_000
 
 
 class ChunkIds(dict):
     """The ids of text chunks by the tokenizers library, encoded a batch of new chunks at a time; emptied at a bound."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 

@@ -1,0 +1,309 @@
+"""Python launch files as items, by walking their syntax tree; nothing is ever run."""
+
+from __future__ import annotations
+
+import ast
+import json
+import re
+
+from fleetscope.functions.conditions import python_condition
+
+from .program import file_id, literal, subst, written
+
+ACTIONS = {"Node", "LifecycleNode", "DeclareLaunchArgument", "IncludeLaunchDescription", "PushRosNamespace", "PushROSNamespace", "GroupAction", "SetParameter", "SetEnvironmentVariable", "UnsetEnvironmentVariable", "ExecuteProcess", "ComposableNode", "ComposableNodeContainer", "LoadComposableNodes", "OpaqueFunction"}
+
+
+def name_of(node: ast.AST) -> str:
+    return ast.unparse(node) if isinstance(node, (ast.Name, ast.Attribute)) else ""
+
+
+def both(a: list | None, b: list | None) -> list | None:
+    return ["and", a, b] if a and b else a or b
+
+
+class Walker:
+    """Values are substitutions (dicts with type), items (dicts with kind), lists, conditions ({"cond": ...}) or None."""
+
+    def __init__(self, tree: ast.Module) -> None:
+        self.functions = {f.name: f for f in tree.body if isinstance(f, ast.FunctionDef)}
+        self.names: dict[str, object] = {}
+        self.arguments: list[dict] = []
+        for s in tree.body:
+            if isinstance(s, ast.Assign):
+                self.assign(s)
+
+    # values
+
+    def value(self, node: ast.AST | None) -> object:
+        if node is None:
+            return None
+        if isinstance(node, ast.Constant):
+            return literal(node.value)
+        if isinstance(node, ast.Name):
+            return self.names.get(node.id, subst("literal", None, node.id))
+        if isinstance(node, (ast.List, ast.Tuple)):
+            return [self.value(e) for e in node.elts]
+        if isinstance(node, ast.Dict):
+            return {"map": [(self.value(k), self.value(v)) for k, v in zip(node.keys, node.values, strict=True) if k is not None]}
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+            a, b = self.value(node.left), self.value(node.right)
+            if isinstance(a, list) or isinstance(b, list):
+                return (a if isinstance(a, list) else [a]) + (b if isinstance(b, list) else [b])
+        if isinstance(node, ast.Subscript) and name_of(node.value).endswith("environ"):
+            return subst("environment_variable", written(self.value(node.slice)))
+        if isinstance(node, ast.Call):
+            return self.call(node)
+        return subst("expression", None, ast.unparse(node))
+
+    def substitution(self, node: ast.AST | object) -> dict | None:
+        v = self.value(node) if isinstance(node, ast.AST) else node
+        if isinstance(v, list):
+            return v[0] if len(v) == 1 and isinstance(v[0], dict) and "type" in v[0] else subst("expression", None, "".join(written(x) for x in v if isinstance(x, dict) and "type" in x))
+        return v if isinstance(v, dict) and "type" in v else None
+
+    def call(self, c: ast.Call) -> object:
+        full = name_of(c.func)
+        short = full.split(".")[-1] or (c.func.attr if isinstance(c.func, ast.Attribute) else "")
+        kw = {k.arg: k.value for k in c.keywords if k.arg}
+        arg = lambda i, *names: next((kw[n] for n in names if n in kw), c.args[i] if i < len(c.args) else None)
+        if short == "LaunchConfiguration":
+            default = self.substitution(arg(1, "default"))
+            return subst("argument_reference", written(self.value(arg(0, "variable_name"))), written(default) if default else None)
+        if short == "EnvironmentVariable" or full.endswith("environ.get") or short == "getenv":
+            default = self.substitution(arg(1, "default_value"))
+            return subst("environment_variable", written(self.value(arg(0, "name"))), written(default) if default else None)
+        if short in ("FindPackageShare", "get_package_share_directory", "FindPackage"):
+            return subst("file_path", written(self.substitution(arg(0, "package"))))
+        if short in ("PathJoinSubstitution", "join"):
+            parts = self.value(c.args[0]) if short == "PathJoinSubstitution" and c.args else [self.value(a) for a in c.args]
+            parts = parts if isinstance(parts, list) else [parts]
+            head = parts[0] if parts else None
+            if isinstance(head, dict) and head.get("type") == "file_path" and all(isinstance(p, dict) and p.get("type") == "literal" for p in parts[1:]):
+                return subst("file_path", head["name"], "/".join(filter(None, [head["value"], *(p["value"] for p in parts[1:])])) or None)
+            return subst("expression", None, "os_path_join(" + ", ".join(written(p) if isinstance(p, dict) and "type" in p else "?" for p in parts) + ")")
+        if short in ("IfCondition", "UnlessCondition"):
+            cond = self.condition(arg(0, "predicate"))
+            return {"cond": cond if short == "IfCondition" else ["not", cond]}
+        if short in ("PythonLaunchDescriptionSource", "XMLLaunchDescriptionSource", "YAMLLaunchDescriptionSource", "AnyLaunchDescriptionSource", "FrontendLaunchDescriptionSource"):
+            return self.value(arg(0, "location"))
+        if short == "LaunchDescription":
+            found = self.value(arg(0, "initial_entities")) or []
+            # written without its module, the list form keeps no OpaqueFunction
+            return {"ld": [x for x in found if not ("." not in full and isinstance(x, dict) and x.get("kind") == "opaque")] if isinstance(found, list) else []}
+        if short in ACTIONS:
+            return self.action(short, c, kw, arg)
+        if short == "items" and isinstance(c.func, ast.Attribute):
+            return self.value(c.func.value)
+        if short == "perform" and isinstance(c.func, ast.Attribute):
+            return self.value(c.func.value)
+        if short in ("int", "str", "float") and len(c.args) == 1:
+            return self.value(c.args[0])
+        said = [written(x) if isinstance(x := self.value(a), dict) and "type" in x else repr(ast.unparse(a)) for a in c.args]
+        said += [f"{k}={ast.unparse(v)!r}" for k, v in kw.items()]
+        return subst("expression", None, f"{short or full}({', '.join(said)})")
+
+    def condition(self, node: ast.AST | None) -> list:
+        v = self.value(node)
+        if isinstance(v, dict) and v.get("type") == "argument_reference":
+            return ["eq", ["launch_arg_get", v["name"]], "true"]
+        if isinstance(v, dict) and v.get("type") == "environment_variable":
+            return ["truthy", ["env_get", v["name"]]]
+        if isinstance(node, ast.Constant) and isinstance(node.value, bool):
+            return ["literal", node.value]
+        return python_condition(written(v) if isinstance(v, dict) and "type" in v else ast.unparse(node) if node is not None else "")
+
+    def pairs(self, node: ast.AST | None) -> list[tuple[object, object]]:
+        """Key and value pairs of a dict, of a list of dicts, or of a list of tuples."""
+        v = self.value(node)
+        out: list[tuple[object, object]] = []
+        for x in v if isinstance(v, list) else [v]:
+            if isinstance(x, dict) and "map" in x:
+                out += x["map"]
+            elif isinstance(x, list) and len(x) == 2:
+                out.append((x[0], x[1]))
+        return out
+
+    def action(self, short: str, c: ast.Call, kw: dict, arg) -> dict | None:
+        said = self.value(kw["condition"]) if "condition" in kw else None
+        own = said["cond"] if isinstance(said, dict) and "cond" in said else None if said is None else ["symbolic", ast.unparse(kw["condition"])]
+        base = {"own": own}
+        sub = self.substitution
+        if short in ("Node", "LifecycleNode", "ComposableNode", "ComposableNodeContainer"):
+            remaps = []
+            for x in (lambda v: v if isinstance(v, list) else [])(self.value(kw.get("remappings"))):
+                if isinstance(x, list) and len(x) == 2:
+                    remaps.append({"from_topic": written(sub(x[0])), "to_topic": sub(x[1])})
+                elif isinstance(x, dict) and "map" in x:
+                    m = {written(k): v for k, v in x["map"]}
+                    remaps.append({"from_topic": written(m.get("src") or m.get("from")), "to_topic": m.get("dst") or m.get("to")})
+            given = self.value(kw.get("ros_arguments") or kw.get("arguments")) if short != "ComposableNode" else None
+            node = base | {
+                "kind": "node", "package": sub(kw.get("package")), "executable": sub(kw.get("plugin" if short == "ComposableNode" else "executable", kw.get("node_executable"))), "name": sub(kw.get("name", kw.get("node_name"))), "namespace": sub(kw.get("namespace", kw.get("node_namespace"))),
+                "parameters": {written(k): v if isinstance(v, dict) and "type" in v else subst("expression", None, str(v)) for k, v in self.pairs(kw.get("parameters")) if isinstance(k, dict)},
+                "remappings": remaps, "ros_arguments": [written(x) for x in given if isinstance(x, dict) and "type" in x] if isinstance(given, list) else [], "launch_prefix": sub(kw.get("prefix")),
+            }
+            if short == "ComposableNodeContainer":
+                node["also"] = self.value(kw.get("composable_node_descriptions"))
+            return node
+        if short == "LoadComposableNodes":
+            return base | {"kind": "several", "also": self.value(arg(0, "composable_node_descriptions"))}
+        if short == "DeclareLaunchArgument":
+            choices = self.value(kw.get("choices"))
+            default = arg(1, "default_value")
+            out = base | {"kind": "arg", "name": sub(arg(0, "name")), "default_value": sub(default), "description": written(sub(kw["description"])) if "description" in kw else None, "choices": [written(x) for x in choices if isinstance(x, dict)] if isinstance(choices, list) else None}
+            self.arguments.append(out)
+            return out
+        if short == "IncludeLaunchDescription":
+            v = self.value(arg(0, "launch_description_source"))
+            path = written(v) if isinstance(v, dict) and "type" in v else "type____launch"
+            return base | {"kind": "include", "included_launch_id": "launch_desc_" + file_id(path), "argument_mappings": {written(k): v if isinstance(v, dict) and "type" in v else None for k, v in self.pairs(kw.get("launch_arguments"))}}
+        if short in ("PushRosNamespace", "PushROSNamespace"):
+            return base | {"kind": "push_namespace", "namespace": sub(arg(0, "namespace"))}
+        if short == "GroupAction":
+            return base | {"kind": "group", "label": "group_action", "inner": self.value(arg(0, "actions"))}
+        if short == "SetParameter":
+            return base | {"kind": "set_param", "name": sub(arg(0, "name")), "value": sub(arg(1, "value"))}
+        if short == "SetEnvironmentVariable":
+            return base | {"kind": "set_env", "name": sub(arg(0, "name")), "value": sub(arg(1, "value"))}
+        if short == "ExecuteProcess":
+            cmd = self.value(arg(0, "cmd"))
+            text = " ".join(written(x) for x in cmd if isinstance(x, dict) and "type" in x) if isinstance(cmd, list) else written(sub(cmd))
+            return base | {"kind": "process", "package": literal("__executable__"), "executable": literal(text), "name": sub(kw.get("name"))}
+        if short == "OpaqueFunction":
+            return base | {"kind": "opaque", "function": name_of(arg(0, "function")) if arg(0, "function") is not None else ""}
+        return None  # an unset variable leaves no action
+
+    # statements
+
+    def assign(self, s: ast.Assign) -> None:
+        v = self.value(s.value)
+        for t in s.targets:
+            if isinstance(t, ast.Name):
+                self.names[t.id] = v
+
+    def expand(self, x: object, cond: list | None) -> list[dict]:
+        """Items of a value, with the conditions around them."""
+        if isinstance(x, list):
+            return [i for e in x for i in self.expand(e, cond)]
+        if not isinstance(x, dict) or x.get("kind") is None:
+            return self.expand(x["ld"], cond) if isinstance(x, dict) and "ld" in x else []
+        merged = both(cond, x.get("own"))
+        if x["kind"] == "opaque":
+            f = self.functions.get(x["function"])
+            return self.helper(f, merged) if f else []
+        if x["kind"] == "several":
+            return self.expand(x["also"], merged)
+        out = {k: v for k, v in x.items() if k not in ("own", "inner", "also")}
+        out["conditions"] = [json.dumps(merged, ensure_ascii=False)] if merged else []
+        out["_of"] = id(x)
+        if x["kind"] == "group":
+            out["children"] = self.expand(x["inner"], None)
+        items = [out]
+        if x.get("also") is not None:
+            items += self.expand(x["also"], merged)
+        return items
+
+    def helper(self, f: ast.FunctionDef, cond: list | None) -> list[dict]:
+        """A helper function, walked symbolically: every branch and loop adds its condition."""
+        found: list[dict] = []
+        kept = dict(self.names)
+
+        def walk(body: list[ast.stmt], cond: list | None) -> None:
+            for s in body:
+                if isinstance(s, ast.Assign):
+                    self.assign(s)
+                elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call):
+                    call = s.value
+                    if isinstance(call.func, ast.Attribute) and call.func.attr in ("append", "extend", "add_action") and call.args:
+                        found.extend(self.expand(self.value(call.args[0]), cond))
+                elif isinstance(s, ast.AugAssign):
+                    found.extend(self.expand(self.value(s.value), cond))
+                elif isinstance(s, ast.If):
+                    prior, cur = [], s
+                    while True:
+                        test = python_condition(ast.unparse(cur.test))
+                        walk(cur.body, both(cond, test))
+                        prior.append(test)
+                        if len(cur.orelse) == 1 and isinstance(cur.orelse[0], ast.If):
+                            cur = cur.orelse[0]
+                            continue
+                        if cur.orelse:
+                            walk(cur.orelse, both(cond, ["not", prior[0] if len(prior) == 1 else ["or", *prior]]))
+                        break
+                elif isinstance(s, ast.For):
+                    walk(s.body, both(cond, self.loop(s)))
+                elif isinstance(s, (ast.With, ast.Try)):
+                    walk(s.body, cond)
+                elif isinstance(s, ast.Return):
+                    v = self.value(s.value)
+                    if not isinstance(s.value, ast.Name):
+                        found.extend(self.expand(v, cond))
+                    elif isinstance(v, list) and v:
+                        found[:0] = self.expand(v, cond)
+
+        walk(f.body, cond)
+        self.names = kept
+        return found
+
+    def loop(self, s: ast.For) -> list:
+        var, over = ast.unparse(s.target), s.iter
+        if isinstance(over, ast.Call) and name_of(over.func) == "range" and over.args:
+            end = over.args[1] if len(over.args) > 1 else over.args[0]
+            v = self.value(end)
+            if isinstance(v, dict) and v.get("type") == "argument_reference":
+                return ["for_range", var, ["launch_arg_get", v["name"]]]
+            if isinstance(end, ast.Name):
+                return ["for_range", var, ["launch_arg_get", end.id]]
+        return ["for_each", var, ast.unparse(over)]
+
+    def main(self, f: ast.FunctionDef) -> list[dict]:
+        """The main function: sequences are built by lists, append, add_action and +. Its loops are passed over."""
+        result: object = None
+
+        def walk(body: list[ast.stmt], cond: list | None) -> None:
+            nonlocal result
+            for s in body:
+                if isinstance(s, ast.Assign):
+                    self.assign(s)
+                elif isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name) and isinstance(self.names.get(s.target.id), list):
+                    self.names[s.target.id] = self.names[s.target.id] + [{"under": cond, "of": self.value(s.value)}]
+                elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and isinstance(s.value.func, ast.Attribute) and isinstance(s.value.func.value, ast.Name) and s.value.args:
+                    at, v = self.names.get(s.value.func.value.id), self.value(s.value.args[0])
+                    if s.value.func.attr == "add_action" and isinstance(at, dict) and "ld" in at:
+                        at["ld"].append({"under": cond, "of": v})
+                    elif s.value.func.attr in ("append", "extend") and isinstance(at, list):
+                        at.append({"under": cond, "of": v})
+                elif isinstance(s, ast.If):
+                    walk(s.body, both(cond, python_condition(ast.unparse(s.test))))
+                    walk(s.orelse, both(cond, ["not", python_condition(ast.unparse(s.test))]))
+                elif isinstance(s, ast.Return):
+                    result = self.value(s.value)
+
+        walk(f.body, None)
+
+        def flat(x: object, cond: list | None) -> list[dict]:
+            if isinstance(x, dict) and "under" in x:
+                return flat(x["of"], both(cond, x["under"]))
+            if isinstance(x, dict) and "ld" in x:
+                return flat(x["ld"], cond)
+            if isinstance(x, list):
+                return [i for e in x for i in flat(e, cond)]
+            return self.expand(x, cond)
+
+        items = flat(result, None)
+        used = {i.get("_of") for i in items}
+        names = {written(i["name"]) for i in items if i["kind"] == "arg"}
+        for x in self.arguments:  # declared, but on no path to the description
+            if id(x) not in used and written(x["name"]) not in names:
+                names.add(written(x["name"]))
+                items += [i | {"confidence": 0.8} for i in self.expand(x, None)]
+        return items
+
+
+def read_python(text: str) -> list[dict]:
+    tree = ast.parse(re.sub(r"\r\n?", "\n", text))
+    w = Walker(tree)
+    main = w.functions.get("generate_launch_description")
+    if main is None:
+        raise ValueError("no generate_launch_description")
+    return w.main(main)
