@@ -12,8 +12,8 @@ def some(c: Column) -> Column:
 
 
 def normalize_snippet(c: Column) -> Column:
-    """Source text for hashing: comments dropped, single quotes doubled, trimmed."""
-    return F.regexp_replace(F.replace(F.regexp_replace(c, r"#[^\n]*", ""), F.lit("'"), F.lit('"')), r"^\s+|\s+$", "")
+    """Source text for hashing: comments and all white space dropped, single quotes made double."""
+    return F.regexp_replace(F.replace(F.regexp_replace(c, r"#[^\n]*", ""), F.lit("'"), F.lit('"')), r"\s+", "")
 
 
 def action_hash(c: Column) -> Column:
@@ -97,8 +97,8 @@ def parse_substitution(c: Column) -> Column:
 
 
 def substitution_text(s: Column) -> Column:
-    """A parsed substitution as launch text: defaults follow a blank."""
-    return _written(s, " ")
+    """A parsed substitution as launch text: an argument stands without its default, an environment variable's follows a blank."""
+    return F.when(s["type"] == "argument_reference", F.concat(F.lit("$(arg "), s["name"], F.lit(")"))).otherwise(_written(s, " "))
 
 
 def display_substitution(s: Column) -> Column:

@@ -33,7 +33,7 @@ CATALOG = {
 def load_catalog(spark: SparkSession, entries: dict[str, tuple] | None = None, strict: bool = True) -> DataFrame:
     """The catalogue as a table. strict: an entry of another length is an error; else it is left out."""
     rows = []
-    for key, entry in (entries or CATALOG).items():
+    for key, entry in (CATALOG if entries is None else entries).items():
         if len(entry) != 7:
             if strict:
                 raise ValueError(f"catalogue entry {key} is incomplete")
@@ -42,6 +42,24 @@ def load_catalog(spark: SparkSession, entries: dict[str, tuple] | None = None, s
     return spark.createDataFrame(rows, COLUMNS)
 
 
+FIELDS = ("enabled", "severity", "category", "title", "description", "recommendation", "entity_type")
+
+
+def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A catalogue file: a mapping ``issues`` of key to fields. strict: a missing field is an error; else it takes an empty default."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()[0]  # one small file
+    entries = (yaml.safe_load(text) or {}).get("issues") or {}
+    rows: dict[str, tuple] = {}
+    for key, e in entries.items():
+        missing = [f for f in FIELDS if f not in e]
+        if missing and strict:
+            raise ValueError(f"catalogue entry {key} lacks {missing}")
+        rows[key] = tuple(bool(e.get(f, True)) if f == "enabled" else str(e.get(f) or "") for f in FIELDS)
+    return load_catalog(spark, rows) if rows else spark.createDataFrame([], COLUMNS)
+
+
 def issues(candidates: DataFrame, catalog: DataFrame, id_of: Column, context: dict[str, Column], order: list[str], partition: list[str], strict: bool = True, timestamp: str | None = None, tool: str = "fleetscope") -> DataFrame:
     """Numbered and rendered issues.
 

@@ -7,6 +7,8 @@ global lets equal ids of different graphs meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,42 @@ def summary(nodes: DataFrame, pubs: DataFrame, subs: DataFrame) -> DataFrame:
     p = pubs.groupBy("graph").agg(F.count(F.lit(1)).alias("publications"), F.countDistinct("topic_id").alias("published_topics"))
     s = subs.groupBy("graph").agg(F.count(F.lit(1)).alias("subscriptions"))
     return n.join(p, "graph", "left").join(s, "graph", "left").na.fill(0).select("graph", "nodes", "publications", "published_topics", "subscriptions")
+
+
+RULES = ("isolated_node", "publisher_without_subscriber", "subscriber_without_publisher", "topic_multiple_publishers", "qos_reliability_mismatch", "message_type_mismatch")
+#: Which id an issue is about, the first that a rule's row has.
+ENTITY = ("endpoint_id", "node_id", "topic_id", "action_id")
+
+
+def rule_rows(arch: dict[str, DataFrame], key: str, scope: str = "per_graph") -> DataFrame:
+    nodes, topics, pubs, subs = (arch[k] for k in ("nodes", "topics", "publications", "subscriptions"))
+    rules = {
+        "isolated_node": lambda: isolated_node(nodes, pubs, subs, scope),
+        "publisher_without_subscriber": lambda: publisher_without_subscriber(pubs, subs, topics, nodes, scope),
+        "subscriber_without_publisher": lambda: subscriber_without_publisher(pubs, subs, topics, nodes, scope),
+        "topic_multiple_publishers": lambda: topic_multiple_publishers(pubs, topics, nodes, scope),
+        "qos_reliability_mismatch": lambda: qos_reliability_mismatch(pubs, subs, topics, nodes, scope),
+        "message_type_mismatch": lambda: message_type_mismatch(pubs, subs, topics, nodes, scope),
+    }
+    return rules[key]()
+
+
+def detect(arch: dict[str, DataFrame], catalog: DataFrame | None = None, scope: str = "per_graph", keys: tuple[str, ...] = RULES, prefix: str = "ontology", strict: bool = True, unbound: str | None = None, timestamp: str | None = None) -> DataFrame:
+    """Issues of the rules ``keys``, numbered for each rule in order of what they are about.
+
+    scope global lets equal ids of several architectures meet, as in one merged repository. ``unbound`` stands for a value that
+    a row lacks: None leaves it out, "None" writes that word.
+    """
+    from . import catalog as C
+
+    some = next(iter(arch.values()))
+    parts = []
+    for key in keys:
+        rows = rule_rows(arch, key, scope)
+        about = F.coalesce(*(F.col(c).cast("string") for c in ENTITY if c in rows.columns))
+        texts = [(F.coalesce(F.col(c).cast("string"), F.lit(unbound)) if unbound else F.col(c).cast("string")).alias(c) for c in rows.columns]
+        parts.append(rows.select(*texts, F.lit(key).alias("issue_key"), about.alias("entity_id")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    context = {c: F.col(c) for c in rows.columns if c not in ("issue_key", "entity_id")}
+    known = catalog if catalog is not None else C.load_catalog(some.sparkSession)
+    return C.issues(rows, known, F.concat(F.lit(prefix + "_"), "issue_key", F.lit("_")), context, ["entity_id", *context], ["issue_key"], strict=strict, timestamp=timestamp)

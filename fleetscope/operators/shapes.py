@@ -31,8 +31,8 @@ SHAPES = (
     Shape("DeclareArgumentAction", "hasArgumentName", 1, "string"),
     Shape("SetParameterAction", "hasParameter", 1),
     Shape("IncludeAction", "includesLaunch", 1),
-    Shape("Remapping", "remapsFrom", 1, "string"),
-    Shape("Remapping", "remapsTo", 1, "string"),
+    Shape("Remapping", "remapFrom", 1, "string"),
+    Shape("Remapping", "remapTo", 1, "string"),
     Shape("Parameter", "hasParameterName", 1, "string"),
 )
 

@@ -20,6 +20,8 @@ def node_no_name(actions: DataFrame) -> DataFrame:
 def _condition_rule(actions: DataFrame) -> DataFrame:
     """The first rule that a condition's text meets wins."""
     text = F.col("cond")
+    if "conditions" in actions.columns:  # one row a condition
+        actions = actions.withColumn("cond", F.explode_outer("conditions"))
     rule = F.when(text.contains("has_resource"), "node_runtime_condition").when(text.contains("for") & text.contains("range"), "opaque_symbolic_node")
     return actions.where("action_type = 'node' AND cond IS NOT NULL").withColumn("rule", rule)
 
@@ -65,6 +67,20 @@ def candidates(actions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("entity_id", F.col("action_id"))
 
 
+#: What descriptions may refer to: key and column.
+CONTEXT = {"executable": "executable", "package": "package", "condition": "cond", "arg_name": "name", "action_id": "action_id", "included_id": "included_launch_id"}
+
+
+def detect(actions: DataFrame, catalog: DataFrame | None = None, timestamp: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Issues of all rules, numbered by description and family, with the source file of what they are about."""
+    from . import catalog as C
+
+    rows = candidates(actions, keys)
+    known = catalog if catalog is not None else C.load_catalog(actions.sparkSession)
+    out = C.issues(rows, known, F.concat(F.lit("issue_"), "file_id", F.lit("_"), "family"), {k: F.col(c) for k, c in CONTEXT.items()}, ["pos", "issue_key"], ["file_id", "family"], timestamp=timestamp)
+    return out.join(actions.select(F.col("action_id").alias("entity_id"), "ld_id", F.col("source_file").alias("location")), "entity_id", "left")
+
+
 # Rules as conjunctive queries over exported triples state them; on entity tables each is one scan.
 
 

@@ -12,6 +12,8 @@ from fleetscope.functions import conditions
 from fleetscope.functions import text as T
 from fleetscope.operators import catalog, communication, compose, model, shapes, structural, tree, triples, validation
 
+from fleetscope.sources.launch import LaunchModel, parse_documents
+
 from . import views
 from .views import ACTION, COMM, TREE, table
 
@@ -147,7 +149,7 @@ def issue_rendered(s, d):
 
 # Identifiers and scalar functions
 
-_NORM = r"regexp_replace(replace(regexp_replace(text, '#[^\n]*', '', 'g'), '''', '\"'), '^\s+|\s+$', '', 'g')".replace('\\"', '"')
+_NORM = r"""regexp_replace(replace(regexp_replace(text, '#[^\n]*', '', 'g'), '''', '"'), '\s+', '', 'g')"""
 
 
 @query(f"WITH h AS (SELECT doc_id, source, CASE WHEN {_NORM} = '' THEN '00000000' ELSE substr(md5({_NORM}), 1, 8) END AS hash FROM documents) SELECT doc_id, 'la:file_' || source || ':' || hash || '#' || CAST(row_number() OVER (PARTITION BY source, hash ORDER BY doc_id) - 1 AS VARCHAR) AS action_id FROM h")
@@ -517,3 +519,39 @@ def model_exec_configs(s, d):
 @query(ACTION + f"SELECT ld_id, count(*) FILTER ({_REAL}) AS nodes, count(*) FILTER (action_type = 'declare_argument') AS args, count(*) FILTER (action_type = 'include') AS includes, count(*) AS total FROM action GROUP BY ld_id")
 def model_counts(s, d):
     return model.counts(views.actions(s, d))
+
+
+# Sources
+
+
+def _parsed(fmt: str) -> None:
+    def run(s, d):
+        rows = LaunchModel(parse_documents(views.launch_documents(s, d, fmt))).actions
+        return rows.select("action_id", "action_type", "parent_id", "name", "package", "executable", "cond", "confidence")
+
+    query(views.launch_sql(fmt), f"parse_{fmt}_launch")(run)
+
+
+for _fmt in views.LAUNCH:
+    _parsed(_fmt)
+
+
+@query(
+    COMM + """, cand AS (SELECT 'isolated_node' AS issue_key, CAST(node_id AS VARCHAR) AS entity_id, runtime_name, CAST(NULL AS VARCHAR) AS topic_name FROM node WHERE node_id NOT IN (SELECT node_id FROM pub) AND node_id NOT IN (SELECT node_id FROM sub)
+UNION ALL SELECT 'publisher_without_subscriber', endpoint_id, runtime_name, topic_name FROM pub JOIN topic USING (topic_id) JOIN node USING (node_id) WHERE topic_id NOT IN (SELECT topic_id FROM sub))
+SELECT 'graphdb_' || issue_key || '_' || CASE WHEN rn < 1000 THEN lpad(CAST(rn AS VARCHAR), 3, '0') ELSE CAST(rn AS VARCHAR) END AS issue_id, entity_id, CASE issue_key WHEN 'isolated_node' THEN 'Node ''' || runtime_name || ''' neither publishes nor subscribes.' ELSE 'Nothing subscribes to ''' || topic_name || ''', which ''' || runtime_name || ''' publishes.' END AS description
+FROM (SELECT *, row_number() OVER (PARTITION BY issue_key ORDER BY entity_id) AS rn FROM cand)"""
+)
+def comm_issues_numbered(s, d):
+    """Rendered and numbered communication issues of the merged repository."""
+    return communication.detect(views.architecture(s, d), scope="global", keys=("isolated_node", "publisher_without_subscriber"), prefix="graphdb", strict=False).select("issue_id", "entity_id", "description")
+
+
+@query(
+    COMM + ", t AS (SELECT CAST(node_id AS VARCHAR) AS s, 'hasRuntimeName' AS p, runtime_name AS o FROM node UNION SELECT CAST(node_id AS VARCHAR), 'hasPackage', package FROM node UNION SELECT CAST(topic_id AS VARCHAR), 'hasTopicName', topic_name FROM topic) SELECT p, count(*) AS n, count(DISTINCT o) AS n_values FROM t GROUP BY p"
+)
+def triples_predicates(s, d):
+    """Counts of predicates of the communication triples, taken as a set."""
+    a = views.architecture(s, d)
+    t = triples.as_set(triples.communication_triples(a["nodes"], a["topics"], a["publications"], a["subscriptions"]))
+    return t.where("p IN ('hasRuntimeName', 'hasPackage', 'hasTopicName')").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o").alias("n_values"))

@@ -85,3 +85,64 @@ def tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 TREE = """WITH RECURSIVE item AS (SELECT conv_id AS ld_id, turn AS id FROM conversations WHERE role <> 'system'),
 edge AS (SELECT ld_id, id - 1 AS parent, id AS child FROM item WHERE id > 0)
 """
+
+#: Launch files out of parts: an argument, and a group with a node that the argument conditions, in the three formats. {k}: key, {z}: size, {b}: brand.
+LAUNCH = {
+    "xml": """<launch>
+  <arg name="size_{k}" default="{z}"/>
+  <group>
+    <node pkg="{b}" exec="exe_{z}" name="part_{k}" if="$(var size_{k})"><remap from="/in" to="/out_{k}"/></node>
+  </group>
+  <include file="other_{z}.launch.xml"/>
+</launch>
+""",
+    "yaml": """launch:
+  - arg:
+      name: size_{k}
+      default: "{z}"
+  - group:
+      - node:
+          pkg: {b}
+          exec: exe_{z}
+          name: part_{k}
+          if: "$(var size_{k})"
+          remap:
+            - from: /in
+              to: /out_{k}
+  - include:
+      file: other_{z}.launch.xml
+""",
+    "python": """from launch import LaunchDescription
+
+def generate_launch_description():
+    size = LaunchConfiguration("size_{k}")
+    return LaunchDescription([
+        DeclareLaunchArgument("size_{k}", default_value="{z}"),
+        GroupAction([Node(package="{b}", executable="exe_{z}", name="part_{k}", condition=IfCondition(size), remappings=[("/in", "/out_{k}")])]),
+        IncludeLaunchDescription(PythonLaunchDescriptionSource("other_{z}.launch.xml")),
+    ])
+""",
+}
+
+
+def launch_documents(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    """(path, format, content) of one launch file a part."""
+    text = F.lit(LAUNCH[fmt])
+    for key, value in (("k", F.col("p_partkey").cast("string")), ("z", F.col("p_size").cast("string")), ("b", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")))):
+        text = F.replace(text, F.lit("{" + key + "}"), value)
+    return table(spark, d, "part").select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".launch")).alias("path"), F.lit(fmt).alias("format"), text.alias("content"))
+
+
+def launch_sql(fmt: str) -> str:
+    """The rows that parsing those files gives: (action_id, action_type, parent_id, name, package, executable, cond, confidence)."""
+    group = "group_action" if fmt == "python" else "group"
+    sure = "0.9" if fmt == "python" else "1.0"
+    return f"""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS ks, CAST(p_size AS VARCHAR) AS z, replace(lower(p_brand), '#', '_') AS b, 'la:file_parts_' || CAST(p_partkey AS VARCHAR) || '_launch:' AS pre FROM part)
+SELECT pre || substr(md5('arg_size_' || ks), 1, 8) || '#0' AS action_id, 'declare_argument' AS action_type, CAST(NULL AS VARCHAR) AS parent_id, 'size_' || ks AS name, CAST(NULL AS VARCHAR) AS package, CAST(NULL AS VARCHAR) AS executable, CAST(NULL AS VARCHAR) AS cond, 1.0::DOUBLE AS confidence FROM p
+UNION ALL SELECT pre || substr(md5('{group}'), 1, 8) || '#0', 'group', NULL, NULL, NULL, NULL, NULL, 1.0 FROM p
+UNION ALL SELECT pre || substr(md5('Node(pkg=' || b || ',exec=exe_' || z || ',name=part_' || ks || ')'), 1, 8) || '#0', 'node', pre || substr(md5('{group}'), 1, 8) || '#0', 'part_' || ks, b, 'exe_' || z, '["eq", ["launch_arg_get", "size_' || ks || '"], "true"]', {sure} FROM p
+UNION ALL SELECT pre || substr(md5('include_file_other_' || z || '_launch_xml'), 1, 8) || '#0', 'include', NULL, NULL, NULL, NULL, NULL, 1.0 FROM p"""
+
+
+def architecture(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"nodes": nodes(spark, d), "topics": topics(spark, d), "publications": pubs(spark, d), "subscriptions": subs(spark, d)}

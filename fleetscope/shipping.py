@@ -7,7 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +29,8 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent).as_posix())
         sc.addPyFile(name)
     _SHIPPED.add(sc.applicationId)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """A schema string for Arrow; made on the driver, for its workers."""
+    return to_arrow_schema(StructType.fromDDL(ddl))

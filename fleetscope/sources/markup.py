@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 
 from fleetscope.functions.conditions import launch_condition
 
-from .program import file_id, parse_text
+from .program import file_id, literal, parse_text
 
 
 def normalise(text: str) -> str:
@@ -25,25 +25,28 @@ def conditions(attributes: dict) -> list[str]:
 
 
 def item(tag: str, a: dict, children: list[tuple[str, dict, list]]) -> dict | None:
-    """An item for one element: its attributes, and its children as (tag, attributes, children)."""
+    """An item for one element: its attributes, and its children as (tag, attributes, children). Ids are made of the text as it stands."""
     tag = tag.replace("_", "-")
-    cond = conditions(a)
+    name, cond = a.get("name"), conditions(a)
+    sub = lambda k: parse_text(a.get(k))
     if tag == "node":
         params = {c["name"]: parse_text(c.get("value")) for t, c, _ in children if t == "param" and c.get("name")}
-        remaps = [{"from_topic": c.get("from"), "to_topic": parse_text(c.get("to"))} for t, c, _ in children if t == "remap"]
-        return {"kind": "node", "package": parse_text(a.get("pkg")), "executable": parse_text(a.get("exec")), "name": parse_text(a.get("name")), "namespace": parse_text(a.get("namespace")), "parameters": params, "remappings": remaps, "conditions": cond}
+        remaps = [{"from_topic": c.get("from") or "", "to_topic": parse_text(c.get("to") or "")} for t, c, _ in children if t == "remap"]
+        text = f"Node(pkg={a.get('pkg')},exec={a.get('exec')},name={name})"
+        return {"kind": "node", "package": sub("pkg"), "executable": sub("exec"), "name": sub("name"), "namespace": sub("namespace"), "parameters": params, "remappings": remaps, "conditions": cond, "snippet": text}
     if tag == "arg":
-        return {"kind": "arg", "name": parse_text(a.get("name")), "default_value": parse_text(a.get("default", a.get("value"))), "description": a.get("description")}
+        return {"kind": "arg", "name": literal(name or ""), "default_value": parse_text(a.get("default", a.get("value"))), "description": a.get("description"), "snippet": f"arg_{name or ''}"}
     if tag in ("let", "set-env", "set-parameter"):
         kind = {"let": "let", "set-env": "set_env", "set-parameter": "set_param"}[tag]
-        return {"kind": kind, "name": parse_text(a.get("name")), "value": parse_text(a.get("value")), "conditions": cond}
+        return {"kind": kind, "name": literal(name or ""), "value": sub("value"), "conditions": cond, "snippet": f"{kind}_{name or ''}"}
     if tag == "include":
         mappings = {c["name"]: parse_text(c.get("value", c.get("default"))) for t, c, _ in children if t in ("arg", "let") and c.get("name")}
-        return {"kind": "include", "included_launch_id": "launch_desc_" + file_id(a.get("file", "")), "argument_mappings": mappings, "conditions": cond}
+        fid = file_id(a.get("file") or "unknown")
+        return {"kind": "include", "included_launch_id": "launch_desc_" + fid, "argument_mappings": mappings, "conditions": cond, "snippet": f"include_{fid}"}
     if tag == "push-ros-namespace":
-        return {"kind": "push_namespace", "namespace": parse_text(a.get("namespace")), "conditions": cond}
+        return {"kind": "push_namespace", "namespace": sub("namespace"), "conditions": cond, "snippet": f"push_ns_{a.get('namespace')}"}
     if tag == "group":
-        return {"kind": "group", "conditions": cond, "children": [x for c in children if (x := item(*c))]}
+        return {"kind": "group", "conditions": cond, "children": [x for c in children if (x := item(*c))], "snippet": "group"}
     return None
 
 
@@ -59,7 +62,7 @@ def read_xml(text: str) -> list[dict]:
 
 
 #: Keys of a YAML entry that hold lists of child entries rather than attributes.
-_LISTS = {"remap", "param", "env", "arg", "let"}
+_LISTS = frozenset("remap param env arg let".split())
 
 
 def _entry(tag: str, body: object) -> tuple[str, dict, list]:

@@ -7,17 +7,19 @@ schema's tuples. Bad documents give one row with ``error``.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import defaultdict
 
 SUBST = "struct<type: string, name: string, value: string>"
-SCHEMA = (
-    "file_path string, file_id string, format string, ld_id string, ld_confidence double, pos int, action_id string, action_type string, parent_id string, depth int, "
-    f"name {SUBST}, package {SUBST}, executable {SUBST}, namespace {SUBST}, default_value {SUBST}, value {SUBST}, description string, choices array<string>, target_scope string, "
-    f"parameters map<string, {SUBST}>, remappings array<struct<from_topic: string, to_topic: {SUBST}>>, ros_arguments array<string>, launch_prefix {SUBST}, "
-    f"included_launch_id string, argument_mappings map<string, {SUBST}>, conditions array<string>, confidence double, source_file string, error string"
-)
-FIELDS = [re.split(r"\s", f.strip())[0] for f in re.split(r", (?=\w+ (?:string|double|int|array|map|struct))", re.sub(r"<[^,]*(?:<[^>]*>|[^>])*>+", "", SCHEMA))]
+COLUMNS = {
+    **dict.fromkeys(("file_path", "file_id", "format", "ld_id"), "string"), "ld_confidence": "double", "pos": "int", **dict.fromkeys(("action_id", "action_type", "parent_id"), "string"), "depth": "int",
+    **dict.fromkeys(("name", "package", "executable", "namespace", "default_value", "value"), SUBST), "description": "string", "choices": "array<string>", "target_scope": "string",
+    "parameters": f"map<string, {SUBST}>", "remappings": f"array<struct<from_topic: string, to_topic: {SUBST}>>", "ros_arguments": "array<string>", "launch_prefix": "string",
+    "included_launch_id": "string", "argument_mappings": f"map<string, {SUBST}>", "conditions": "array<string>", "confidence": "double", "source_file": "string", "error": "string",
+}
+SCHEMA = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
+FIELDS = list(COLUMNS)
 
 
 def subst(kind: str, name: str | None = None, value: str | None = None) -> dict:
@@ -42,45 +44,15 @@ def parse_text(text: str | None) -> dict | None:
     return literal(text)
 
 
-def written(s: dict | None) -> str:
-    """A substitution as launch text."""
-    if s is None:
-        return "None"
-    kind, name, value = s["type"], s["name"], s["value"]
-    if kind == "argument_reference":
-        return f"$(arg {name}" + (f" {value}" if value is not None else "") + ")"
-    if kind == "environment_variable":
-        return f"$(env {name}" + (f" {value}" if value is not None else "") + ")"
-    if kind == "file_path":
-        return f"$(find-pkg-share {name})" + (f"/{value}" if value else "")
-    return value or ""
-
-
 def file_id(path: str) -> str:
     return "file_" + re.sub(r"[^a-zA-Z0-9_]", "_", path)
 
 
 def digest(snippet: str) -> str:
-    text = re.sub(r"#[^\n]*", "", snippet).replace("'", '"').strip()
+    text = re.sub(r"\s+", "", re.sub(r"#[^\n]*", "", snippet).replace("'", '"'))
     return hashlib.md5(text.encode()).hexdigest()[:8] if text else "00000000"
 
 
-def snippet(item: dict) -> str:
-    """What an action's id is the hash of."""
-    kind, text = item["kind"], lambda k: written(item.get(k))
-    if kind == "process":
-        return f"exec_{text('executable')}"
-    if kind == "node":
-        return f"Node(pkg={text('package')},exec={text('executable')},name={text('name')})"
-    if kind == "include":
-        return f"include_{item['included_launch_id']}"
-    if kind == "push_namespace":
-        return f"push_ns_{text('namespace')}"
-    if kind == "group":
-        return item.get("label", "group")
-    return {"arg": "arg_", "let": "let_", "set_env": "set_env_", "set_param": "set_param_"}[kind] + text("name")
-
-
 ACTION_TYPES = {"node": "node", "process": "node", "include": "include", "push_namespace": "push_namespace", "group": "group", "arg": "declare_argument", "let": "set_parameter", "set_env": "set_parameter", "set_param": "set_parameter"}
 SCOPES = {"let": "local", "set_env": "global", "set_param": "local"}
 
@@ -91,7 +63,7 @@ def rows(path: str, fmt: str, confidence: float, items: list[dict]) -> list[dict
     out: list[dict] = []
 
     def walk(item: dict, parent: str | None, depth: int) -> None:
-        h = digest(snippet(item))
+        h = digest(item["snippet"])
         action = f"la:{fid}:{h}#{ordinals[h]}"
         ordinals[h] += 1
         row = dict.fromkeys(FIELDS)
@@ -112,3 +84,44 @@ def rows(path: str, fmt: str, confidence: float, items: list[dict]) -> list[dict
 def failed(path: str, fmt: str, message: str) -> dict:
     row = dict.fromkeys(FIELDS)
     return row | {"file_path": path, "file_id": file_id(path), "format": fmt, "error": message[:500]}
+
+
+def described(path: str, fmt: str, confidence: float) -> dict:
+    """The row of a program without actions."""
+    row = dict.fromkeys(FIELDS)
+    return row | {"file_path": path, "file_id": file_id(path), "format": fmt, "ld_id": f"launch_desc_{file_id(path)}", "ld_confidence": confidence}
+
+
+def _field(s: object) -> dict | None:
+    """A substitution of a document, whose literals keep their JSON type."""
+    if not isinstance(s, dict):
+        return literal(s)
+    kind = s.get("type")
+    names = {"argument_reference": ("argument_name", "default_value"), "environment_variable": ("variable_name", "default_value"), "file_path": ("package", "relative_path")}
+    if kind in names:
+        a, b = names[kind]
+        return subst(kind, s.get(a), None if s.get(b) is None else str(s[b]))
+    if kind == "expression":
+        return subst(kind, None, json.dumps(s.get("expression"), ensure_ascii=False))
+    return literal(s.get("value"))
+
+
+def from_document(d: dict) -> list[dict]:
+    """The rows of a document; positions are those of the actions' order in it."""
+    where = (d.get("provenance") or {}).get("source_location") or {}
+    head = {"file_path": where.get("file_path") or d.get("launch_file_id"), "file_id": d.get("launch_file_id"), "format": d.get("format"), "ld_id": d["id"], "ld_confidence": (d.get("provenance") or {}).get("confidence")}
+    parent = {c: k for k, a in d.get("actions", {}).items() for c in a.get("children") or []}
+    out = []
+    for pos, (key, a) in enumerate(d.get("actions", {}).items()):
+        prov = a.get("provenance") or {}
+        row = dict.fromkeys(FIELDS) | head | {"pos": pos, "action_id": a.get("id", key), "action_type": a.get("action_type"), "parent_id": parent.get(key), "conditions": [json.dumps(c, ensure_ascii=False) for c in a.get("conditions") or []]}
+        row |= {"confidence": prov.get("confidence"), "source_file": (prov.get("source_location") or {}).get("file_path")}
+        row |= {k: _field(a[k]) for k in ("name", "package", "executable", "namespace", "default_value", "value") if a.get(k) is not None}
+        row |= {k: a[k] for k in ("description", "choices", "target_scope", "ros_arguments", "launch_prefix", "included_launch_id") if k in a}
+        row |= {k: {n: _field(v) for n, v in (a.get(k) or {}).items()} for k in ("parameters", "argument_mappings")}
+        if a.get("set_parameters"):
+            row["parameters"] |= {n: _field(v) for n, v in a["set_parameters"].items()}
+        pick = lambda m, *names: next((m[n] for n in names if m.get(n)), None)
+        row["remappings"] = [{"from_topic": pick(m, "from", "from_topic", "src"), "to_topic": _field(pick(m, "to", "to_topic", "dst"))} for m in a.get("remappings") or []]
+        out.append(row)
+    return out or [dict.fromkeys(FIELDS) | head]
