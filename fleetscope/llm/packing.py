@@ -32,7 +32,7 @@ GROUP = 1_000
 class ChunkIds(dict):
     """The ids of text chunks by the tokenizers library, encoded a batch of new chunks at a time; emptied at a bound."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
@@ -71,7 +71,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and size < 2_000_000:
+                while j < len(texts) and size < 1_000_000:
                     size += len(texts[j] or "")
                     j += 1
                 for doc, ids in zip(docs_[i:j], enc.encode([t or "" for t in texts[i:j]]), strict=True):

@@ -196,7 +196,7 @@ def wide_fingerprints(docs: DataFrame, k: int = 5, keys: int = KEYS) -> DataFram
     """
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             total, two, wide = [], [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
@@ -204,17 +204,14 @@ def wide_fingerprints(docs: DataFrame, k: int = 5, keys: int = KEYS) -> DataFram
                 total.append(xxhash.xxh64_intdigest(b" ".join(words)))
                 two.append(sketch(shingle_hashes(wh, 2)))
                 wide.append(sketch(shingle_hashes(wh, k)))
-            for i in range(0, b.num_rows, 512):
-                part = slice(i, i + 512)
-                short = hyperplanes(np.stack(two[part])).astype(np.uint64)
-                full = hyperplanes(np.stack(wide[part]))
-                key = short[:, 0 : 3 * keys : 3] << U64(16) | short[:, 1 : 3 * keys : 3] << U64(8) | short[:, 2 : 3 * keys : 3] | (np.arange(keys, dtype=np.uint64) << U64(24))
-                n = len(key)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * keys)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n), as_long(np.array(total[part], np.uint64)), pa.ListArray.from_arrays(offsets, as_long(key.ravel())), pa.array([r.tobytes() for r in full], pa.binary())],
-                    names=["doc_id", "words", "keys", "wide"],
-                )
+            short = hyperplanes(np.stack(two)).astype(np.uint64)
+            full = hyperplanes(np.stack(wide))
+            key = short[:, 0 : 3 * keys : 3] << U64(16) | short[:, 1 : 3 * keys : 3] << U64(8) | short[:, 2 : 3 * keys : 3] | (np.arange(keys, dtype=np.uint64) << U64(24))
+            offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * keys)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), as_long(np.array(total, np.uint64)), pa.ListArray.from_arrays(offsets, as_long(key.ravel())), pa.array([r.tobytes() for r in full], pa.binary())],
+                names=["doc_id", "words", "keys", "wide"],
+            )
 
     rows = docs.select("doc_id", "text")
     return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, words long, keys array<long>, wide binary")
