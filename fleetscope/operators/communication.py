@@ -24,7 +24,7 @@ def isolated_node(nodes: DataFrame, pubs: DataFrame, subs: DataFrame, scope: str
 
 def _lonely(ends: DataFrame, others: DataFrame, topics: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
     on = keys(scope, "topic_id")
-    alone = ends.join(others.select(*on), on, "left_anti")
+    alone = ends.select(*dict.fromkeys((*on, "endpoint_id", "node_id", "msg_type"))).join(others.select(*on), on, "left_anti")
     named = alone.join(topics.select(*on, "topic_name"), on).join(nodes.select(*keys(scope, "node_id"), "runtime_name"), keys(scope, "node_id"))
     return named.select("endpoint_id", "topic_id", "topic_name", "node_id", "runtime_name", "msg_type")
 

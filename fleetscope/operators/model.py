@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def packages(actions: DataFrame) -> DataFrame:
-    """Each package's distinct executables, sorted, and its launch files."""
-    nodes = actions.where("action_type = 'node' AND executable <> '__executable__'")
+    """Each package's distinct executables, sorted, and its launch files; plain processes have a package of their own."""
+    nodes = actions.where("action_type = 'node' AND package <> ''")
     return nodes.groupBy("package").agg(F.array_join(F.sort_array(F.collect_set("executable")), ",").alias("executables"), F.countDistinct("file_id").alias("files"))
 
 
@@ -27,7 +27,7 @@ def exec_configs(descriptions: DataFrame) -> DataFrame:
 
 def counts(actions: DataFrame) -> DataFrame:
     return actions.groupBy("ld_id").agg(
-        F.count_if((F.col("action_type") == "node") & (F.col("executable") != "__executable__")).alias("nodes"), F.count_if(F.col("action_type") == "declare_argument").alias("args"), F.count_if(F.col("action_type") == "include").alias("includes"), F.count(F.lit(1)).alias("total")
+        F.count_if((F.col("action_type") == "node") & ~F.col("package").eqNullSafe(F.lit("__executable__"))).alias("nodes"), F.count_if(F.col("action_type") == "declare_argument").alias("args"), F.count_if(F.col("action_type") == "include").alias("includes"), F.count(F.lit(1)).alias("total")
     )
 
 

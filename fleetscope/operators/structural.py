@@ -86,7 +86,7 @@ def detect(actions: DataFrame, catalog: DataFrame | None = None, timestamp: str
 
 def query_node_no_name(actions: DataFrame) -> DataFrame:
     """Without pseudo-nodes; package and executable must be known."""
-    return actions.where("action_type = 'node' AND name IS NULL AND package IS NOT NULL AND executable IS NOT NULL AND executable <> '__executable__'")
+    return actions.where("action_type = 'node' AND name IS NULL AND package IS NOT NULL AND executable IS NOT NULL AND package <> '__executable__'")
 
 
 def query_action_without_provenance(actions: DataFrame) -> DataFrame:

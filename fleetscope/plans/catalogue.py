@@ -104,7 +104,7 @@ def _simple(name: str, rule: Callable[[DataFrame], DataFrame], where: str) -> No
 
 
 _UNRESOLVED = "(contains(included_launch_id, 'os_path_join') OR contains(included_launch_id, 'type____var') OR contains(included_launch_id, 'type____launch'))"
-_simple("l2_node_no_name", structural.query_node_no_name, "action_type = 'node' AND name IS NULL AND executable <> '__executable__'")
+_simple("l2_node_no_name", structural.query_node_no_name, "action_type = 'node' AND name IS NULL AND package <> '__executable__'")
 _simple("l2_arg_no_default", structural.arg_no_default, "action_type = 'declare_argument' AND default_value IS NULL")
 _simple("l2_include_unresolved", structural.include_unresolved, f"action_type = 'include' AND {_UNRESOLVED}")
 _simple("l2_action_without_provenance", structural.query_action_without_provenance, "source_file IS NULL")
@@ -497,10 +497,10 @@ def shacl_report(s, d):
 
 # Model document
 
-_REAL = "action_type = 'node' AND executable <> '__executable__'"
+_REAL = "action_type = 'node' AND package <> '__executable__'"
 
 
-@query(ACTION + f"SELECT package, string_agg(DISTINCT executable, ',' ORDER BY executable) AS executables, count(DISTINCT file_id) AS files FROM action WHERE {_REAL} GROUP BY package")
+@query(ACTION + f"SELECT package, string_agg(DISTINCT executable, ',' ORDER BY executable) AS executables, count(DISTINCT file_id) AS files FROM action WHERE action_type = 'node' GROUP BY package")
 def model_packages(s, d):
     return model.packages(views.actions(s, d))
 

@@ -56,8 +56,8 @@ _ACTION = """SELECT conv_id AS ld_id, turn AS pos, role, length(text) AS n,
        ELSE 'la:file_conv_' || CAST(conv_id AS {s}) || ':' || substr(md5(substr(text, 1, 1)), 1, 8) || '#' || CAST(turn AS {s}) END AS stated_id,
   CASE turn % 5 WHEN 0 THEN 'node' WHEN 1 THEN 'declare_argument' WHEN 2 THEN 'include' WHEN 3 THEN 'push_namespace' ELSE 'set_parameter' END AS action_type,
   CASE WHEN length(text) % 3 = 0 THEN NULL ELSE lower(substr(text, 1, 3)) END AS name,
-  'pkg_' || role AS package,
-  CASE WHEN length(text) % 11 = 0 THEN '__executable__' ELSE 'exe_' || CAST(length(text) % 7 AS {s}) END AS executable,
+  CASE WHEN length(text) % 11 = 0 THEN '__executable__' ELSE 'pkg_' || role END AS package,
+  'exe_' || CAST(length(text) % 7 AS {s}) AS executable,
   CASE WHEN length(text) % 4 = 1 THEN NULL ELSE '/ns' || CAST(length(text) % 4 AS {s}) END AS namespace,
   CASE WHEN length(text) % 2 = 0 THEN NULL ELSE 'default' END AS default_value,
   CASE WHEN length(text) % 4 = 0 THEN 0.8 ELSE 1.0 END AS confidence,

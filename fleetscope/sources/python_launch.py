@@ -111,9 +111,8 @@ class Walker:
         short = full.split(".")[-1]
         kw = {k.arg: self.value(k.value) for k in c.keywords if k.arg}
         args = [self.value(a) for a in c.args]
-        if not full and isinstance(c.func, ast.Attribute):  # a method of what a call gives; the pairs of a dict are the dict
-            inner = self.value(c.func.value)
-            return inner if c.func.attr == "items" and isinstance(inner, dict) else f"{inner}.{c.func.attr}()"
+        if isinstance(c.func, ast.Attribute) and not isinstance(c.func.value, (ast.Name, ast.Attribute)):
+            return f"{self.value(c.func.value)}.{c.func.attr}()"  # a method of a dict, string or call is text: the pairs of {...}.items() are not known
 
         def arg(i: int, *keys: str) -> object:
             return args[i] if i < len(args) else next((kw[k] for k in keys if kw.get(k) is not None), None)

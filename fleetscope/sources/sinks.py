@@ -12,8 +12,8 @@ from .launch import LaunchModel, to_documents
 
 
 def write_documents(model: LaunchModel, path: str) -> None:
-    """One JSON line a launch description, partitioned by its stem as ``stem=x.launch``."""
-    to_documents(model).select("stem", F.col("document").alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    """One JSON document a launch description, in a folder of its id: files of one stem don't overwrite each other."""
+    to_documents(model).select("ld_id", F.col("document").alias("value")).write.mode("overwrite").partitionBy("ld_id").text(path)
 
 
 def issue_documents(issues: DataFrame, timestamp: str, key: str = "ld_id") -> DataFrame:
