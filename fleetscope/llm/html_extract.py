@@ -70,10 +70,10 @@ def marked(word: str) -> bool:
     return parts[-1] in MARKS or parts[0] in MARKS - {"header", "search", "notice", "promotion"}
 
 
-def never_content(name: str, attributes: dict[str, str], inside: set[str]) -> bool:
+def never_content(name: str, attributes: dict[str, str], stack: list[tuple[str, str, bool]]) -> bool:
     """Whether an element holds no content. A header within an article is the article's own if the page has none around it."""
     if name in NEVER:
-        return not (name == "header" and ("article" in inside or "main" in inside))
+        return not (name == "header" and any(s[0] in ("article", "main") for s in stack))
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if name in ("article", "main", "body", "html"):
@@ -85,16 +85,19 @@ def tokens(html: str) -> list[Token]:
     """The page as a token stream; every text knows its open elements. Unclosed and stray tags are put up with."""
     out: list[Token] = []
     stack: list[tuple[str, str, bool]] = []  # tag, label, content
+    paths: list[tuple[str, ...]] = [()]  # the labels up to each depth; tokens of equal paths share one tuple
+    known: dict[tuple[int, str], tuple[str, ...]] = {}
     at, n = 0, len(html)
 
     def text(piece: str) -> None:
         if piece:
-            out.append(Token("text", "", unescape(piece), tuple(s[1] for s in stack), not stack or stack[-1][2]))
+            out.append(Token("text", "", unescape(piece), paths[-1], not stack or stack[-1][2]))
 
     def close(to: int) -> None:
         while len(stack) > to:
             tag, label, content = stack.pop()
-            out.append(Token("close", label, path=tuple(s[1] for s in stack), content=content, block=tag in BLOCKS))
+            paths.pop()
+            out.append(Token("close", label, path=paths[-1], content=content, block=tag in BLOCKS))
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -139,11 +142,13 @@ def tokens(html: str) -> list[Token]:
                     break
         attributes = _attributes(m[2])
         label = tag + "".join(f".{c}" for c in sorted(attributes.get("class", "").lower().split())[:2])
-        content = (not stack or stack[-1][2]) and not never_content(tag, attributes, {s[0] for s in stack})
-        out.append(Token("open", label, path=tuple(s[1] for s in stack), content=content, block=tag in BLOCKS))
+        content = (not stack or stack[-1][2]) and not never_content(tag, attributes, stack)
+        out.append(Token("open", label, path=paths[-1], content=content, block=tag in BLOCKS))
         if tag in VOID:
             continue
         stack.append((tag, label, content))
+        key = (id(paths[-1]), label)
+        paths.append(known[key] if key in known else known.setdefault(key, (*paths[-1], label)))
     close(0)
     return out
 
@@ -275,14 +280,22 @@ def content_element(wrapper: list[tuple]) -> str | None:
 def main_text(html: str | None, element: str | None = None) -> str:
     """The blocks of the main text: those of the host's content element, else of article or main, else of the whole page."""
     page = tokens(html or "")
-    texts = [t for t in page if t.kind == "text" and t.content and t.text.strip()]
+    texts = {id(t.path): t.path for t in page if t.kind == "text" and t.content and t.text.strip()}
     wanted = None
     for test in (lambda x: x == element, lambda x: x.split(".")[0] == "article", lambda x: x.split(".")[0] == "main"):
-        if any(test(label) for t in texts for label in t.path):
+        if any(test(label) for path in texts.values() for label in path):
             wanted = test
             break
     blocks: list[str] = []
     part: list[str] = []
+    inside: dict[int, bool] = {}  # by path, which tokens share
+
+    def taken(path: tuple[str, ...]) -> bool:
+        if wanted is None:
+            return True
+        if id(path) not in inside:
+            inside[id(path)] = any(map(wanted, path))
+        return inside[id(path)]
 
     def end() -> None:
         line = SPACE.sub(" ", "".join(part)).strip()
@@ -292,7 +305,7 @@ def main_text(html: str | None, element: str | None = None) -> str:
 
     for t in page:
         if t.kind == "text":
-            if t.content and (wanted is None or any(map(wanted, t.path))):
+            if t.content and taken(t.path):
                 part.append(t.text)
         elif t.block:
             end()
