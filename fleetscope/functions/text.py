@@ -140,8 +140,27 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def include_display(c: Column) -> Column:
-    """The readable part of an included launch id."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^launch_desc_", ""), "^file_", ""), "_+", "_")
+    """The file name of an included launch id, as far as it can be told: suffixes get their dots back, a dynamic path keeps its last part."""
+
+    def dotted(x: Column) -> Column:
+        return F.regexp_replace(x, "_launch_(py|xml|yaml)$", ".launch.$1")
+
+    clean = dotted(F.regexp_replace(c, "^launch_desc_file_", ""))
+    last = F.regexp_extract(c, "_____([a-z][a-z0-9_]+_launch(?:_py|_xml|_yaml)?)__+$", 1)
+    tail = F.regexp_extract(clean, r"[a-z][a-z0-9_]+\.launch(?:\.py|\.xml|\.yaml)?$", 0)
+    dynamic = clean.contains("type") | clean.contains("var")
+    return F.when(~dynamic, clean).when(last != "", dotted(last)).when(tail != "", tail).otherwise(truncate(clean, 70))
+
+
+def contains_value(json: Column, value: str | float | bool | None) -> Column:
+    """Whether a JSON text holds ``value`` anywhere as a value (not as a key)."""
+    import json as _json
+
+    text = F.lit(_json.dumps(value, ensure_ascii=False))
+    bare = F.regexp_replace(json, r'"((?:[^"\\]|\\.)*)"\s*:', ":")  # keys go
+    if isinstance(value, str):
+        return bare.contains(text)
+    return F.regexp_replace(bare, r'"((?:[^"\\]|\\.)*)"', '""').rlike(rf"(^|[\[,:\s]){_json.dumps(value)}($|[\],}}\s])".replace(".", r"\."))
 
 
 def unresolved_include(c: Column) -> Column:

@@ -38,3 +38,17 @@ def document(actions: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     if issues is not None:
         out = out.join(issues.groupBy("ld_id").agg(F.sort_array(F.collect_list(F.struct("issue_id", "issue_key", "severity", "description"))).alias("issues")), "ld_id", "left")
     return out.select("ld_id", F.to_json(F.struct(*[c for c in out.columns])).alias("document"))
+
+
+def lines(actions: DataFrame) -> DataFrame:
+    """(ld_id, pos, depth, line): one readable line an action."""
+    from fleetscope.functions import text as T
+
+    part = lambda before, c, after="": F.coalesce(F.concat(F.lit(before), F.col(c), F.lit(after)), F.lit(""))
+    node = F.concat(F.lit("NODE      "), F.coalesce("package", F.lit("?")), F.lit(" / "), F.coalesce("executable", F.lit("?")), part("   [", "name", "]"), part("   ns=", "namespace"))
+    title = (
+        F.when(F.col("package").eqNullSafe(F.lit("__executable__")), F.concat(F.lit("PROCESS   "), "executable")).when(F.col("action_type") == "node", node)
+        .when(F.col("action_type") == "include", F.concat(F.lit("INCLUDE   "), T.truncate(T.include_display(F.col("included_launch_id")), 70))).when(F.col("action_type") == "declare_argument", F.concat(F.lit("ARG       "), "name", part(" = ", "default_value")))
+        .when(F.col("action_type") == "set_parameter", F.concat(F.lit("SET       "), "name", part(" = ", "value"))).when(F.col("action_type") == "push_namespace", F.concat(F.lit("NAMESPACE "), F.coalesce("namespace", F.lit("")))).otherwise(F.lit("GROUP"))
+    )
+    return actions.select("ld_id", "pos", "depth", F.concat(T.short_id(F.col("action_id")), F.lit("  "), title, part("   [if: ", "cond", "]")).alias("line"))

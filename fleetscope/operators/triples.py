@@ -140,7 +140,7 @@ def solve(triples: DataFrame, q: Query) -> DataFrame:
 
 
 class Repository:
-    """A partitioned table of triples in place of a triplestore: graphs are partitions; clear, upload and query are table operations."""
+    """A table of triples in place of a triplestore, with a column for the graph; clear, upload and query are table operations."""
 
     def __init__(self, spark, path: str) -> None:
         self.spark, self.path = spark, path

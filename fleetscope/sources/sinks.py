@@ -78,3 +78,18 @@ def model_document(model: LaunchModel, issues: DataFrame | None = None, project:
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out.select(F.to_json(F.struct(F.lit("1.0.0").alias("metamodel_version"), F.lit(project).alias("project_name"), *out.columns)).alias("document"))
+
+
+def folder_document(spark, folder: str, project: str = "fleet") -> DataFrame:
+    """The model document of a results folder: its programs (*.json), its issues below ``issues`` and the annotations in ``node_interfaces`` beside it, as far as there are any."""
+    from .interfaces import read_interfaces
+    from .launch import read_documents
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    beside = f"{folder.rstrip('/').rpartition('/')[0]}/node_interfaces"
+    issues = read_issues(spark, f"{folder}/issues").withColumn("issue_key", F.lit(None).cast("string")) if there(f"{folder}/issues") else None
+    impls = read_interfaces(spark, beside).impls if there(beside) else None
+    return model_document(read_documents(spark, folder), issues, project, impls)

@@ -11,7 +11,8 @@ PAIRS = [
     (T.slug, "/robot//odom/", "robot_odom"), (T.slug, "/", "root"), (T.slug, " a-b ", "a_b"), (T.slug, "", "root"), (T.topic_id, "/a/b", "topic:a_b"), (T.topic_id, "/a_b", "topic:a_b"),
     (T.normalize_namespace, "robot", "/robot"), (T.normalize_namespace, "/robot/", "/robot"), (T.normalize_namespace, "/", ""), (T.normalize_namespace, "$(arg ns)", ""), (T.normalize_namespace, None, ""),
     (T.resolve_topic, "scan", "/scan"), (T.resolve_topic, "", "/"), (T.resolve_topic, "/scan/", "/scan"), (T.encode_uri, "la:f:00000000#0", "la%3Af%3A00000000%230"), (T.encode_uri, "a b~*", "a%20b~%2A"),
-    (T.short_id, "la:f:0123abcd#0", "#0123abcd"), (T.short_id, "la:f:0123abcd#2", "#0123abcd.2"), (T.include_display, "launch_desc_file_a__b", "a_b"),
+    (T.short_id, "la:f:0123abcd#0", "#0123abcd"), (T.short_id, "la:f:0123abcd#2", "#0123abcd.2"), (T.include_display, "launch_desc_file_nav_launch_py", "nav.launch.py"), (T.include_display, "launch_desc_file_os_path_join___type____var____name____d_____slam_launch_py__", "slam.launch.py"),
+    (lambda c: T.contains_value(c, "for"), '["for", {"a": 1}]', True), (lambda c: T.contains_value(c, "a"), '["for", {"a": 1}]', False), (lambda c: T.contains_value(c, 1), '["1", {"a": 1}]', True), (lambda c: T.contains_value(c, 1), '["1", 11]', False),
     (lambda c: T.resolve_topic(c, F.lit("/robot")), "scan", "/robot/scan"), (lambda c: T.resolve_topic(c, F.lit("/robot")), "/scan/", "/scan"), (lambda c: T.topic_matches(c, F.lit("/cmd_vel")), "cmd_vel", True),
     (lambda c: T.substitution_text(T.parse_substitution(c)), "$(env E d)", "$(env E d)"), (lambda c: T.substitution_text(T.parse_substitution(c)), "$(env E)", "$(env E)"), (lambda c: T.display_substitution(T.parse_substitution(c)), "$(env E d)", "$(env E=d)"),
     (lambda c: T.display_substitution(T.parse_substitution(c)), "$(find-pkg-share p)/c/d.yaml", "$(find-pkg-share p)/c/d.yaml"), (lambda c: T.truncate(c, 4), "abcdef", "abc…"), (lambda c: T.truncate(c, 4), "abcd", "abcd"),

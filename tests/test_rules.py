@@ -86,6 +86,20 @@ def test_main_package_ties_go_to_the_first_seen(spark):
     assert {r["ld_id"]: r["package"] for r in model.main_package(rows).collect()} == {"L": "c", "M": "b"}
 
 
+def test_registry_takes_functions_and_sql(spark):
+    from fleetscope.operators.registry import Registry
+
+    actions = spark.createDataFrame([("a", "node", None), ("b", "node", "x"), ("c", "include", None)], "action_id string, action_type string, name string")
+    r = Registry()
+    r.register("nameless", lambda t: t["actions"].where("action_type = 'node' AND name IS NULL"))
+    r.register("named", "SELECT action_id, name FROM {actions} WHERE name IS NOT NULL")
+    r.register("off", lambda t: 1 / 0)
+    entry = lambda on, d: (on, "info", "c", "t", d, "r", "node")
+    known = catalog.load_catalog(spark, {"nameless": entry(True, "no name: {action_id}"), "named": entry(True, "{name}"), "off": entry(False, "")})
+    got = {r["issue_id"]: (r["entity_id"], r["description"]) for r in r.run({"actions": actions}, known).collect()}
+    assert got == {"rule_nameless_001": ("a", "no name: a"), "rule_named_001": ("b", "x")}
+
+
 # triples
 
 

@@ -165,6 +165,24 @@ def test_model_document(fleet):
     assert {f["language"] for p in doc["packages"] for f in p["files"]} == {"yaml"}  # ids of files have no suffix
 
 
+def test_lines(fleet):
+    from fleetscope.operators import model
+
+    said = [r["line"] for r in model.lines(fleet.actions).where("ld_id LIKE '%robot_launch_py'").orderBy("pos").collect()]
+    assert any("NODE      robot / base   [base]   [if: " in x for x in said) and any("PROCESS   ['echo', 'hi']" in x for x in said) and any("INCLUDE   nav.launch.py" in x for x in said) and any("ARG       mode = fast" in x for x in said)
+
+
+def test_folder_document(spark, tmp_path):
+    out = tmp_path / "output"
+    (out / "issues").mkdir(parents=True)
+    (tmp_path / "node_interfaces").mkdir()
+    (out / "issues" / "a.json").write_text('{"issues": [{"issue_id": "i1", "severity": "info"}]}')
+    (out / "a.layer2.json").write_text('{"id": "launch_desc_a", "launch_file_id": "a", "format": "python", "actions": {"la:a:00000000#0": {"id": "la:a:00000000#0", "action_type": "node", "package": {"type": "literal", "value": "p"}, "executable": {"type": "literal", "value": 7}}}}')
+    (tmp_path / "node_interfaces" / "a.layer1.yaml").write_text((HERE / "demo.layer1.yaml").read_text())
+    doc = json.loads(sinks.folder_document(spark, str(out)).first()["document"])
+    assert doc["launch_descriptions"][0]["launch_file_id"] == "p/a" and doc["issues"][0]["issue_id"] == "i1" and len(doc["node_implementations"]) == 10
+
+
 def test_issue_documents(fleet):
     rows = sinks.issue_documents(fleet.issues(timestamp="T0"), "T0").collect()
     for r in rows:
