@@ -54,8 +54,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
         return None
     train = np.flatnonzero(~held)
     at = np.concatenate([rows[i][0] for i in train])
-    value = np.concatenate([rows[i][1] for i in train]) * Model.SCALE
-    row = np.repeat(np.arange(len(train)), [len(rows[i][0]) for i in train])
+    value = np.concatenate([rows[i][1] for i in train]) * np.float32(Model.SCALE)
+    row = np.repeat(np.arange(len(train), dtype=np.int32), [len(rows[i][0]) for i in train])
     y = labels[train].astype(float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -92,16 +92,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         for b in batches:
             got = [features(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
+                [b.column(0), pa.array([g[0].astype(np.int16) for g in got], pa.list_(pa.int16())), pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32()))],
                 names=["quality", "at", "share"],
             )
 
     joined = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "quality")), "doc_id")
-    rows = map_arrow(joined.select("quality", "text", "doc_id"), lambda bs: run(b.select(["quality", "text"]) for b in bs), "quality int, at array<bigint>, share array<double>").toArrow()
+    rows = map_arrow(joined.select("quality", "text", "doc_id"), lambda bs: run(b.select(["quality", "text"]) for b in bs), "quality int, at array<smallint>, share array<float>").toArrow()
     if not rows.num_rows:
         return None
     # a fixed order, so that the fit repeats
-    got = [(np.array(a.values), np.array(s.values)) for a, s in zip(rows.column("at"), rows.column("share"), strict=True)]
+    got = [(np.array(a.values), np.array(s.values)) for a, s in zip(rows.column("at"), rows.column("share"), strict=True)]  # six bytes a feature
     quality = rows.column("quality").to_numpy()
     order = sorted(range(len(got)), key=lambda i: (xxhash.xxh64_intdigest(got[i][0].tobytes() + got[i][1].tobytes()), quality[i]))
     return fit([got[i] for i in order], quality[order])
