@@ -39,6 +39,14 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that an input doesn't have."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, survive lost executors and give the planner true sizes."""
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, map_arrow, word_hashes
+from .common import U64, fresh, gram_hashes, map_arrow, word_hashes
 
 #: Labelled rows in the sample, at most; buckets of hashed features; verdict threshold on the calibrated probability.
 MOST_LABELLED, BUCKETS, THRESHOLD = 4096, 1 << 15, 0.5
@@ -128,8 +128,8 @@ def counts(text: str, data: bytes, words: list[bytes], wh: np.ndarray) -> tuple[
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judged(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text and others) after a struct ``_q`` with the counts, base_failed, probability and kept."""
+def judged(docs: DataFrame, model: Model | None, q: str = "_q") -> DataFrame:
+    """All columns of ``docs`` (doc_id, text and others) after a struct ``q`` with the counts, base_failed, probability and kept."""
     names = docs.columns
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights
@@ -154,13 +154,19 @@ def judged(docs: DataFrame, model: Model | None) -> DataFrame:
                     col.append(v)
             kinds = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.bool_())
             labels = (*COUNTS, "base_failed", "probability", "kept")
-            q = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(labels))
-            yield pa.RecordBatch.from_arrays([q, *b.columns], names=["_q", *names])
+            said = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(labels))
+            yield pa.RecordBatch.from_arrays([said, *b.columns], names=[q, *names])
 
-    schema = "_q struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, base_failed: boolean, probability: double, kept: boolean>"
+    schema = f"`{q}` struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, base_failed: boolean, probability: double, kept: boolean>"
     return map_arrow(docs, run, ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)]))
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that base rules and classifier keep, unchanged. Null and empty texts go; without labels of both classes only the base rules judge."""
+    q = fresh("_q", docs.columns)
+    return judged(docs, train(docs, labels), q).where(F.col(q)["kept"]).drop(q)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the counts, base_failed, probability, kept) of each row.
 

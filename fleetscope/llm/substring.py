@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, Scratch, as_long, gram_hashes, map_arrow, mix, word_hashes
+from .common import MULT, U64, Scratch, as_long, fresh, gram_hashes, map_arrow, mix, word_hashes
 
 WINDOW, SEED = 13, 5
 
@@ -100,7 +100,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.free()
     first = windows.groupBy("m", "w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     later = windows.join(first, ["m", "w"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("w").alias("windows"))
-    out = scratch.cut(whole.join(later, "doc_id", "full"))
+    out = scratch.cut(whole.join(later, "doc_id", "full").select("doc_id", "runs", "windows"))
     for done in (hits, least, windows):
         scratch.drop(done)
     scratch.free()
@@ -156,7 +156,9 @@ def drop_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Kept words keep the white space before them. A document that loses all words stays with an empty text.
     """
     names = docs.columns
-    marked = docs.join(repeated(docs, scratch).select(F.col("doc_id").alias("_id"), F.col("runs").alias("_runs"), F.col("windows").alias("_windows")), F.col("doc_id") == F.col("_id"), "left").select(*[docs[c] for c in names], "_runs", "_windows")
+    own, runs_, windows_ = (fresh(c, names) for c in ("_id", "_runs", "_windows"))
+    found = repeated(docs, scratch).toDF(own, runs_, windows_)
+    marked = docs.join(found, F.col("doc_id") == F.col(own), "left").drop(own)
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def cut(text: str, out: np.ndarray) -> str:
