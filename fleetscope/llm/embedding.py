@@ -112,6 +112,7 @@ def similar_vectors(rows: DataFrame, scratch: Scratch, threshold: float = 0.98)
     # tiles of a cell, by hash: their number follows the cell's count
     counts = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = placed.join(counts, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")).cast("int"))
+    dealt = dealt.repartition("label", "size", "cell", "tile")  # else the join's partitioning serves, and a hot cell's tiles are made in one task
     tiles = scratch.cut(dealt.groupBy("label", "size", "cell", "tile").agg(F.collect_list(F.struct("rep", "n", "vector")).alias("rows")))
     # each tile meets those of its own cell and of the neighbours, once
     own = tiles.select("label", "size", "cell", "tile", F.explode(F.array(*[F.array(*[(F.col("cell")[k] + s[k]) for k in range(CELL_DIMS)]) for s in _shifts()])).alias("to"))
