@@ -89,7 +89,7 @@ class Tally:
 
 
 #: Documents in Python's hands at a time; distinct keys that a task keeps.
-SLICE, MOST_KEPT = 1024, 4 << 20
+SLICE, MOST_KEPT = 1024, 2 << 20
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
