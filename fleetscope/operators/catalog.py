@@ -67,10 +67,11 @@ def issues(candidates: DataFrame, catalog: DataFrame, id_of: Column, context: di
     disabled rule still uses numbers up; only then the catalogue is joined and disabled rules go. The timestamp is a parameter.
     """
     n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    rows = candidates.withColumn("_n", n).join(F.broadcast(catalog.where("enabled")), "issue_key")
+    known = catalog.where("enabled").select("issue_key", F.struct("severity", "category", "title", "description", "recommendation", "entity_type").alias("_c"))  # rows may have columns of these names
+    rows = candidates.withColumn("_n", n).join(F.broadcast(known), "issue_key")
     render = T.render_strict if strict else T.render_lenient
     return rows.select(
-        F.concat(id_of, T.numbered(F.col("_n"))).alias("issue_id"), "issue_key", "severity", "category", render(F.col("description"), context).alias("description"), "entity_type", "entity_id",
+        F.concat(id_of, T.numbered(F.col("_n"))).alias("issue_id"), "issue_key", "_c.severity", "_c.category", render(F.col("_c.description"), context).alias("description"), "_c.entity_type", "entity_id",
         F.lit(tool).alias("analysis_tool"), F.lit(timestamp).cast("string").alias("analysis_timestamp"),
-        F.create_map(F.lit("title"), F.col("title"), F.lit("recommendation"), F.col("recommendation")).alias("metadata"),
+        F.create_map(F.lit("title"), F.col("_c.title"), F.lit("recommendation"), F.col("_c.recommendation")).alias("metadata"),
     )
