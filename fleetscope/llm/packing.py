@@ -9,6 +9,7 @@ rank among those of its length.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from dataclasses import dataclass, field
@@ -25,14 +26,16 @@ from .common import Scratch, map_arrow
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END = 2048, 0
-#: Pieces of one length that are ranked together; a longer list is dealt over more salts.
+#: Pieces of one length that are ranked together, at least; a longer list is dealt over salts, as many as a salt has rows.
 GROUP = 1_000
+#: Chunks whose ids a worker remembers; it takes four times so many characters at a time.
+MOST_CHUNKS = 500_000
 
 
 class ChunkIds(dict):
     """The ids of text chunks by the tokenizers library, encoded a batch of new chunks at a time; emptied at a bound."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = MOST_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
@@ -55,15 +58,15 @@ class ChunkIds(dict):
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def chunk_ids(path: str, most: int = MOST_CHUNKS) -> ChunkIds:
+    return ChunkIds(path, most)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut from the back into full pieces."""
 
     def run(batches):
-        enc = chunk_ids(path)
+        enc = chunk_ids(path, most_chunks)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
@@ -71,7 +74,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and size < 1_000_000:
+                while j < len(texts) and size < 4 * most_chunks:
                     size += len(texts[j] or "")
                     j += 1
                 for doc, ids in zip(docs_[i:j], enc.encode([t or "" for t in texts[i:j]]), strict=True):
@@ -220,17 +223,17 @@ def fewest(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bins]:
     return min(plans, key=lambda bins: sum(b.count for b in bins))
 
 
-def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
     A null or empty text is its end id alone. Rows that repeat are packed as often as they come; null ids too. Ranks are
     counted within (length, salt), so that a length that a third of all pieces have is spread. Other columns are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    pieces = scratch.cut(pieces_of(docs, path, capacity))
+    pieces = scratch.cut(pieces_of(docs, path, capacity, most_chunks))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     bins = fewest(histogram, capacity)
-    lengths = docs.sparkSession.createDataFrame([(n, -(-c // GROUP)) for n, c in histogram.items()], "length long, salts long")
+    lengths = docs.sparkSession.createDataFrame([(n, -(-c // max(GROUP, math.isqrt(c)))) for n, c in histogram.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,6 +61,21 @@ def test_round_trip_query(spark, docs_of, prose, reference):
 # packing
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(" \t\n\r\u00a0\u2003\u3000ab,.'1\u00e9s", max_size=14), min_size=1, max_size=4))
+def test_words_are_encoded_as_the_library_does(texts):
+    ids = packing.chunk_ids(public_tokenizers.path(packing.VOCABULARY))
+    want = [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ids.encode(texts) == want
+
+
+def test_full_tables_are_emptied():
+    small = packing.ChunkIds(public_tokenizers.path(packing.VOCABULARY), most=5)
+    for text in ("one two three four five six seven", "eight  nine ten, eleven", "one two"):
+        assert small.encode([text]) == [np.array(small.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(small) <= 12
+
+
 def check(rows, docs):
     """The pieces are right, and they fill their sequences without gaps or overlaps."""
     from tokenizers import Tokenizer
