@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, as_long, map_arrow, mix, shingle_hashes, word_hashes
+from .common import Scratch, as_long, map_arrow, ragged, shingle_hashes, word_hashes
 from .components import connected_components
 
 TILE = 512
@@ -159,94 +159,132 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
 
 
-# Similarity of word shingles: wide fingerprints.
+# Similarity of word shingles: an exact join by prefixes of the shingle sets.
 
-BITS, RADIUS, KEYS = 1024, 165, 40
-_SIGNS = mix(np.arange(BITS, dtype=np.uint64) + U64(77)) & U64(1)
-_FLIP = (1.0 - 2.0 * _SIGNS.astype(np.float32)).astype(np.float32)
+#: Documents whose shingles are counted at once; shingles whose counts are broadcast at most, which sets their order and no result.
+COUNTED, MOST_COMMON = 4096, 1 << 18
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The set of shingles as signed sums in BITS buckets."""
-    s = np.unique(shingles)
-    sign = 1.0 - 2.0 * ((s >> U64(40)) & U64(1)).astype(np.float32)
-    return np.bincount((s & U64(BITS - 1)).astype(np.int64), weights=sign, minlength=BITS).astype(np.float32)
+def shingle_set(text: str | None, k: int) -> tuple[int, np.ndarray]:
+    """(hash of the word sequence, the sorted distinct k-word shingles)."""
+    words = (text or "").encode().lower().split()
+    return xxhash.xxh64_intdigest(b" ".join(words)), np.unique(shingle_hashes(word_hashes(words), k))
 
 
-def hyperplanes(rows: np.ndarray) -> np.ndarray:
-    """SimHash bits of sketches, BITS / 8 bytes a row: random signs and two fast Hadamard transforms make the hyperplanes."""
-    x = rows * _FLIP
-    for turn in range(2):
-        h = 1
-        while h < BITS:
-            x = x.reshape(len(rows), -1, 2, h)
-            x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2)
-            h *= 2
-        x = x.reshape(len(rows), BITS)
-        if not turn:
-            x = x * np.roll(_FLIP, 331)
-    return np.packbits(x > 0, axis=1)
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, documents) of shingles that many documents hold, as far as documents of one block share them; sorted."""
+
+    def run(batches):
+        for b in (whole.slice(i, COUNTED) for whole in batches for i in range(0, whole.num_rows, COUNTED)):
+            sets = [shingle_set(t, k)[1] for t in b.column(0).to_pylist()]
+            key, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([as_long(key[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+    counts = map_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32")
+    common = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    key, n = common.column("key").to_numpy().astype(np.int64).view(np.uint64), common.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
-def wide_fingerprints(docs: DataFrame, k: int = 5, keys: int = KEYS) -> DataFrame:
-    """(doc_id, words: a hash of the word sequence, keys: array<long>, wide: binary).
+def prefixes(docs: DataFrame, k: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, words: a hash of the word sequence, size, keys: array<long>).
 
-    ``wide`` is the fingerprint of the set of k-word shingles. ``keys`` groups three positional bytes each of the
-    fingerprint of 2-word shingles, which few edits change less, so that a group of a near copy is whole more often.
+    Shingles are ordered by their counts in ``common``, then by hash. Of two sets of similarity 0.8 or more, the first
+    size - ceil(0.8 size) + 1 shingles of each have one in common, whatever the order; those are the keys.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON entries at most
 
     def run(batches):
+        known, counts = shared.value
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            total, two, wide = [], [], []
+            total, sizes, keys = [], [], []
             for t in b.column(1).to_pylist():
-                words = (t or "").encode().lower().split()
-                wh = word_hashes(words)
-                total.append(xxhash.xxh64_intdigest(b" ".join(words)))
-                two.append(sketch(shingle_hashes(wh, 2)))
-                wide.append(sketch(shingle_hashes(wh, k)))
-            short = hyperplanes(np.stack(two)).astype(np.uint64)
-            full = hyperplanes(np.stack(wide))
-            key = short[:, 0 : 3 * keys : 3] << U64(16) | short[:, 1 : 3 * keys : 3] << U64(8) | short[:, 2 : 3 * keys : 3] | (np.arange(keys, dtype=np.uint64) << U64(24))
-            offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * keys)
+                h, s = shingle_set(t, k)
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, counts[at], 0)
+                total.append(h)
+                sizes.append(len(s))
+                keys.append(s[np.argsort(rank, kind="stable")[: len(s) - (4 * len(s) + 4) // 5 + 1]])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), as_long(np.array(total, np.uint64)), pa.ListArray.from_arrays(offsets, as_long(key.ravel())), pa.array([r.tobytes() for r in full], pa.binary())],
-                names=["doc_id", "words", "keys", "wide"],
+                [b.column(0), as_long(np.array(total, np.uint64)), pa.array(sizes, pa.int64()), ragged(as_long(np.concatenate(keys)), [len(x) for x in keys])], names=["doc_id", "words", "size", "keys"]
             )
 
     rows = docs.select("doc_id", "text")
-    return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, words long, keys array<long>, wide binary")
+    return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, words long, size long, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, keep) of the documents that belong to a group of near copies; keep is the group's smallest doc_id.
+def similar(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, near) for each pair of ``id``s: whether the shingle sets of their texts have a Jaccard similarity of 0.8 or more."""
+
+    def run(batches):
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            held: dict[int, np.ndarray] = {}
+            near = []
+            for x, y, s, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                for i, text in ((x, s), (y, t)):
+                    if i not in held:
+                        held[i] = shingle_set(text, k)[1]
+                p, q = held[x], held[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(5 * both >= 4 * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
+    return map_arrow(pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t"), run, "a long, b long, near boolean")
 
-    Near copies: k-word shingle sets of Jaccard similarity 0.8 or more, as the 1024-bit SimHash tells it (165 differing bits
-    are 0.8 less its standard error), or equal word sequences. Ids are taken as unique; rows with a null id are left out.
-    """
-    fps = scratch.cut(wide_fingerprints(docs.where("doc_id IS NOT NULL"), k))
-    classes = fps.groupBy("words").agg(F.min("doc_id").alias("low"))
-    first = scratch.cut(fps.join(classes, "words").where("doc_id = low").select("words", "keys", "wide").dropDuplicates(["words"]))
-    keyed = first.select(F.explode("keys").alias("key"), F.col("words").alias("id"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keyed.join(counts, "key").select("key", "id").join(first.select(F.col("words").alias("id"), "wide"), "id")
-    lists = posting_lists(shared.select("key", F.struct("id", "wide").alias("member")), scratch, tile=256)
+
+def unlike_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): members of one list, of different roots, whose sizes allow a similarity of 0.8."""
 
     def run(batches):
         for b in batches:
-            left, right = [], []
             for members in b.column(0).to_pylist():
-                own = {m["id"]: m["wide"] for m in members}
-                ids = list(own)
-                x = np.frombuffer(b"".join(own.values()), np.uint64).reshape(len(ids), -1)
-                far = np.zeros((len(ids), len(ids)), np.uint16)
-                for j in range(x.shape[1]):
-                    far += np.bitwise_count(x[:, None, j] ^ x[None, :, j])
-                for p, q in forest(far <= radius):
-                    left.append(ids[p])
-                    right.append(ids[q])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    roots = connected_components(map_arrow(lists, run, "a long, b long"), scratch)
+                own = {m["id"]: m for m in members}
+                ids, sizes, roots = (np.array([m[c] for m in own.values()], np.int64) for c in ("id", "size", "root"))
+                for i in range(len(ids)):
+                    fits = (ids > ids[i]) & (roots != roots[i]) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i]))
+                    if fits.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(fits.sum(), ids[i])), pa.array(ids[fits])], names=["a", "b"])
+
+    return map_arrow(lists, run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
+    """(doc_id, keep) of the documents that belong to a group of near copies; keep is the group's smallest doc_id.
+
+    Near copies: k-word shingle sets of Jaccard similarity 0.8 or more, or equal word sequences; every such pair has a key in
+    common. To spare a group of near copies its square of pairs, a key's members first meet its smallest one, then the
+    largest outside that one's group; then all pairs that have a key in common and are in no group together are compared.
+    Ids are taken as unique; rows with a null id are left out.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    fps = scratch.cut(prefixes(rows, k, common_shingles(rows, k)))
+    classes = fps.groupBy("words").agg(F.min("doc_id").alias("low"))
+    first = fps.join(classes, "words").where("doc_id = low").select("doc_id", F.col("words").alias("id"), "size", "keys").dropDuplicates(["id"])
+    keyed = first.select(F.explode("keys").alias("key"), "doc_id", "id", "size")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = scratch.cut(keyed.join(counts, "key"))
+    texts = scratch.cut(rows.join(shared.select("doc_id", "id").distinct(), "doc_id").select("id", "text").dropDuplicates(["id"]))
+    seen = scratch.cut(scratch.spark.createDataFrame([], "a long, b long, near boolean"))
+
+    def grouped() -> DataFrame:
+        roots = connected_components(seen.where("near"), scratch)
+        named = shared.select("key", "id", "size").join(roots, shared.id == roots.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+        return scratch.cut(named.join(mixed, "key"))
+
+    for pick in (F.min, F.max):
+        groups = grouped()
+        centres = groups.groupBy("key").agg(pick(F.struct("root", "id", "size")).alias("c"))
+        pairs = groups.join(centres, "key").where("root <> c.root AND 5 * least(size, c.size) >= 4 * greatest(size, c.size)").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        seen = scratch.cut(seen.unionByName(similar(pairs.join(seen, ["a", "b"], "left_anti"), texts, k)))
+    pairs = unlike_pairs(posting_lists(grouped().select("key", F.struct("id", "size", "root").alias("member")), scratch, tile=256))
+    links = seen.unionByName(similar(pairs.join(seen, ["a", "b"], "left_anti"), texts, k)).where("near")
+
+    roots = connected_components(links, scratch)
     named = classes.join(roots.withColumnRenamed("node", "words"), "words", "left").select("words", "low", F.coalesce("root", "words").alias("root"))
     best = scratch.cut(named.groupBy("root").agg(F.min("low").alias("keep")))
     named = scratch.cut(named.join(best, "root").select("words", "keep"))

@@ -74,6 +74,40 @@ def test_near_duplicates_find_similar_texts(spark, scratch, docs_of):
     assert sum(d in kept for d in want) <= 0.02 * len(want)
 
 
+def test_near_duplicates_find_every_pair_from_0_8(spark, scratch, docs_of):
+    rng = random.Random(21)
+    make = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(240):
+        text = make(rng.randint(150, 600))
+        n = max(1, round(len(text) * rng.uniform(0.02, 0.21)))
+        at = rng.randrange(len(text) - n)
+        other = [text + make(n), text[:at] + text[at + n :], text[:at] + make(n // 2) + text[at + n // 2 :], list(text)][i % 4]
+        if i % 4 == 3:
+            for _ in range(max(1, n // 5)):
+                other[rng.randrange(len(other))] = "edit"
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(other))]
+        if brute.jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add(1000 + i)
+    at_80 = [w for w in want if brute.jaccard(rows[2 * (w - 1000)][1], rows[2 * (w - 1000) + 1][1]) < 0.9]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(rows), scratch).select("doc_id").collect()}
+    assert len(at_80) > 60 and kept == {d for d, _ in rows} - want
+
+
+def test_near_duplicates_group_as_all_pairs_do(spark, scratch, docs_of):
+    rng = random.Random(22)
+    base, passage = [rng.choices("abcdefghijklmnop", k=120) for _ in range(4)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(160):  # chains of near copies around four texts, half of them with one passage that all share
+        text = list(base[i % 4])
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(text + (passage if i % 8 < 4 else []))))
+    root = brute.components(range(160), [(a, b) for a in range(160) for b in range(a) if brute.jaccard(rows[a][1], rows[b][1]) >= 0.8])
+    got = {r["doc_id"]: r["keep"] for r in simhash.near_duplicates(docs_of(rows), scratch).collect()}
+    assert got == root and 8 < len(set(root.values())) < 150
+
+
 def test_near_duplicates_leave_different_texts_alone(spark, scratch, docs_of):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choices([f"u{j}" for j in range(3000)], k=100))) for i in range(300)]
