@@ -91,22 +91,63 @@ def _rule(contains: str) -> list[str]:
     return found
 
 
+#: Published wordings that differ from SENTENCES in more than white space within a paragraph.
+PUBLISHED = {"apache-copy": SENTENCES["apache-copy"].replace(" http://www.apache.org/licenses/LICENSE-2.0 ", "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n")}
+
+
+def pieces(sentence: str) -> list[str]:
+    """What the unwrapped reading below makes of a sentence, normalised."""
+    flat = re.sub(r"([.;:!?])[ \t\r\n]+|[ \t\r\n]+", lambda m: (m[1] or "") + " ", re.sub(r"\n[ \t\r]*\n", ":\n", sentence))
+    return [normalise(x) for x in re.sub("([.;:!?]) ", "\\1\n", flat).split("\n")]
+
+
+def cut_sentences() -> dict[str, list[str]]:
+    """Identifier: pieces, of the known sentences that no reading leaves whole."""
+    return {k: found for k, s in (SENTENCES | PUBLISHED).items() if len(found := pieces(s)) > 1}
+
+
+def _fits(readings: tuple[str, ...]) -> list[str]:
+    """A test of each licence's rules on columns in which each identifier stands between two commas of its own.
+
+    A sequence that begins a longer rule of another licence shows its own licence where it comes more often than the longer one.
+    """
+
+    def times(sequences: list[str]) -> str:
+        counts = (" + ".join(f"(length({r}) - length(replace({r}, '{t}', ''))) / {len(t)}" for t in sequences) for r in readings)
+        return f"array_max(array({', '.join(counts)}))"
+
+    rules = [(name, [s[:1] + s[1:-1].replace(",", ",,") + s[-1:] for s in sequences]) for name, sequences in by_license()]
+    out = []
+    for name, sequences in rules:
+        longer = [t for other, ts in rules if other != name for t in ts if any(len(t) > len(s) and s in t for s in sequences)]
+        test = f"{times(sequences)} > {times(longer)}" if longer else " OR ".join(f"contains({r}, '{s}')" for r in readings for s in sequences)
+        out.append(f"CASE WHEN {test} THEN '{name}' END")
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses) of each row: the identifiers in order, and the licences, joined by commas.
 
     Null and empty texts have none (empty strings). Rows of one doc_id, or of a null one, are scanned each for itself; other
-    columns are not read. A sentence that repeats counts as often as it comes, the licence once.
+    columns are not read. A sentence that repeats counts as often as it comes, the licence once. A known sentence that the
+    reading cuts into pieces counts once, where all its pieces stand in order.
     """
-    known = ", ".join(f"'{normalise(s)}', '{k}'" for k, s in SENTENCES.items())
-    reading = "transform(split({0}, '\\n'), s -> element_at(known, trim(regexp_replace(s, '[^a-z0-9]+', ' '))))"
+    cut = cut_sentences()
+    whole = {normalise(s): k for k, s in SENTENCES.items()}
+    known = ", ".join(f"'{s}', '{k}'" for s, k in (whole | {s: f"{k}.{i}" for k, found in cut.items() for i, s in enumerate(found)}).items())
+    found = "filter(transform(split({0}, '\\n'), s -> element_at(known, trim(regexp_replace(s, '[^a-z0-9]+', ' ')))), x -> x IS NOT NULL)"
+    joined = "concat(',', array_join({0}, ',,'), ',')"
+    for k, parts in cut.items():
+        joined = f"replace({joined}, '{''.join(f',{k}.{i},' for i in range(len(parts)))}', ',{k},')"
+    reading = f"regexp_replace({joined.format(found)}, ',[a-z0-9-]+[.][0-9],', '')"  # pieces that make no sentence go
     rows = docs.selectExpr("doc_id", f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t", f"map({known}) AS known")
     rows = rows.selectExpr("doc_id", "known", r"regexp_replace(t, '([.;:!?])[ \t\r]+', '$1\n') AS lines", r"regexp_replace(regexp_replace(t, '\n[ \t\r]*\n', ':\n'), '([.;:!?])[ \t\r\n]+|[ \t\r\n]+', '$1 ') AS flat")
     rows = rows.selectExpr("doc_id", "known", "lines", r"regexp_replace(flat, '([.;:!?]) ', '$1\n') AS flat")
-    rows = rows.selectExpr("doc_id", f"filter({reading.format('lines')}, x -> x IS NOT NULL) AS a", f"filter({reading.format('flat')}, x -> x IS NOT NULL) AS b")
-    rows = rows.selectExpr("doc_id", "CASE WHEN size(a) >= size(b) THEN a ELSE b END AS ids")
-    rows = rows.selectExpr("doc_id", "size(ids) AS n", "array_join(ids, ',') AS said", "concat(',', array_join(ids, ','), ',') AS sequence")
-    licenses = f"array_join(array({', '.join(_rule('contains(sequence, {0!r})'))}), ',')"
-    return rows.selectExpr("doc_id", "CAST(n AS BIGINT) AS n_sentences", "said AS sentence_ids", f"{licenses} AS licenses")
+    rows = rows.selectExpr("doc_id", f"{reading.format('lines')} AS a", f"{reading.format('flat')} AS b")
+    rows = rows.selectExpr("doc_id", "a", "b", "filter(split(a, ','), x -> x <> '') AS of_a", "filter(split(b, ','), x -> x <> '') AS of_b")
+    rows = rows.selectExpr("doc_id", "a", "b", "CASE WHEN size(of_a) >= size(of_b) THEN of_a ELSE of_b END AS ids", "CASE WHEN size(of_a) >= size(of_b) THEN a ELSE b END AS sequence")
+    licenses = f"array_join(array({', '.join(_fits(('sequence',)))}), ',')"
+    return rows.selectExpr("doc_id", "CAST(size(ids) AS BIGINT) AS n_sentences", "array_join(ids, ',') AS sentence_ids", f"{licenses} AS licenses")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,41 @@ def test_longer_rules_win(spark):
     assert licence(spark, "Licensed under CC BY 4.0.\nReleased under CC0 1.0.") == ["CC-BY-4.0,CC0-1.0"]
 
 
+def test_published_wordings(spark):
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    rows = spark.createDataFrame([(0, gpl), (1, apache), (2, "This program is free software: good"), (3, gpl + "\n\n" + gpl)], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in licenses.scan(rows).orderBy("doc_id").collect()]
+    free = "gpl-free,gpl-hope,gpl-implied,gpl-see"
+    assert got[0] == (4, free, "GPL-3.0-or-later")
+    assert got[1] == (4, "apache-header,apache-header-2,apache-copy,apache-see", "Apache-2.0")
+    assert got[2] == (0, "", "") and got[3] == (8, free + "," + free, "GPL-3.0-or-later")
+
+
+def test_a_shorter_rule_beside_a_longer_one(spark):
+    two = "\n".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    three = two + "\n" + licenses.SENTENCES["bsd-name"]
+    assert licence(spark, three + "\n" + two, three + "\n" + three) == ["BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause"]
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
