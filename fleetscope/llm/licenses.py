@@ -2,8 +2,8 @@
 
 Normalised sentences are looked up in a table of known licence sentences; the identifiers of those found, in order of the
 text, are matched against ordered rules, each a sequence of identifiers. Text that stands between known sentences is passed
-over. Sentences end at a line's end or, for licences that were wrapped, only at punctuation and blank lines: the reading that knows more
-sentences counts. All of it is one narrow projection: nothing is shuffled, whatever a document's size or source.
+over. Sentences end at a line's end or, for licences that were wrapped, only at punctuation and blank lines: the licences
+of both readings are reported, and the sentences of the reading that knows more of them. All of it is one narrow projection: nothing is shuffled, whatever a document's size or source.
 """
 
 from __future__ import annotations
@@ -145,8 +145,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.selectExpr("doc_id", "known", "lines", r"regexp_replace(flat, '([.;:!?]) ', '$1\n') AS flat")
     rows = rows.selectExpr("doc_id", f"{reading.format('lines')} AS a", f"{reading.format('flat')} AS b")
     rows = rows.selectExpr("doc_id", "a", "b", "filter(split(a, ','), x -> x <> '') AS of_a", "filter(split(b, ','), x -> x <> '') AS of_b")
-    rows = rows.selectExpr("doc_id", "a", "b", "CASE WHEN size(of_a) >= size(of_b) THEN of_a ELSE of_b END AS ids", "CASE WHEN size(of_a) >= size(of_b) THEN a ELSE b END AS sequence")
-    licenses = f"array_join(array({', '.join(_fits(('sequence',)))}), ',')"
+    rows = rows.selectExpr("doc_id", "a", "b", "CASE WHEN size(of_a) >= size(of_b) THEN of_a ELSE of_b END AS ids")
+    licenses = f"array_join(array({', '.join(_fits(('a', 'b')))}), ',')"
     return rows.selectExpr("doc_id", "CAST(size(ids) AS BIGINT) AS n_sentences", "array_join(ids, ',') AS sentence_ids", f"{licenses} AS licenses")
 
 

@@ -100,6 +100,12 @@ def test_a_shorter_rule_beside_a_longer_one(spark):
     assert licence(spark, three + "\n" + two, three + "\n" + three) == ["BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause"]
 
 
+def test_licenses_of_both_readings(spark):
+    wrapped = "\n\n".join(licenses.SENTENCES[k].replace(" of ", "\nof ", 1).replace(" or ", "\nor ", 1) for k in ("mit-grant", "mit-condition", "mit-warranty"))
+    title = "\n\nDocs\nLicensed under CC BY 4.0.\n\nMore\nReleased under CC0 1.0."
+    assert licence(spark, wrapped + title) == ["MIT,CC-BY-4.0,CC0-1.0"]
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
