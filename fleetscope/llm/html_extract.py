@@ -25,7 +25,7 @@ from .common import Scratch, map_arrow
 SAMPLE = 6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math object select option datalist canvas audio video head".split())
+RAW = frozenset("script style template noscript textarea title iframe svg object select option datalist canvas audio video head".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -117,14 +117,18 @@ def tokens(html: str) -> list[Token]:
                     close(i)
                     break
             continue
-        if tag in RAW:  # its text is no markup; a missing end tag ends it with the page, but for the head, at the body
+        if tag in ("svg", "math") and m[2].endswith("/"):
+            continue
+        if tag in RAW:  # its text is no markup; a missing end tag ends it with its parent, a script's or the like with the page, the head's at the body
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             if tag == "head" and (body := re.compile(r"<body[\s>]", re.I).search(html, at)) and (not end or body.start() < end.start()):
                 at = body.start()
             elif end:
                 at = end.end()
             elif tag not in ("head", "select", "option", "object"):
-                at = n
+                outer = [] if tag in ("script", "style", "textarea", "title") else [s[0] for s in reversed(stack)]
+                ends = (re.compile(rf"</{re.escape(o)}\s*>", re.I).search(html, at) for o in outer)
+                at = next((e.start() for e in ends if e), n)
             continue
         if tag in P_CLOSERS:
             for i in range(len(stack) - 1, -1, -1):

@@ -20,6 +20,11 @@ def test_odd_markup(html, want):
     assert H.main_text(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [("<p>a<svg width='1'/>b</p><svg><path/></svg><p>c</p>", "ab\nc"), ("<p>a <math/>b</p>", "a b"), ("<p>a <math><mi>x</mi></math> b</p>", "a x b"), ("<div>a<svg><path/></div><p>b</p>", "a\nb"), ("<div><p>a<canvas>no</p></div><p>b</p>", "a\nb"), ("<div>a<style>no</div><p>b</p>", "a")])
+def test_foreign_and_unclosed_elements(html, want):
+    assert H.main_text(html) == want
+
+
 def test_extract(spark, scratch):
     pages = [(i, f"http://h{i % 3}.example/{i}", PAGE.format(title=f"T{i}", one=f"one {i}", two=f"two {i}"), "x") for i in range(30)] + [(90, None, "<p>n</p>", "x"), (91, "http://z/", None, "x"), (91, "http://z/", None, "x")]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string, element string")
