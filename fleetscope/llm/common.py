@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetscope.shipping import ship
 
@@ -47,12 +48,22 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_root; it is deleted when the driver's JVM ends, as a result may be read until then."""
+    root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, survive lost executors and give the planner true sizes."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.root = f"{shared_root(spark)}/fleetscope-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, "fleetscope")
         self.n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -107,6 +118,17 @@ def shingle_hashes(wh: np.ndarray, k: int) -> np.ndarray:
     return gram_hashes(wh, k)
 
 
+def joined_broadcast(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose right side has a proven bound."""
+    return rows.join(F.broadcast(small), on, how)
+
+
+def hot_keys(counts: DataFrame, scratch: Scratch, share: int = 4096, least: int = 256) -> DataFrame:
+    """(key, n) of ``counts`` (key, n) for keys with over 1 / share of all rows (and over ``least``): ``share`` keys at most, whatever the input's size."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return scratch.cut(counts.where(F.col("n") > max(least, total // share)))
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

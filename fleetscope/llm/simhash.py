@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, map_arrow, ragged, shingle_hashes, word_hashes
+from .common import U64, Scratch, as_long, map_arrow, mix, ragged, shingle_hashes, word_hashes
 from .components import connected_components
 
 TILE = 512
@@ -41,14 +41,13 @@ def fingerprint64(words: list[bytes], k: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def position_groups(n: int, r: int) -> list[tuple[int, ...]]:
-    """Groups of positions such that any n - r of n positions hold one whole group.
+def position_groups() -> list[tuple[int, ...]]:
+    """The 14 groups of four of eight positions whose numbers cancel under exclusive or: the blocks of the Steiner system S(3, 4, 8).
 
-    Halving the positions and taking all groups of ceil((n - r) / 2) within each half does that: one half has so many of them.
+    Any three positions lie in one of them, and the other four positions of a group are a group, too; so any five shared
+    positions hold a whole group (the one beside that of the three others). Keys are four bytes long.
     """
-    size = -(-(n - r) // 2)
-    half = n // 2
-    return [g for part in (range(half), range(half, n)) for g in combinations(part, size)]
+    return [g for g in combinations(range(8), 4) if not g[0] ^ g[1] ^ g[2] ^ g[3]]
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -108,8 +107,10 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def linked_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct ``fp``."""
-    groups = position_groups(8, radius)
+    """(a, b): a spanning set of the links between distinct ``fp``, for a radius of 3 at most: five bytes at least are shared."""
+    if radius > 3:
+        raise ValueError("the position groups guarantee a radius of 3")
+    groups = position_groups()
 
     def key(i: int, g: tuple[int, ...]) -> Column:
         value = F.lit(i)
@@ -159,10 +160,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
 
 
-# Similarity of word shingles: an exact join by prefixes of the shingle sets.
+# Similarity of word shingles: candidates by prefixes of the shingle sets, count filtering on a row of bytes, then the texts.
 
 #: Documents whose shingles are counted at once; shingles whose counts are broadcast at most, which sets their order and no result.
 COUNTED, MOST_COMMON = 4096, 1 << 18
+#: 64-bit words of a parity fingerprint.
+PARITY = 16
 
 
 def shingle_set(text: str | None, k: int) -> tuple[int, np.ndarray]:
@@ -171,6 +174,35 @@ def shingle_set(text: str | None, k: int) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(b" ".join(words)), np.unique(shingle_hashes(word_hashes(words), k))
 
 
+def parity_bytes(shingles: np.ndarray) -> bytes:
+    """A fingerprint of ``8 * PARITY`` bytes: bit b is the parity of the number of shingles that fall on it.
+
+    Sets that differ in d elements have fingerprints that differ in d bits at most, so at least n - d of n bytes agree in place.
+    """
+    bits = np.bincount((mix(shingles) >> U64(32)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def may_reach(prints: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may have a similarity of 0.8 or more, by their sizes and parity fingerprints (rows of uint64).
+
+    Such sets differ in (|a| + |b|) / 9 elements at most. First the bytes that agree in place are tallied against the guaranteed
+    number, then differing bits are counted. No pair that reaches 0.8 is dropped.
+    """
+    both = sizes[:, None] + sizes[None, :]
+    ok = 5 * np.minimum(sizes[:, None], sizes[None, :]) >= 4 * np.maximum(sizes[:, None], sizes[None, :])
+    i, j = np.nonzero(np.triu(ok, 1))
+    for s in range(0, len(i), 1 << 14):
+        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+        x = prints[p] ^ prints[q]
+        differ = (x.view(np.uint8) != 0).sum(1)
+        near = 9 * differ <= both[p, q]
+        near[near] = 9 * np.bitwise_count(x[near]).sum(1, dtype=np.int64) <= both[p[near], q[near]]
+        ok[p, q] = near
+    ok = np.triu(ok, 1)
+    return ok | ok.T
+
+
 def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, documents) of shingles that many documents hold, as far as documents of one block share them; sorted."""
 
@@ -188,7 +220,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, words: a hash of the word sequence, size, keys: array<long>).
+    """(doc_id, words: a hash of the word sequence, size, print: parity fingerprint, keys: array<long>).
 
     Shingles are ordered by their counts in ``common``, then by hash. Of two sets of similarity 0.8 or more, the first
     size - ceil(0.8 size) + 1 shingles of each have one in common, whatever the order; those are the keys.
@@ -198,7 +230,7 @@ def prefixes(docs: DataFrame, k: int, common: tuple[np.ndarray, np.ndarray]) ->
     def run(batches):
         known, counts = shared.value
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            total, sizes, keys = [], [], []
+            total, sizes, prints, keys = [], [], [], []
             for t in b.column(1).to_pylist():
                 h, s = shingle_set(t, k)
                 rank = np.zeros(len(s), np.int64)
@@ -207,13 +239,15 @@ def prefixes(docs: DataFrame, k: int, common: tuple[np.ndarray, np.ndarray]) ->
                     rank = np.where(known[at] == s, counts[at], 0)
                 total.append(h)
                 sizes.append(len(s))
+                prints.append(parity_bytes(s))
                 keys.append(s[np.argsort(rank, kind="stable")[: len(s) - (4 * len(s) + 4) // 5 + 1]])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), as_long(np.array(total, np.uint64)), pa.array(sizes, pa.int64()), ragged(as_long(np.concatenate(keys)), [len(x) for x in keys])], names=["doc_id", "words", "size", "keys"]
+                [b.column(0), as_long(np.array(total, np.uint64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), ragged(as_long(np.concatenate(keys)), [len(x) for x in keys])],
+                names=["doc_id", "words", "size", "print", "keys"],
             )
 
     rows = docs.select("doc_id", "text")
-    return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, words long, size long, keys array<long>")
+    return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, words long, size long, print binary, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -236,18 +270,27 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return map_arrow(pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t"), run, "a long, b long, near boolean")
 
 
-def unlike_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): members of one list, of different roots, whose sizes allow a similarity of 0.8."""
+def possible_pairs(lists: DataFrame, spanning: bool) -> DataFrame:
+    """(a, b): members of one list, of different roots, that pass may_reach; all of them, or those that span what they connect."""
 
     def run(batches):
         for b in batches:
-            for members in b.column(0).to_pylist():
-                own = {m["id"]: m for m in members}
-                ids, sizes, roots = (np.array([m[c] for m in own.values()], np.int64) for c in ("id", "size", "root"))
-                for i in range(len(ids)):
-                    fits = (ids > ids[i]) & (roots != roots[i]) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i]))
-                    if fits.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(fits.sum(), ids[i])), pa.array(ids[fits])], names=["a", "b"])
+            at, rows = b.column(0).offsets.to_numpy(), b.column(0).values
+            ids, sizes, roots = (rows.field(c).to_numpy() for c in ("id", "size", "root"))
+            prints = np.frombuffer(b"".join(rows.field("print").to_pylist()), np.uint64).reshape(-1, PARITY)
+            two = at[:-1][np.diff(at) == 2]  # most lists: all at once
+            p, q = ids[two], ids[two + 1]
+            both = sizes[two] + sizes[two + 1]
+            ok = (roots[two] != roots[two + 1]) & (5 * np.minimum(sizes[two], sizes[two + 1]) >= 4 * np.maximum(sizes[two], sizes[two + 1]))
+            ok[ok] = 9 * np.bitwise_count(prints[two[ok]] ^ prints[two[ok] + 1]).sum(1, dtype=np.int64) <= both[ok]
+            left, right = [np.minimum(p, q)[ok]], [np.maximum(p, q)[ok]]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i > 2:
+                    near = may_reach(prints[i:j], sizes[i:j]) & (roots[i:j, None] != roots[None, i:j])
+                    x, y = np.array(forest(near), np.int64).reshape(-1, 2).T if spanning else np.nonzero(np.triu(near, 1))
+                    left.append(np.minimum(ids[i + x], ids[i + y]))
+                    right.append(np.maximum(ids[i + x], ids[i + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     return map_arrow(lists, run, "a long, b long").distinct()
 
@@ -256,35 +299,40 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
     """(doc_id, keep) of the documents that belong to a group of near copies; keep is the group's smallest doc_id.
 
     Near copies: k-word shingle sets of Jaccard similarity 0.8 or more, or equal word sequences; every such pair has a key in
-    common. To spare a group of near copies its square of pairs, a key's members first meet its smallest one, then the
-    largest outside that one's group; then all pairs that have a key in common and are in no group together are compared.
+    common and passes the count filter. To spare a group of near copies its square of pairs, a list of documents with a key in
+    common first gives pairs that span what may be near in it; then all pairs that may be near, have a key in common and are in
+    no group together are compared. Null and empty texts are copies of each other. Ties have no effect: the smallest id stays.
     Ids are taken as unique; rows with a null id are left out.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     fps = scratch.cut(prefixes(rows, k, common_shingles(rows, k)))
-    classes = fps.groupBy("words").agg(F.min("doc_id").alias("low"))
-    first = fps.join(classes, "words").where("doc_id = low").select("doc_id", F.col("words").alias("id"), "size", "keys").dropDuplicates(["id"])
-    keyed = first.select(F.explode("keys").alias("key"), "doc_id", "id", "size")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = scratch.cut(keyed.join(counts, "key"))
-    texts = scratch.cut(rows.join(shared.select("doc_id", "id").distinct(), "doc_id").select("id", "text").dropDuplicates(["id"]))
-    seen = scratch.cut(scratch.spark.createDataFrame([], "a long, b long, near boolean"))
-
-    def grouped() -> DataFrame:
-        roots = connected_components(seen.where("near"), scratch)
-        named = shared.select("key", "id", "size").join(roots, shared.id == roots.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-        return scratch.cut(named.join(mixed, "key"))
-
-    for pick in (F.min, F.max):
-        groups = grouped()
-        centres = groups.groupBy("key").agg(pick(F.struct("root", "id", "size")).alias("c"))
-        pairs = groups.join(centres, "key").where("root <> c.root AND 5 * least(size, c.size) >= 4 * greatest(size, c.size)").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-        seen = scratch.cut(seen.unionByName(similar(pairs.join(seen, ["a", "b"], "left_anti"), texts, k)))
-    pairs = unlike_pairs(posting_lists(grouped().select("key", F.struct("id", "size", "root").alias("member")), scratch, tile=256))
-    links = seen.unionByName(similar(pairs.join(seen, ["a", "b"], "left_anti"), texts, k)).where("near")
-
-    roots = connected_components(links, scratch)
+    classes = scratch.cut(fps.groupBy("words").agg(F.min("doc_id").alias("low")))
+    lowest = classes.select(F.col("words").alias("id"), F.col("low").alias("doc_id"))
+    first = fps.join(lowest, "doc_id").where("words = id").select("id", "size", "print", "keys")
+    met = posting_lists(first.select(F.explode("keys").alias("key"), F.col("id").alias("member")), scratch, tile=256)
+    # most lists hold the same few documents as others: each set of them is looked at once
+    lists = scratch.cut(met.select(F.array_sort(F.array_distinct("members")).alias("ids")).where("size(ids) > 1").distinct().select(F.monotonically_increasing_id().alias("list"), "ids"))
+    each = scratch.cut(lists.select("list", F.explode("ids").alias("id")))
+    scratch.free()
+    members = scratch.cut(first.select("id", "size", "print").join(each.select("id").distinct(), "id").dropDuplicates(["id"]))
+    wanted = members.select("id").join(lowest, "id")
+    texts = scratch.cut(rows.join(wanted, "doc_id").select("id", "text").dropDuplicates(["id"]))
+    seen = None
+    for spanning in (True, False):
+        found, of_lists = members.withColumn("root", F.col("id")), each
+        if seen is not None:  # only lists with members of several groups are looked at again
+            roots = connected_components(seen.where("near"), scratch).select(F.col("node").alias("id"), F.col("root").alias("r"))
+            found = scratch.cut(members.join(roots, "id", "left").withColumn("root", F.coalesce("r", "id")).drop("r"))
+            mixed = each.join(found.select("id", "root"), "id").groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            of_lists = each.join(mixed.select("list"), "list")
+        told = of_lists.join(found, "id").groupBy("list").agg(F.collect_list(F.struct("id", "size", "root", "print")).alias("rows"))
+        pairs = possible_pairs(told.select("rows"), spanning)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        new = scratch.cut(similar(scratch.cut(pairs), texts, k))
+        seen = new if seen is None else seen.unionByName(new)
+        scratch.free()
+    roots = connected_components(seen.where("near"), scratch)
     named = classes.join(roots.withColumnRenamed("node", "words"), "words", "left").select("words", "low", F.coalesce("root", "words").alias("root"))
     best = scratch.cut(named.groupBy("root").agg(F.min("low").alias("keep")))
     named = scratch.cut(named.join(best, "root").select("words", "keep"))

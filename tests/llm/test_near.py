@@ -24,10 +24,10 @@ def test_simhash_odd_inputs(spark, scratch, docs_of):
 
 
 def test_positions_are_guaranteed():
-    groups = simhash.position_groups(8, 3)
+    groups = simhash.position_groups()
     from itertools import combinations
 
-    assert all(any(set(g) <= set(same) for g in groups) for same in combinations(range(8), 5))
+    assert all(any(set(g) <= set(same) for g in groups) for same in combinations(range(8), 5)) and len(groups) == 14
 
 
 @pytest.mark.parametrize("tile", [2, 7])
@@ -94,6 +94,18 @@ def test_near_duplicates_find_every_pair_from_0_8(spark, scratch, docs_of):
     assert len(at_80) > 60 and kept == {d for d, _ in rows} - want
 
 
+def test_count_filter_drops_no_similar_pair():
+    rng = random.Random(31)
+    sets = [set(rng.sample(range(10**6), rng.choice([1, 3, 10, 60, 400, 3000]))) for _ in range(12)]
+    for s in list(sets):
+        for part in (0.02, 0.1, 0.12, 0.3):
+            sets.append({x if rng.random() > part else rng.randrange(10**7) for x in s})
+    hashed = [np.unique(np.array(list(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
+    ok = simhash.may_reach(np.frombuffer(b"".join(map(simhash.parity_bytes, hashed)), np.uint64).reshape(-1, simhash.PARITY), np.array([len(s) for s in sets]))
+    near = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert near <= set(zip(*map(np.ndarray.tolist, np.nonzero(ok)), strict=True)) and len(near) > 20 and ok.sum() < 3 * len(near)
+
+
 def test_near_duplicates_group_as_all_pairs_do(spark, scratch, docs_of):
     rng = random.Random(22)
     base, passage = [rng.choices("abcdefghijklmnop", k=120) for _ in range(4)], [f"p{i}" for i in range(60)]
@@ -118,6 +130,17 @@ def test_near_duplicates_leave_different_texts_alone(spark, scratch, docs_of):
     assert simhash.drop_near_duplicates(docs_of([]), scratch).count() == 0
 
 
+def test_near_duplicates_odd_rows(spark, scratch, docs_of):
+    rows = [(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "a b c"), (9, "a b c"), (1, None), (2, ""), (3, " \n")]
+    got = sorted((r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(rows), scratch).collect()), key=repr)
+    assert got == sorted([None, None, 4, 4, 1], key=repr)
+
+
+def test_hubs_are_split(spark, scratch, monkeypatch):
+    monkeypatch.setattr(components, "HUB_LEAST", 3)
+    test_components_of_chains_and_stars(spark, scratch)
+
+
 # embeddings
 
 
