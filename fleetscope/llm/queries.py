@@ -10,7 +10,7 @@ from .licenses import OP8_SQL, op8_license_scan
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
 from .simhash import op3_simhash_near_dedup
-from .substring import op6_substring_dedup
+from .substring import OP6_SQL, op6_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -28,5 +28,6 @@ QUERIES = {
 
 SQL = {
     "op1_url_filter": OP1_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_license_scan": OP8_SQL,
 }

@@ -1,35 +1,47 @@
 """Substring dedup by compaction of the de Bruijn graph of word windows.
 
-Windows of ``WINDOW`` words are the edges of the graph. Runs of consecutive windows with the same minimizer (the least hash
-of its ``SEED``-word grams) are its nonbranching stretches as one text shows them; they are compacted to one hash each and
-meet by minimizer. Where a minimizer has one compacted run only, the run settles all of its windows at once. Where it has
-several, the graph branches: only the run of the smallest document is taken apart again, from its source text, into
-windows. What a document loses is then looked up in its own text, so every removed span is verified at its source.
+Nodes are sequences of ``WINDOW - 1`` words, edges the windows of ``WINDOW`` words. An edge is repeated if it starts in two
+documents; its source is the smallest of them, at (doc, start).
+
+1. Each text gives its runs: stretches of windows with one minimizer (the least hash of their ``SEED``-word grams). Equal
+   windows have equal minimizers, so windows can only repeat among runs that share one. Runs of equal content are one edge
+   stretch; where a minimizer has several contents, the runs are opened into single windows, taken from the text of their
+   smallest document.
+2. The stretches that repeat are the edges of the graph. A node with one stretch in and one out is no branch; stretches that
+   follow each other in one source over such nodes are compacted into paths, by joins that double the distance they reach.
+3. A document's stretches that lie alike on a path make one span. The words of each path are fetched at its source
+   coordinates, and a span's words are compared with them one by one: only windows whose words are those of the source go.
+
+Hashes of 64 bits bring candidates together; they never decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, Scratch, as_long, fresh, gram_hashes, map_arrow, mix, word_hashes
+from .common import MULT, U64, Scratch, as_long, fresh, gram_hashes, hot_keys, map_arrow, mix, word_hashes
 
 WINDOW, SEED = 13, 5
+#: Documents whose equal runs travel as one row.
+SLICE = 1024
 
 
 class Runs:
-    """The compacted runs of a text: window hashes, and for each run its first window, minimizer and content hash."""
+    """The runs of a text: window and node hashes, and for each run its first window, size, minimizer and content hash."""
 
     def __init__(self, words: list[bytes], window: int = WINDOW, seed: int = SEED) -> None:
-        wh = word_hashes(words)
+        self.hashes = wh = word_hashes(words)
+        self.window = window
         self.windows = gram_hashes(wh, window, salt=11)
         n = len(self.windows)
         if not n:
-            self.first, self.minimizer, self.content = (np.empty(0, t) for t in (np.int64, np.uint64, np.uint64))
+            self.first, self.size, self.minimizer, self.content = (np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
             return
         grams = gram_hashes(wh, seed)
         low = grams[:n].copy()
@@ -38,108 +50,231 @@ class Runs:
         self.first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
         self.minimizer = low[self.first]
         # a run's windows in order: a polynomial over their hashes, and their number
-        size = np.diff(np.append(self.first, n))
-        k = np.arange(n) - np.repeat(self.first, size)
-        self.content = mix(np.add.reduceat(self.windows * mix(k.astype(np.uint64) + MULT[0]), self.first) + size.astype(np.uint64))
+        self.size = np.diff(np.append(self.first, n))
+        k = np.arange(n) - np.repeat(self.first, self.size)
+        self.content = mix(np.add.reduceat(self.windows * mix(k.astype(np.uint64) + MULT[0]), self.first) + self.size.astype(np.uint64))
+
+    def nodes(self) -> np.ndarray:
+        return gram_hashes(self.hashes, self.window - 1, salt=7)
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def compacted(docs: DataFrame) -> DataFrame:
-    """(m, run, doc_id): each compacted run of each document."""
+def combined(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Rows of one key as one: (index of its first (doc, at), largest doc if there are more, the other (doc, at) pairs)."""
+    order = np.lexsort((at, doc, key))
+    k = key[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    end = np.append(first[1:], len(k))
+    pairs = np.stack([doc[order], at[order]], axis=1).astype("<i8")
+    many = end - first > 1
+    more: list[bytes | None] = [None] * len(first)
+    for i in np.flatnonzero(many).tolist():
+        more[i] = pairs[first[i] + 1 : end[i]].tobytes()
+    most = pa.array(pairs[end - 1, 0] if len(k) else np.empty(0, np.int64), mask=~many)
+    return order[first], most, pa.array(more, pa.binary())
+
+
+def text_runs(docs: DataFrame) -> DataFrame:
+    """(m, run, doc, at, most, more) of documents (n, text): each run of each, equal ones of a slice in one row."""
+
+    def emit(batches):
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            found = [Runs(split(t)) for t in b.column(1).to_pylist()]
+            m, run, at = (np.concatenate([getattr(r, c) for r in found]) for c in ("minimizer", "content", "first"))
+            doc = np.repeat(b.column(0).to_numpy(), [len(r.first) for r in found])
+            rows, most, more = combined(run, doc, at)
+            yield pa.RecordBatch.from_arrays([as_long(m[rows]), as_long(run[rows]), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), most, more], names=["m", "run", "doc", "at", "most", "more"])
+
+    return map_arrow(docs.where("n IS NOT NULL").select("n", "text"), emit, "m long, run long, doc long, at int, most long, more binary")
+
+
+_EDGE = "key long, doc long, at int, n int, head long, tail long"
+
+
+def source_edges(docs: DataFrame) -> DataFrame:
+    """(whole, key, doc, at, n, head, tail, most, more) of documents (n, text, runs, kinds) at the runs that they are the source of.
+
+    A run of kind 1 or 3 gives its stretch (whole), one of kind 2 or 3 its windows; equal windows of a slice are one row.
+    """
+
+    def emit(batches):
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            parts: list[tuple] = []
+            opened: list[tuple] = []
+            for doc, t, listed, kinds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                r = Runs(split(t))
+                nodes = r.nodes()
+                want, kinds = listed.values.to_numpy().view(np.uint64), kinds.values.to_numpy()
+                order = np.argsort(want)
+                i = np.minimum(np.searchsorted(want[order], r.content), len(want) - 1)
+                kind = np.where(want[order[i]] == r.content, kinds[order[i]], 0)
+                k = np.flatnonzero(kind & 1)
+                k = k[np.unique(r.content[k], return_index=True)[1]]
+                parts.append((r.content[k], np.full(len(k), doc), r.first[k], r.size[k], nodes[r.first[k]], nodes[r.first[k] + r.size[k]]))
+                p = np.flatnonzero(np.repeat(kind & 2, r.size))
+                opened.append((r.windows[p], np.full(len(p), doc), p, np.ones(len(p), np.int64), nodes[p], nodes[p + 1]))
+            for whole, found in ((True, parts), (False, opened)):
+                cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+                rows, most, more = combined(*cols[:3])
+                key, doc, at, n, head, tail = (c[rows] for c in cols)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), whole)), as_long(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), as_long(head), as_long(tail), most, more],
+                    names=["whole", "key", "doc", "at", "n", "head", "tail", "most", "more"],
+                )
+
+    return map_arrow(docs, emit, f"whole boolean, {_EDGE}, most long, more binary")
+
+
+def compacted(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, path) of edges (key, src, at, n, head, tail): path is the key of the first edge of the nonbranching path.
+
+    Two edges are linked at a node with one edge in and one out if the second starts where the first ends in their source.
+    Each round joins what an edge points to with what that one points to, so a path of n edges takes log2(n) rounds.
+    """
+    out = edges.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    into = edges.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    before = edges.select(F.col("tail").alias("node"), "src", (F.col("at") + F.col("n")).alias("at"), F.col("key").alias("up"))
+    after = edges.select(F.col("head").alias("node"), "src", "at", "key")
+    links = before.join(out.join(into, "node"), "node").join(after, ["node", "src", "at"]).select("key", "up")
+    cur = scratch.cut(edges.select("key").join(links, "key", "left").select("key", F.coalesce("up", "key").alias("path"), F.col("up").isNotNull().alias("open")))
+    while not cur.where("open").isEmpty():
+        above = cur.select(F.col("key").alias("path"), F.col("path").alias("up"), F.col("open").alias("more"))
+        moved = cur.where("open").join(above, "path").select("key", F.col("up").alias("path"), F.col("more").alias("open"))
+        nxt = scratch.cut(cur.where("NOT open").unionByName(moved))
+        scratch.drop(cur)
+        cur = nxt
+    return cur.select("key", "path")
+
+
+def spans_on_paths(chunks: DataFrame) -> DataFrame:
+    """(doc, path, base, lo, hi) of (path, src, offset, n, doc, at, more): the windows lo to hi - 1 of a document lie on the path, shifted by base."""
 
     def emit(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i in range(0, b.num_rows, 256):
-                m, run, n = [], [], []
-                for t in b.column(1).slice(i, 256).to_pylist():
-                    r = Runs(split(t))
-                    m.append(r.minimizer)
-                    run.append(r.content)
-                    n.append(len(r.first))
-                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(m)), as_long(np.concatenate(run)), pa.array(np.repeat(ids[i : i + 256], n))], names=["m", "run", "doc_id"])
+            path, src, offset, n, doc, at = (b.column(i).to_numpy().astype(np.int64) for i in range(6))
+            more = b.column(6).to_pylist()
+            rest = [i for i, x in enumerate(more) if x is not None]
+            pairs = [np.frombuffer(more[i], "<i8").reshape(-1, 2) for i in rest]
+            owner = np.concatenate([np.arange(len(doc)), np.repeat(np.array(rest, np.int64), [len(p) for p in pairs])])
+            doc, at = (np.concatenate([own, *(p[:, c] for p in pairs)]) for c, own in ((0, doc), (1, at)))
+            keep = doc > src[owner]
+            owner, doc, at = owner[keep], doc[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(path[owner]), pa.array(at - offset[owner]), pa.array(at), pa.array(at + n[owner])], names=["doc", "path", "base", "lo", "hi"])
 
-    return map_arrow(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), emit, "m long, run long, doc_id long")
+    found = map_arrow(chunks.select("path", "src", "offset", "n", "doc", "at", "more"), emit, "doc long, path long, base long, lo long, hi long")
+    return found.groupBy("doc", "path", "base").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def branch_windows(docs: DataFrame) -> DataFrame:
-    """(m, w, doc_id): the windows of the runs that ``runs`` lists, taken from the text."""
+def path_words(docs: DataFrame) -> DataFrame:
+    """(path, words) of documents (n, text, paths: array of (path, start, windows)): the words at a path's source coordinates."""
 
     def emit(batches):
         for b in batches:
-            m, w, n = [], [], []
+            path, said = [], []
             for t, listed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                r = Runs(split(t))
-                hit = np.isin(r.content, np.array(listed, np.int64).view(np.uint64))
-                size = np.diff(np.append(r.first, len(r.windows)))
-                keep = np.repeat(hit, size)
-                w.append(r.windows[keep])
-                m.append(np.repeat(r.minimizer, size)[keep])
-                n.append(int(keep.sum()))
-            yield pa.RecordBatch.from_arrays([as_long(np.concatenate(m)), as_long(np.concatenate(w)), pa.array(np.repeat(b.column(0).to_numpy(), n))], names=["m", "w", "doc_id"])
+                words = split(t)
+                for p in listed:
+                    path.append(p["path"])
+                    said.append(b" ".join(words[p["start"] : p["start"] + p["windows"] + WINDOW - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), pa.array(said, pa.string())], names=["path", "words"])
 
-    return map_arrow(docs, emit, "m long, w long, doc_id long")
+    return map_arrow(docs, emit, "path long, words string")
 
 
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, runs: array<long>, windows: array<long>): what each document holds that starts in a smaller doc_id too."""
-    runs = compacted(docs)
-    shared = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")  # all that two documents share, and a few more
-    hits = scratch.cut(runs.join(shared, "m").select("m", "run", "doc_id"))
+    """(doc, spans: array of (lo, words)) of documents (n, text): where a document may repeat a smaller one, and the words of that one."""
+    docs = docs.where("n IS NOT NULL").select("n", "text")
+    runs = scratch.cut(text_runs(docs))
+    shared = scratch.cut(runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.count("most").alias("many")).where("n > 1 OR many > 0").select(F.col("m").alias("key"), "n"))
+    hot = hot_keys(shared, scratch).select(F.col("key").alias("m"), F.lit(True).alias("hot"))
+    marked = runs.join(F.broadcast(hot), "m", "left")  # a hot minimizer's runs meet by content and window, never by minimizer
+    rest = marked.where("hot IS NULL").join(shared.select(F.col("key").alias("m")), "m")
+    hits = scratch.cut(rest.unionByName(marked.where("hot")).select("m", "run", "doc", "at", "most", "more", "hot"))
+    scratch.drop(runs)
+    scratch.free()
+    least = scratch.cut(hits.groupBy("m", "run").agg(F.min("doc").alias("src"), F.max(F.coalesce("most", "doc")).alias("most"), F.max("hot").alias("hot")))
+    several = least.where("hot IS NULL").groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", F.lit(True).alias("open"))
+    opened = least.where("hot IS NULL").join(several, "m", "left").unionByName(least.where("hot").withColumn("open", F.lit(True)))
+    kind = F.when(F.col("src") < F.col("most"), 1).otherwise(0) + F.when(F.col("open"), 2).otherwise(0)
+    listed = opened.select("src", "run", kind.cast("tinyint").alias("kind")).where("kind > 0").groupBy("src").agg(F.collect_list(F.struct("run", "kind")).alias("l"))
+    listed = listed.select(F.col("src").alias("n"), F.col("l.run").alias("runs"), F.col("l.kind").alias("kinds"))
+    found = scratch.cut(source_edges(docs.join(listed, "n").select("n", "text", "runs", "kinds")))
     scratch.free()
-    least = scratch.cut(hits.groupBy("m", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
-    whole = hits.join(least.where("least < most"), ["m", "run"]).where("doc_id > least").select("doc_id", "run")
-    whole = whole.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    branching = least.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
-    sources = least.join(branching, "m").select(F.col("least").alias("doc_id"), "run").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sources, "doc_id").select("doc_id", "text", "runs")
-    windows = scratch.cut(branch_windows(texts).distinct())
+
+    place = F.min(F.struct("doc", "at", "n", "head", "tail")).alias("s")
+    stretches = found.where("whole").groupBy("key").agg(place)
+    windows = found.where("NOT whole").groupBy("key").agg(place, F.max(F.coalesce("most", "doc")).alias("most")).where("s.doc < most").drop("most")
+    edges = scratch.cut(stretches.unionByName(windows).dropDuplicates(["key"]).select("key", F.col("s.doc").alias("src"), "s.at", "s.n", "s.head", "s.tail"))
+    paths = compacted(edges, scratch)
+    start = edges.select(F.col("key").alias("path"), F.col("at").alias("start"))
+    located = scratch.cut(edges.join(paths, "key").join(start, "path").select("key", "path", "src", "start", (F.col("at") - F.col("start")).alias("offset"), "n"))
+    chunks = hits.select(F.col("run").alias("key"), "doc", "at", "more").unionByName(found.where("NOT whole").select("key", "doc", "at", "more"))
+    spans = scratch.cut(spans_on_paths(chunks.join(located, "key")))
+    for done in (hits, least, found):
+        scratch.drop(done)
     scratch.free()
-    first = windows.groupBy("m", "w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = windows.join(first, ["m", "w"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("w").alias("windows"))
-    out = scratch.cut(whole.join(later, "doc_id", "full").select("doc_id", "runs", "windows"))
-    for done in (hits, least, windows):
+
+    whole = located.groupBy("path").agg(F.first("src").alias("n"), F.first("start").alias("start"), F.max(F.col("offset") + F.col("n")).alias("windows"))
+    wanted = whole.groupBy("n").agg(F.collect_list(F.struct("path", "start", "windows")).alias("paths"))
+    words = path_words(docs.join(wanted, "n").select("n", "text", "paths"))
+    # a path that many documents hold is met in as many places as it has shares of the spans
+    counts = scratch.cut(spans.groupBy(F.col("path").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    often = hot_keys(counts, scratch).select(F.col("key").alias("path"), F.ceil(F.col("n") / 256).cast("int").alias("salts"))
+    dealt = spans.join(F.broadcast(often), "path", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("doc"), "salts"), F.lit(0)))
+    copies = words.join(F.broadcast(often), "path", "left").select("path", "words", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    piece = F.array_join(F.slice(F.split("words", " "), (F.col("lo") - F.col("base") + 1).cast("int"), (F.col("hi") - F.col("lo") + WINDOW - 1).cast("int")), " ")
+    out = dealt.join(copies, ["path", "salt"]).select("doc", F.struct("lo", piece.alias("words")).alias("span"))
+    out = scratch.cut(out.groupBy("doc").agg(F.collect_list("span").alias("spans")))
+    for done in (edges, located, spans):
         scratch.drop(done)
     scratch.free()
     return out
 
 
-def covered(words: list[bytes], runs: np.ndarray, windows: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """A bool for each word: whether a repeated window covers it."""
+def covered(words: list[bytes], spans: list[dict], window: int = WINDOW) -> np.ndarray:
+    """A bool for each word: whether a window covers it whose words are, one by one, those of its source."""
     edge = np.zeros(len(words) + 1, np.int64)
-    if len(words) >= window and len(runs) + len(windows):
-        r = Runs(words)
-        hit = np.repeat(np.isin(r.content, runs), np.diff(np.append(r.first, len(r.windows)))) | np.isin(r.windows, windows)
-        at = np.flatnonzero(hit)
+    for s in spans:
+        lo, source = s["lo"], s["words"].encode().split(b" ")
+        own = words[lo : lo + len(source)]
+        same = np.fromiter(map(eq, own, source), bool, count=min(len(own), len(source)))
+        total = np.concatenate([[0], np.cumsum(same)])
+        at = lo + np.flatnonzero(total[window:] - total[:-window] == window)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _hashes(x: list[int] | None) -> np.ndarray:
-    return np.array(x or [], np.int64).view(np.uint64)
+def numbered(docs: DataFrame, n: str, scratch: Scratch) -> DataFrame:
+    """``docs`` with a long column ``n`` in the order of doc_id: an integral id itself, else its place in a range-partitioned sort."""
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn(n, F.col("doc_id").cast("long"))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id")
+    ids = scratch.cut(ids.select("doc_id", F.monotonically_increasing_id().alias(n)))
+    return docs.join(ids, "doc_id", "left").select(*docs.columns, n)
 
 
 def substring_digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row.
 
-    A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id. Null, empty and
-    shorter texts lose nothing; rows that share a doc_id don't touch each other; a row with a null id neither loses words nor
-    takes any. Other columns are not read.
+    A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id (of any type that has an
+    order). Null, empty and shorter texts lose nothing; rows that share a doc_id don't touch each other; a row with a null id
+    neither loses words nor takes any. Of equal windows the smallest doc_id keeps its own. Other columns are not read.
     """
-    marked = docs.select("doc_id", "text").join(repeated(docs, scratch).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs", "windows")
+    rows = numbered(docs.select("doc_id", "text"), "n", scratch)
+    marked = rows.join(repeated(rows, scratch), F.col("n") == F.col("doc"), "left").select("doc_id", "text", "spans")
 
     def digest(batches):
         for b in batches:
             n, gone, said = [], [], []
-            for t, runs, windows in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = split(t)
                 n.append(len(words))
-                if runs or windows:
-                    out = covered(words, _hashes(runs), _hashes(windows))
+                if spans:
+                    out = covered(words, spans)
                     gone.append(int(out.sum()))
                     words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
                 else:
@@ -153,12 +288,14 @@ def substring_digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def drop_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents with repeated words cut out of ``text`` (a text that loses nothing is unchanged) and ``n_chars`` counted anew.
 
-    Kept words keep the white space before them. A document that loses all words stays with an empty text.
+    Kept words keep the white space before them. A document that loses all words stays with an empty text. Null, empty and
+    repeated rows and null ids are as in substring_digest; columns of any name may stand beside.
     """
     names = docs.columns
-    own, runs_, windows_ = (fresh(c, names) for c in ("_id", "_runs", "_windows"))
-    found = repeated(docs, scratch).toDF(own, runs_, windows_)
-    marked = docs.join(found, F.col("doc_id") == F.col(own), "left").drop(own)
+    n_, own, spans_ = (fresh(c, names) for c in ("_n", "_doc", "_spans"))
+    rows = numbered(docs, n_, scratch)
+    found = repeated(rows.select(F.col(n_).alias("n"), "text"), scratch).toDF(own, spans_)
+    marked = rows.join(found, F.col(n_) == F.col(own), "left").drop(n_, own)
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def cut(text: str, out: np.ndarray) -> str:
@@ -173,9 +310,9 @@ def drop_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, sizes = [], []
-            for t, runs, windows in zip(*(b.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True):
-                if runs or windows:
-                    out = covered(split(t), _hashes(runs), _hashes(windows))
+            for t, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if spans:
+                    out = covered(split(t), spans)
                     t = cut(t, out) if out.any() else t
                 texts.append(t)
                 sizes.append(None if t is None else len(t))
@@ -190,3 +327,16 @@ def drop_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+
+
+#: Windows as text, each with the smallest document that starts it; words that such a window covers go.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS said FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM d WHERE len(words) >= 13)),
+f AS (SELECT said, min(doc_id) AS first FROM w GROUP BY said),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM w JOIN f USING (said) WHERE first < doc_id), generate_series(0, 12) AS s(k)),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

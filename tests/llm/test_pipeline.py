@@ -56,7 +56,7 @@ def test_packing_stage(stages):
     assert len({r["sequence_id"] for r in rows}) == math.ceil(sum(r["length"] for r in rows) / 2048)
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op6_substring_dedup", "op8_license_scan"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("pages", "documents"):
@@ -75,12 +75,6 @@ def test_queries_cover_whole_tables(spark, sf_dir, name, table):
         assert got.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
-def test_substring_query_on_the_table(spark, sf_dir):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = {r["doc_id"]: tuple(r)[1:] for r in entry.queries()["op6_substring_dedup"](spark, sf_dir).collect()}
-    assert got == brute.substring(rows)
-
-
 def test_simhash_query_on_the_table(spark, sf_dir):
     rows = {r["doc_id"]: brute.fingerprint(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     ids = sorted(rows)

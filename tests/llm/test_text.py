@@ -62,6 +62,30 @@ def test_substring_odd_inputs(spark, scratch, docs_of):
     assert got == sorted([(None, 20, 0), (4, 20, 0), (4, 20, 0), (9, 20, 20), (1, 0, 0), (2, 0, 0)], key=repr)
 
 
+def test_substring_takes_ids_of_any_type(spark, scratch, prose):
+    rows = [(f"d{d:04d}", t) for d, t in prose]
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring.substring_digest(spark.createDataFrame(rows, "doc_id string, text string"), scratch).collect()}
+    assert got == brute.substring(rows)
+
+
+def test_colliding_hashes_remove_nothing(spark, scratch, docs_of, monkeypatch):
+    """All words hash alike: every window seems to repeat, but none has the words of its source."""
+    import numpy as np
+
+    monkeypatch.setattr(substring, "word_hashes", lambda words: np.zeros(len(words), np.uint64))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)]
+    assert [r["n_removed"] for r in substring.substring_digest(docs_of(rows), scratch).collect()] == [0] * 6
+    rows.append((9, rows[0][1]))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.substring_digest(docs_of(rows), scratch).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 40}
+
+
+def test_nonbranching_paths_are_compacted(spark, scratch):
+    edges = [(1, 7, 0, 4, 100, 101), (2, 7, 4, 2, 101, 102), (3, 7, 6, 1, 102, 103), (4, 8, 0, 3, 103, 104), (5, 9, 0, 1, 200, 201), (6, 9, 1, 1, 201, 202), (7, 5, 3, 1, 201, 203)]
+    got = {r["key"]: r["path"] for r in substring.compacted(spark.createDataFrame(edges, "key long, src long, at int, n int, head long, tail long"), scratch).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}  # another source starts at 103; 201 is a branch
+
+
 def test_drop_substrings_keeps_the_rest_of_the_text(spark, scratch, docs_of):
     shared = " ".join(f"k{i}" for i in range(15))
     rows = [(1, shared), (2, f"before\n\n{shared}\n  after  the end "), (3, "  untouched  \n text "), (4, None), (5, shared)]
