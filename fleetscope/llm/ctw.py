@@ -1,10 +1,11 @@
 """Language-model scores by context-tree weighting over the bytes of a corpus.
 
 Each byte is eight binary decisions; each decision has a context tree over the ``DEPTH`` bytes before. Counts of all
-(DEPTH + 1)-grams of the training texts are summed in Spark. A context is split off only while it holds at least
-1 / ``NODE_SHARE`` of all training bytes; what is rarer is pooled with its siblings, so no count is lost, and the tree has at
-most 8 * (DEPTH + 1) * NODE_SHARE nodes at any size of corpus. Krichevsky-Trofimov estimates of all depths are mixed by
-the weights of the tree, and a text's score is the sum over its bits.
+(DEPTH + 1)-grams of the training texts are summed in Spark and stay there: every context is a node, and the tree grows with the
+corpus. Krichevsky-Trofimov estimates of all depths are mixed by the weights of the tree, from the leaves up and back down:
+contexts of ``CUT`` bytes hold subtrees of bounded size that a task handles whole, the levels above are aggregates and joins.
+Log probabilities of the commonest grams are broadcast; a text's other grams are looked up in the tree by joins, so scores are
+those of the whole tree at any size. A text's score is the sum over its bits.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, as_long, map_arrow, word_hashes
 
 DEPTH = 5
-#: A node needs this share of all bytes, a tabulated gram that; tokens whose counts are broadcast, at most.
-NODE_SHARE, GRAM_SHARE, MOST_TOKENS = 1 << 19, 1 << 21, 1 << 21
+#: Grams whose log probabilities, and tokens whose counts, are broadcast at most; all others are joined.
+MOST_GRAMS, MOST_TOKENS = 1 << 20, 1 << 20
 BLOCK = 1 << 20
 
 
@@ -148,71 +149,247 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """depth, the last ``depth`` bytes, and the bits of the next byte so far behind a leading one."""
-    low = U64((1 << 8 * depth) - 1)
-    return U64(depth << 56) | (context & low) << U64(8) | prefix
-
-
-class ContextTree:
-    """P(next bit is 1) at every node kept, given that no deeper node is kept."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, prefix: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-        key = np.zeros(len(depth), np.uint64)
-        for k in range(DEPTH + 1):
-            at = depth == k
-            key[at] = node_key(k, context[at], prefix[at])
-        order = np.argsort(key)
-        self.key = key = key[order]
-        depth, context, prefix, zeros, ones = depth[order], context[order], prefix[order], zeros[order].astype(float), ones[order].astype(float)
-        own = log_kt(zeros, ones)
-        weighted, stop = own.copy(), np.ones(len(key))
-        parent = np.full(len(key), -1)
-        below, rest0, rest1, split = np.zeros(len(key)), zeros.copy(), ones.copy(), np.zeros(len(key), bool)
-        half = math.log(0.5)
-        for k in range(DEPTH, -1, -1):
-            at = np.flatnonzero((depth == k) & split)
-            if len(at):
-                deep = below[at] + np.where(rest0[at] + rest1[at] > 0, log_kt(rest0[at], rest1[at]), 0)
-                weighted[at] = np.logaddexp(half + own[at], half + deep)
-                stop[at] = np.exp(half + own[at] - weighted[at])
-            if k:
-                at = np.flatnonzero(depth == k)
-                up = np.searchsorted(key, node_key(k - 1, context[at], prefix[at]))
-                parent[at] = up
-                np.add.at(below, up, weighted[at])
-                np.subtract.at(rest0, up, zeros[at])
-                np.subtract.at(rest1, up, ones[at])
-                split[up] = True
-        estimate = (ones + 0.5) / (zeros + ones + 1)
-        pooled = (rest1 + 0.5) / (rest0 + rest1 + 1)
-        said, left = np.zeros(len(key)), np.ones(len(key))
-        for k in range(DEPTH + 1):
-            at = np.flatnonzero(depth == k)
-            before, mass = (0.0, 1.0) if not k else (said[parent[at]], left[parent[at]])
-            said[at] = before + mass * stop[at] * estimate[at]
-            left[at] = mass * (1 - stop[at])
-        self.one = said + left * pooled
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(last byte | bytes before) of gram codes."""
-        context, byte = codes >> U64(8), codes & U64(255)
-        out = np.zeros(len(codes))
-        for j in range(8):
-            prefix = U64(1 << j) | byte >> U64(8 - j)
-            one = np.full(len(codes), 0.5)
-            todo = np.arange(len(codes))
-            for k in range(DEPTH, -1, -1):
-                if not len(todo) or not len(self.key):
-                    break
-                want = node_key(k, context[todo], prefix[todo])
-                i = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-                hit = self.key[i] == want
-                one[todo[hit]] = self.one[i[hit]]
-                todo = todo[~hit]
-            bit = byte >> U64(7 - j) & U64(1)
-            out += np.log10(np.where(bit == 1, one, 1 - one))
-        return out
+# The tree. A node is (depth k, the last k bytes, the bits of the next byte so far behind a leading one), keyed by context << 8 | prefix.
+
+HALF = math.log(0.5)
+
+
+def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys in order, place of each row's key among them, sums of the values)."""
+    at, place = np.unique(key, return_inverse=True)
+    return at, place, [np.bincount(place, v, len(at)) for v in values]
+
+
+def mixed(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """ln of the weighted probability of nodes with children: half the node's own estimate, half the product of those below."""
+    return np.logaddexp(HALF + own, HALF + below)
+
+
+def bit_nodes(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys, [zeros, ones]) of the deepest nodes of grams that come ``n`` times."""
+    context, byte = codes >> U64(8) << U64(8), codes & U64(255)
+    keys = np.concatenate([context | U64(1 << j) | byte >> U64(8 - j) for j in range(8)])
+    ones = np.concatenate([(byte >> U64(7 - j) & U64(1)) * n for j in range(8)]).astype(float)
+    key, _, sums = summed(keys, np.tile(n, 8) - ones, ones)
+    return key, sums
+
+
+def shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the nodes above those of ``depth``: the oldest byte goes."""
+    return key & U64((1 << 8 * depth) - 1)
+
+
+class Level:
+    """The nodes of one depth: their counts, own and weighted log probabilities, and where each node of the level below belongs."""
+
+    def __init__(self, key, zeros, ones, weighted) -> None:
+        self.key, self.zeros, self.ones, self.weighted = key, zeros, ones, weighted
+        self.own = log_kt(zeros, ones)
+        if weighted is None:
+            self.weighted = self.own
+        self.stop = np.exp(HALF + self.own - self.weighted) if weighted is not None else np.ones(len(key))
+
+    def above(self, depth: int) -> Level:
+        """The level above this one of ``depth``; ``self.up`` says which of its nodes each belongs to."""
+        key, self.up, (zeros, ones, below) = summed(shorter(self.key, depth), self.zeros, self.ones, self.weighted)
+        return Level(key, zeros, ones, mixed(log_kt(zeros, ones), below))
+
+    def state(self, said: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(said, left) after these nodes, from those of the nodes above: the estimate mixed so far, and the weight of what is deeper."""
+        return said + left * self.stop * (self.ones + 0.5) / (self.zeros + self.ones + 1), left * (1 - self.stop)
+
+
+def by_groups(batches):
+    """Batches sorted by their first column, cut anew so that no group of equal values is parted."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        if held and key[-1] == held[0].column(0)[0].as_py():  # one group so far
+            held.append(b)
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        done = [*held, *([b.slice(0, cut)] if cut else [])]
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+#: Depth at which the tree is cut into subtrees that one task handles: contexts of so many bytes.
+CUT = 3
+
+
+def _context() -> Column:
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * CUT) - 1)).alias("c")
+
+
+def subtree(codes: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels DEPTH, DEPTH - 1 ... CUT of the contexts of some grams, all of a context's grams among them."""
+    key, (zeros, ones) = bit_nodes(codes, n)
+    levels = [Level(key, zeros, ones, None)]
+    for depth in range(DEPTH, CUT, -1):
+        levels.append(levels[-1].above(depth))
+    return levels
+
+
+_NODES, _STATES = "c long, p int, zeros double, ones double, weighted double", "c long, p int, said double, left double"
+
+
+def cut_level(grams: DataFrame) -> DataFrame:
+    """The nodes at depth CUT of grams (key, n). A context of CUT bytes has 2^24 grams at most, whatever the corpus' size."""
+
+    def run(batches):
+        for b in by_groups(batches):
+            top = subtree(b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(float))[-1]
+            yield pa.RecordBatch.from_arrays([as_long(top.key >> U64(8)), pa.array((top.key & U64(255)).astype(np.int32)), *map(pa.array, (top.zeros, top.ones, top.weighted))], names=["c", "p", "zeros", "ones", "weighted"])
+
+    return map_arrow(grams.select(_context(), "key", "n").repartition("c").sortWithinPartitions("c"), run, _NODES)
+
+
+def level_above(nodes: DataFrame, depth: int) -> DataFrame:
+    """The nodes above those of ``depth``, added up by contexts and mixed."""
+    sums = nodes.groupBy(F.col("c").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)).alias("c"), "p").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weighted")))
+
+    def run(batches):
+        for b in batches:
+            zeros, ones, below = (b.column(i).to_numpy() for i in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(mixed(log_kt(zeros, ones), below))], names=["c", "p", "zeros", "ones", "weighted"])
+
+    return map_arrow(sums, run, _NODES)
+
+
+class Top:
+    """(said, left) after the nodes of depth 1 or, for contexts without one, of depth 0: 65,535 nodes at most."""
+
+    def __init__(self, ones: pa.Table) -> None:
+        c, p, zeros, one, weighted = (ones.column(x).to_numpy() for x in ("c", "p", "zeros", "ones", "weighted"))
+        order = np.lexsort((p, c))
+        level = Level((c.astype(np.uint64) << U64(8) | p.astype(np.uint64))[order], zeros[order], one[order], weighted[order])
+        root = level.above(1)
+        said, left = root.state(np.zeros(len(root.key)), np.ones(len(root.key)))
+        self.keys = [root.key, level.key]
+        self.states = [(said, left), level.state(said[level.up], left[level.up])]
+
+    def state(self, context: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        said, left = np.zeros(len(context)), np.ones(len(context))
+        for depth in (0, 1):
+            if len(self.keys[depth]):
+                at, hit = find(self.keys[depth], shorter(context << U64(8) | prefix, depth + 1))
+                said[hit], left[hit] = (x[at[hit]] for x in self.states[depth])
+        return said, left
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted key in sorted, not empty keys."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """The states at depths 2 and CUT as tables, those above in hand; deeper ones are made where they are asked for."""
+
+    def __init__(self, grams: DataFrame, scratch: Scratch) -> None:
+        self.grams, self.scratch = grams, scratch
+        three = scratch.cut(cut_level(grams))
+        two = scratch.cut(level_above(three, CUT))
+        self.top = scratch.spark.sparkContext.broadcast(Top(level_above(two, 2).toArrow()))  # 65,280 rows at most
+        unknown = F.lit(None).cast("double")
+        self.two = scratch.cut(self._after(two.select("*", unknown.alias("said"), unknown.alias("left"))))
+        self.three = scratch.cut(self._after(self._beside_two(three)))
+
+    def _beside_two(self, rows: DataFrame) -> DataFrame:
+        """Rows (c, p, ...) beside the state (said, left) of depth 2 that they belong to, null if there is none."""
+        two = self.two.select(F.col("c").alias("c2"), F.col("p").alias("p2"), "said", "left")
+        return rows.join(two, (F.col("c").bitwiseAND(F.lit(0xFFFF)) == F.col("c2")) & (F.col("p") == F.col("p2")), "left").drop("c2", "p2")
+
+    def _after(self, nodes: DataFrame) -> DataFrame:
+        """(c, p, said, left) after nodes (c, p, zeros, ones, weighted) that stand beside the state above."""
+        above = _Above(self.top)
+
+        def run(batches):
+            for b in batches:
+                c, p, said, left = above(b)
+                said, left = Level(c << U64(8) | p, *(b.column(i).to_numpy() for i in (2, 3, 4))).state(said, left)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said), pa.array(left)], names=["c", "p", "said", "left"])
+
+        return map_arrow(nodes, run, _STATES)
+
+    def _shallow(self, codes: DataFrame) -> DataFrame:
+        """States for the bits of codes that no node of depth CUT has: those of the deepest node above."""
+        bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
+        asked = codes.select(_context(), "key", bits).select("c", F.expr("CAST(shiftleft(1L, j) | shiftright(key & 255, 8 - j) AS INT)").alias("p")).distinct()
+        above = _Above(self.top)
+
+        def run(batches):
+            for b in batches:
+                _, _, said, left = above(b)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said), pa.array(left)], names=["c", "p", "said", "left"])
+
+        return map_arrow(self._beside_two(asked.join(self.three.select("c", "p"), ["c", "p"], "left_anti")), run, _STATES)
+
+    def log10(self, codes: DataFrame, seen: bool = False) -> DataFrame:
+        """(key, log10 P(last byte | bytes before)) of distinct gram codes ``key``; ``seen``: all of them are training grams."""
+        none = {"key": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "p": F.lit(0), "said": F.lit(0.0), "left": F.lit(0.0)}
+        part = lambda rows, kind, *own: rows.select(*(_context() if c == "c" and "key" in own else F.lit(kind).cast("tinyint").alias(c) if c == "kind" else F.col(c) if c in (*own, "c") else none[c].alias(c) for c in ("c", "kind", "key", "n", "p", "said", "left")))
+        states = self.three if seen else self.three.unionByName(self._shallow(codes))
+        rows = part(self.grams, 0, "key", "n").unionByName(part(states, 1, "p", "said", "left")).unionByName(part(codes, 2, "key"))
+
+        def run(batches):
+            for b in by_groups(batches):
+                kind, key = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+                wanted = key[kind == 2]
+                if len(wanted):
+                    gram, state = kind == 0, kind == 1
+                    c, n, p, said, left = (b.column(i).to_numpy() for i in (0, 3, 4, 5, 6))
+                    at = (c[state].astype(np.uint64) << U64(8)) | p[state].astype(np.uint64)
+                    order = np.argsort(at)
+                    logs = gram_logs(wanted, key[gram], n[gram].astype(float), at[order], said[state][order], left[state][order])
+                    yield pa.RecordBatch.from_arrays([as_long(wanted), pa.array(logs)], names=["key", "log"])
+
+        return map_arrow(rows.repartition("c").sortWithinPartitions("c"), run, "key long, log double")
+
+
+class _Above:
+    """(context, prefix, said, left) of rows (c, p, ..., said, left): a null state is that of depth 1 or 0."""
+
+    def __init__(self, top) -> None:
+        self.top = top
+
+    def __call__(self, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        c, p = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.uint64)
+        said, left = self.top.value.state(c, p)
+        known = np.array(b.column("said").is_valid())
+        for mine, name in ((said, "said"), (left, "left")):
+            mine[known] = b.column(name).to_numpy(zero_copy_only=False)[known]
+        return c, p, said, left
+
+
+def gram_logs(wanted: np.ndarray, grams: np.ndarray, n: np.ndarray, states: np.ndarray, said: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 P of codes, given all grams of their contexts of CUT bytes and the states there (sorted by key)."""
+    keys, after = [states], [(said, left)]
+    if len(grams):
+        levels = subtree(grams, n)
+        at, _ = find(states, levels[-1].key)
+        keys[0], after[0] = states, (said, left)
+        said, left = said[at], left[at]  # the nodes of depth CUT themselves
+        for level in levels[-2::-1]:
+            said, left = level.state(said[level.up], left[level.up])
+            keys.append(level.key)
+            after.append((said, left))
+    out = np.zeros(len(wanted))
+    context, byte = wanted >> U64(8) << U64(8), wanted & U64(255)
+    for j in range(8):
+        node = context | U64(1 << j) | byte >> U64(8 - j)
+        one, todo = np.full(len(wanted), 0.5), np.arange(len(wanted))
+        for k in range(len(keys) - 1, -1, -1):
+            at, hit = find(keys[k], node[todo] & U64((1 << 8 * (CUT + k + 1)) - 1))
+            one[todo[hit]] = after[k][0][at[hit]] + after[k][1][at[hit]] * 0.5
+            todo = todo[~hit]
+        out += np.log10(np.where(byte >> U64(7 - j) & U64(1) == 1, one, 1 - one))
+    return out
 
 
 class Table:
@@ -254,104 +431,110 @@ class Table:
 
 
 class Scorer:
-    """What is broadcast: the tree, its commonest grams, and the counts of the commonest tokens. Tables are made on first use."""
+    """What is broadcast: log probabilities of the commonest grams and counts of the commonest tokens. Tables are made on first use."""
 
-    def __init__(self, tree: ContextTree, grams: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
-        self.tree, self.grams, self.gram_logs, self.tokens, self.counts = tree, grams, tree.log10(grams), tokens, counts
+    def __init__(self, grams: pa.Table, tokens: pa.Table) -> None:
+        self.parts = [(t.column("key").to_numpy().astype(np.int64).view(np.uint64), t.column(v).to_numpy()) for t, v in ((grams, "log"), (tokens, "n"))]
         self._tables = None
 
-    def tables(self) -> tuple[Table, Table]:
+    def tables(self) -> list[Table]:
+        """(of grams, of tokens)."""
         if self._tables is None:
-            self._tables = Table(self.grams, self.gram_logs), Table(self.tokens, self.counts)
-            self.grams = self.gram_logs = self.tokens = self.counts = None
+            self._tables = [Table(*p) for p in self.parts]
+            self.parts = None
         return self._tables
 
-    def score(self, data: list[bytes]) -> np.ndarray:
-        out, table = np.zeros(len(data)), self.tables()[0]
-        for owner, code in gram_blocks(data):
-            logs, found = table.get(code)
-            rare, inverse = np.unique(code[~found], return_inverse=True)
-            logs[~found] = self.tree.log10(rare)[inverse]
-            out += np.bincount(owner, logs, len(data))
-        return out
-
-
-def fit(counts: DataFrame, spark: SparkSession) -> tuple[Scorer, int, int, int]:
-    """(scorer, tokens of the training texts, distinct tokens, texts)."""
-    facts = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).collect()}
-    (words, distinct), (size, _), (texts, _) = (facts.get(k, (0, 0)) for k in (0, 1, 2))
 
-    # the commonest tokens: all whose count is at least the least power of two that MOST_TOKENS of them reach at most
-    sizes = {r["p"]: r["c"] for r in counts.where("kind = 0").groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+def commonest(counts: DataFrame, kind: int, most: int) -> DataFrame:
+    """(key, n) of a kind: all whose count is at least the least power of two that ``most`` of them reach at most."""
+    rows = counts.where(F.col("kind") == kind)
+    sizes = {r["p"]: r["c"] for r in rows.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
     power, total = 64, 0
-    while power > 0 and total + sizes.get(power - 1, 0) <= MOST_TOKENS:
+    while power > 0 and total + sizes.get(power - 1, 0) <= most:
         power -= 1
         total += sizes.get(power, 0)
-    common = counts.where((F.col("kind") == 0) & (F.col("n") >= 2.0**power)).select("key", "n").toArrow()
-
-    code, n = F.col("key"), F.col("n")
-    depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("k")
-    grams = counts.where("kind = 1")
-    each = grams.select(depth, "key", "n").select("k", F.shiftright(code, 8).bitwiseAND(F.expr("shiftleft(1L, 8 * k) - 1")).alias("ctx"), code.bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n")
-    each = each.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n"))
-    least = size / NODE_SHARE
-    each = each.withColumn("all", F.sum("n").over(Window.partitionBy("k", "ctx"))).where((F.col("all") >= least) | (F.col("k") == 0))  # 256 rows a key at most
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
-    each = each.select("k", "ctx", "sym", "n", bit).select("k", "ctx", F.expr("shiftleft(1, j) | shiftright(sym, 8 - j)").alias("p"), F.expr("shiftright(sym, 7 - j) & 1").alias("bit"), "n")
-    nodes = each.groupBy("k", "ctx", "p").agg(F.sum(n * (1 - F.col("bit"))).alias("n0"), F.sum(n * F.col("bit")).alias("n1")).where((F.col("n0") + F.col("n1") >= least) | (F.col("k") == 0)).toArrow()
-    often = grams.where(n >= size / GRAM_SHARE).select("key").toArrow()
-
-    def column(t: pa.Table, c: str) -> np.ndarray:
-        return t.column(c).to_numpy()
-
-    tree = ContextTree(column(nodes, "k"), column(nodes, "ctx").astype(np.uint64), column(nodes, "p").astype(np.uint64), column(nodes, "n0"), column(nodes, "n1"))
-    scorer = Scorer(tree, column(often, "key").astype(np.int64).view(np.uint64), column(common, "key").astype(np.int64).view(np.uint64), column(common, "n"))
-    return scorer, words + texts, distinct + (texts > 0), texts
+    return rows.where(F.col("n") >= 2.0**power).select("key", "n")
 
 
 def language_model_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 1. Null is taken as empty: one token, the end, and a score of 0.
-    A null id counts as held in. Repeated rows are learnt and scored as often as they come. Without training rows base
-    and score are those of the smoothing alone. Other columns are not read.
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 1. Null is taken as empty: one token, the end, a score of 0 and
+    null bits. A null id counts as held in. Repeated rows are learnt and scored as often as they come. Without training rows
+    base and score are those of the smoothing alone. Other columns are not read.
     """
     rows = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"))
     counts = scratch.cut(corpus_counts(rows.where("NOT held_out").select("text")).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     scratch.free()
-    scorer, n_train, distinct, texts = fit(counts, scratch.spark)
-    shared = scratch.spark.sparkContext.broadcast(scorer)  # bounded: nodes, grams and tokens each have a fixed most
-    denominator = n_train + 0.5 * (distinct + 1)
+    facts = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).collect()}
+    (words, distinct), (texts, _) = (facts.get(k, (0, 0)) for k in (0, 2))
+    n_train = words + texts
+    denominator = n_train + 0.5 * (distinct + (texts > 0) + 1)
+    tree = Tree(counts.where("kind = 1").select("key", "n"), scratch)
+    often = tree.log10(commonest(counts, 1, MOST_GRAMS).select("key"), seen=True).toArrow()
+    scorer = Scorer(often, commonest(counts, 0, MOST_TOKENS).toArrow())
+    shared = scratch.spark.sparkContext.broadcast(scorer)  # MOST_GRAMS and MOST_TOKENS entries
+    scratch.free()
 
     def run(batches):
-        model = shared.value
+        grams, tokens = shared.value.tables()
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             data = [(t or "").encode().lower() for t in b.column(1).to_pylist()]
-            n_tokens, known, base, rare, n_rare = [], [], [], [], []
-            table = model.tables()[1]
-            for d in data:
+            n_tokens, known, base, score = [], [], [], np.zeros(len(data))
+            asked: list[tuple] = []  # (row, kind, key) of what isn't at hand
+            for i, d in enumerate(data):
                 wh = word_hashes(d.split())
-                c, found = table.get(wh)
+                c, found = tokens.get(wh)
                 n_tokens.append(len(wh) + 1)
                 known.append(int(found.sum()) + (texts > 0))
                 base.append(float(np.log10((np.append(c[found], texts) + 0.5) / denominator).sum()))
-                rare.append(wh[~found])
-                n_rare.append(len(rare[-1]))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32))
+                rare = wh[~found]
+                asked.append((np.full(len(rare), i), np.zeros(len(rare), np.int8), rare))
+            for owner, code in gram_blocks(data):
+                logs, found = grams.get(code)
+                score += np.bincount(owner[found], logs[found], len(data))
+                rare = code[~found]
+                asked.append((owner[~found], np.ones(len(rare), np.int8), rare))
+            owner, kind, key = (np.concatenate(c) for c in zip(*asked, strict=True))
+            order = np.lexsort((key, kind, owner))
+            owner, kind, key = owner[order], kind[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(key)))
+            offsets = pa.array(np.searchsorted(owner[first], np.arange(len(data) + 1)).astype(np.int32))
+            listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(kind[first]), as_long(key[first]), pa.array(times)], names=["kind", "key", "times"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model.score(data)), pa.ListArray.from_arrays(offsets, as_long(np.concatenate(rare)))],
-                names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "rare"],
+                [b.column(0), b.column(2), b.column(3), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(map(len, data), pa.int64()), listed],
+                names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "size", "asked"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = map_arrow(rows.withColumn("row", F.monotonically_increasing_id()), run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<bigint>")
+    scored = map_arrow(
+        rows.withColumn("row", F.monotonically_increasing_id()), run,
+        f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, size long, asked array<struct<kind: tinyint, key: long, times: long>>",
+    )
     scored = scratch.cut(scored)
-    # tokens that are not among the broadcast ones meet their counts in a join; none of them is common
-    each = scored.select("row", F.explode("rare").alias("key")).join(counts.where("kind = 0").select("key", "n"), "key", "left")
-    extra = each.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(denominator)))).alias("add"))
-    return scored.join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score"
+    # what is not broadcast is looked up once each: tokens among the counts, grams in the tree
+    each = scored.select("row", F.explode("asked").alias("a")).select("row", "a.*")
+    distinct_ = scratch.cut(each.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
+    tokens = distinct_.where("kind = 0").select("kind", "key").join(counts.where("kind = 0").select("key", "n"), "key", "left").select("kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    logs = tree.log10(distinct_.where("kind = 1").select("key")).select(F.lit(1).cast("tinyint").alias("kind"), "key", F.col("log").alias("value"))
+    values = scratch.cut(tokens.unionByName(logs))
+    many = distinct_.where(F.col("n") > max(256, (distinct_.agg(F.sum("n")).first()[0] or 0) // 4096)).select("kind", "key")
+    hot = values.join(many, ["kind", "key"]).withColumnRenamed("value", "hot")  # 4096 rows at most
+    marked = each.join(F.broadcast(hot), ["kind", "key"], "left")
+    met = marked.where("hot IS NULL").drop("hot").join(values, ["kind", "key"]).unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "value"))
+    token = F.col("kind") == 0
+    extra = met.groupBy("row").agg(
+        F.sum(F.when(token & (F.col("value") > 0), F.col("times"))).alias("more"),
+        F.sum(F.when(token, F.col("times") * F.log10((F.col("value") + 0.5) / F.lit(float(denominator))))).alias("base_add"),
+        F.sum(F.when(~token, F.col("times") * F.col("value"))).alias("add"),
     )
+    whole = lambda c, add: F.col(c) + F.coalesce(add, F.lit(0))
+    score = whole("score", "add")
+    return scored.join(extra, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", whole("known", "more").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), whole("base", "base_add").alias("base_score"), score.alias("score"),
+        (-score / F.lit(math.log10(2)) / F.when(F.col("size") > 0, F.col("size"))).alias("bits_per_byte"),
+    )
 
 
 def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

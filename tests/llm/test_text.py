@@ -126,15 +126,31 @@ def test_scores_odd_inputs(spark, scratch, docs_of):
     assert len(rows) == 3 and not any(r["held_out"] for r in rows if r["doc_id"] is None)
 
 
-def test_rare_tokens_are_joined(spark, scratch, docs_of, prose, monkeypatch):
+def test_rare_tokens_and_grams_are_joined(spark, scratch, docs_of, prose, monkeypatch):
     one = {r["doc_id"]: tuple(r) for r in ctw.language_model_scores(docs_of(prose), scratch).collect()}
     monkeypatch.setattr(ctw, "MOST_TOKENS", 3)
+    monkeypatch.setattr(ctw, "MOST_GRAMS", 3)
     two = {r["doc_id"]: tuple(r) for r in ctw.language_model_scores(docs_of(prose), scratch).collect()}
     for d in one:
-        assert one[d][:5] == two[d][:5] and one[d][5] == pytest.approx(two[d][5], abs=1e-6) and one[d][6] == two[d][6]
+        assert one[d][:5] == two[d][:5] and one[d][5:7] == pytest.approx(two[d][5:7], abs=1e-6)
 
 
-def test_pooled_nodes_still_beat_the_base(spark, scratch, docs_of, prose, monkeypatch):
-    monkeypatch.setattr(ctw, "NODE_SHARE", 500)
-    rows = ctw.language_model_scores(docs_of(prose), scratch).collect()
-    assert all(r["score"] < 0 for r in rows if r["n_tokens"] > 1)
+def test_scores_of_a_larger_corpus(spark, scratch, docs_of, prose):
+    """Every context is a node, however rare: the scores are those of the plain tree."""
+    import zlib
+
+    rows = [(d, t) for d, t in prose if d != 62]
+    tree = brute.Ctw([brute.lower(t or "").encode() for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1], ctw.DEPTH)
+    got = {r["doc_id"]: r for r in ctw.language_model_scores(docs_of(rows), scratch).collect()}
+    for d, t in rows:
+        data = brute.lower(t or "").encode()
+        assert got[d]["score"] == pytest.approx(tree.log10(data), abs=1e-6)
+        assert got[d]["bits_per_byte"] == (pytest.approx(-got[d]["score"] / 0.30102999566 / len(data)) if data else None)
+
+
+def test_long_texts_in_steps():
+    texts = [b"abcdefgh" * 40, b"", b"xyz", b"q" * 500]
+    want = {(i, int.from_bytes((b"\0" * ctw.DEPTH + t)[p : p + ctw.DEPTH + 1], "big")) for i, t in enumerate(texts) for p in range(len(t))}
+    for block in (7, 50, 1 << 20):
+        got = [(int(o), int(c)) for owner, code in ctw.gram_blocks(texts, block) for o, c in zip(owner, code, strict=True)]
+        assert len(got) == sum(map(len, texts)) and set(got) == want
