@@ -122,3 +122,39 @@ class Ctw:
                 p = self.one(data[i - self.depth : i], 1 << j | data[i] >> (8 - j))
                 total += math.log10(p if data[i] >> (7 - j) & 1 else 1 - p)
         return total
+
+
+def best_score(a, b):
+    """Most points of an alignment of (label, digest) lists, by trying all: two for equal pairs, one for equal labels."""
+    if not a or not b:
+        return 0
+    met = (2 if a[0] == b[0] else 1) + best_score(a[1:], b[1:]) if a[0][0] == b[0][0] else 0
+    return max(met, best_score(a[1:], b), best_score(a, b[1:]))
+
+
+def expression(node, top=True):
+    """A wrapper as a regular expression over ``<label> ... </label>`` and ``{text}``; elements of a bag go by their tag."""
+    if node.label == "#":
+        return r"(?:\{[^{}]*\})" + "+" * node.plus
+    kids = [f"(?:{expression(k, False)})" + "?" * k.maybe for k in node.kids]
+    inner = f"(?:{'|'.join(kids) or 'x{0}'})*" if node.bag else "".join(kids)
+    if top:
+        return inner
+    tag = re.escape(node.label) + r"[^>]*"
+    return f"(?:<{tag}>{inner}</{tag}>)" + "+" * node.plus
+
+
+def element_text(html_root):
+    """A nested tuple (label, children or text) as the text that ``expression`` is about."""
+    label, inner = html_root
+    if label == "#":
+        return "{" + inner + "}"
+    return f"<{label}>" + "".join(map(element_text, inner)) + f"</{label}>"
+
+
+def element_html(root):
+    label, inner = root
+    if label == "#":
+        return inner
+    tag, *classes = label.split(".")
+    return f"<{tag}" + (f" class='{' '.join(classes)}'" if classes else "") + ">" + "".join(map(element_html, inner)) + f"</{tag}>"

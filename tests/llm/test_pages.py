@@ -1,5 +1,6 @@
 import pytest
 
+import brute
 from fleetscope.llm import html_extract as H
 from fleetscope.llm import licenses
 
@@ -40,8 +41,101 @@ def test_extract(spark, scratch):
 def test_wrapper_finds_slots_repeats_and_optionals():
     a = "<div><h1>same</h1><p>one</p><ul><li>x</li></ul></div>"
     b = "<div><h1>same</h1><p>two</p><ul><li>x</li><li>y</li><li>z</li></ul><em>more</em></div>"
-    w = H.infer([a, b])
-    assert [path[-1] for path, _ in H.slots(w)] == ["p", "li"] and "maybe" in repr(w) and "'same'" in repr(w)
+    assert H.infer([a, b]).pattern() == "<>(<div>(<h1>(=) <p>(#) <ul>(<li>(=) <li>(#)+?) <em>(=)?))"
+
+
+def random_page(rng, depth=0):
+    kids = []
+    for _ in range(rng.randint(0, 4)):
+        if depth < 2 and rng.random() < 0.7:
+            kids.append((rng.choice(["div", "ul", "section", "div.x"]), random_page(rng, depth + 1)))
+        elif not kids or kids[-1][0] != "#":
+            kids.append(("#", rng.choice("abc")))
+    return kids
+
+
+def empty(kids):
+    """Without elements that hold no text."""
+    kids = [(k, empty(v)) if k != "#" else (k, v) for k, v in kids]
+    return [k for k in kids if k[0] == "#" or k[1]]
+
+
+@pytest.mark.parametrize(("seed", "longest"), [(s, 64) for s in range(6)] + [(s, 2) for s in range(3)])
+def test_wrappers_fit_all_their_pages(seed, longest, monkeypatch):
+    """The wrapper as a plain regular expression accepts every page that it was made of, whatever the order or grouping."""
+    import random
+    import re
+
+    monkeypatch.setattr(H, "LONGEST", longest)
+    rng = random.Random(seed)
+    pages = [random_page(rng) for _ in range(5)]
+    wrapper = H.infer(["".join(map(brute.element_html, p)) for p in pages])
+    half = [H.infer(["".join(map(brute.element_html, p)) for p in part]) for part in (pages[:2], pages[2:])]
+    joined = H._unpack(H._pack(H.joined(*half, 5)))
+    for w in (wrapper, joined):
+        fits = re.compile(brute.expression(w))
+        for p in pages:
+            said = re.sub(r"\}\{", "", "".join(map(brute.element_text, empty(p))))
+            assert fits.fullmatch(said), (w.pattern(), said)
+
+
+def test_alignment_is_a_best_match():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([(rng.choice("abc"), rng.randint(0, 2)) for _ in range(rng.randint(0, 7))] for _ in range(2))
+        pairs = H.best_match(*([H.Node(label, [], digest) for label, digest in x] for x in (a, b)))
+        assert all(a[i][0] == b[j][0] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        if [x[0] for x in a] != [x[0] for x in b]:
+            assert sum(2 if a[i] == b[j] else 1 for i, j in pairs) == brute.best_score(a, b)
+
+
+PLAIN = "<body><div>Site name</div><div><div>Start</div><div>About us</div></div><div>{0}</div><div>Contact us</div></body>"
+
+
+def test_wrapper_tells_unmarked_elements_apart():
+    pages = [PLAIN.format("".join(f"<div>t{i}.{j}</div>" for j in range(1 + i % 3)) if i % 2 else f"t{i}") for i in range(8)]
+    decision = H.decide(H.infer(pages))
+    for i, page in enumerate(pages):
+        assert H.main_text(page, decision).split("\n") == ([f"t{i}.{j}" for j in range(1 + i % 3)] if i % 2 else [f"t{i}"])
+
+
+BARE = "<html><body><div class='c1'>Site name</div><div class='c2'><a href='/'>Start</a><a href='/a'>About us</a></div><div class='c3'><h1>{0}</h1><div>Text of {0}.</div><div>More of {0}.</div></div><div class='c4'>Contact us</div></body></html>"
+
+
+def test_wrapper_tells_template_from_text_without_articles(spark, scratch):
+    pages = [(i, "http://plain.example/x", BARE.format(f"page {i}")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), scratch).collect()}
+    assert got == {i: f"page {i}\nText of page {i}.\nMore of page {i}." for i in range(8)}
+    assert H.main_text(pages[0][2]).startswith("Site name") and H.main_text(pages[0][2]).endswith("Contact us")  # the wrapper off
+
+
+def test_wrapper_names_the_article(spark, scratch):
+    page = "<main><article class='teaser'><p>Read {0} next</p></article><article class='story'><h1>{0}</h1><p>A long story of {0}, told well.</p></article></main>"
+    pages = [(i, "http://two.example/x", page.format(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), scratch).collect()}
+    assert got == {i: f"{i}\nA long story of {i}, told well." for i in range(4)}
+
+
+def test_partial_wrappers_are_aligned_in_rounds(spark, scratch, monkeypatch):
+    monkeypatch.setattr(H, "FAN_IN", 2)
+    pages = [(i, "http://plain.example/x", BARE.format(f"page {i}")) for i in range(12)]
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6), scratch).collect()
+    assert {r["text"] for r in got} == {f"page {i}\nText of page {i}.\nMore of page {i}." for i in range(12)}
+    monkeypatch.setattr(H, "MOST_HOSTS", 0)
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), scratch).collect()
+    assert {r["text"] for r in got} == {f"page {i}\nText of page {i}.\nMore of page {i}." for i in range(12)}
+
+
+@pytest.mark.parametrize("part", ["<p class='share-price'>x</p>", "<div class='hidden-gems'>x</div>", "<section id='ad-hoc-networks'>x</section>", "<ins>x</ins>", "<p class='has-sidebar'>x</p>"])
+def test_words_that_only_look_like_marks(part):
+    assert H.main_text(f"<article><p>a</p>{part}<p>b</p></article>").replace("\n", "") == "axb"
+
+
+@pytest.mark.parametrize("part", ["<ol id='reader-responses'><li>x</li></ol>", "<ins data-ad='1'>x</ins>", "<div class='ad-slot'>x</div>", "<div class='cookie-notice'>x</div>", "<div id='comments'>x</div>", "<div class='related-posts'>x</div>", "<div class='share-buttons'>x</div>", "<div class='site-header'>x</div>"])
+def test_marked_parts_go(part):
+    assert H.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nb"
 
 
 def test_long_pages_are_walked_once():
