@@ -2,9 +2,10 @@
 
 Vectors of one label are scaled to length one and rotated onto the principal axes of all vectors, so that the leading
 coordinates carry most of every product. Cells of the leading coordinates, as wide as two linked vectors can lie apart, say
-which vectors can meet at all. Two tiles that meet are compared a few dimensions at a time: what the rest can still add
-is bounded by the product of the suffix norms, and a pair stops as soon as its cosine cannot reach the threshold. Pairs
-that are left are decided on the vectors themselves in double precision.
+which vectors can meet at all; the more vectors there are, the more coordinates make a cell. Before two tiles travel to each
+other, their bounding boxes over all coordinates must lie near enough. Tiles that meet are compared a few dimensions at a time:
+what the rest can still add is bounded by the product of the suffix norms, and a pair stops as soon as its cosine cannot
+reach the threshold. Pairs that are left are decided on the vectors themselves in double precision.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 from .components import connected_components
 
-#: Leading coordinates that make the cells; rows of a tile; dimensions added at a time.
-CELL_DIMS, TILE, STEP = 2, 768, 16
+#: Leading coordinates that make the cells at least and at most; rows of a tile; dimensions added at a time.
+CELL_DIMS, MOST_DIMS, TILE, STEP = 2, 6, 768, 16
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, vector: array<double>, ok): ok if it can link, with label and components not null, all finite, not all zero."""
+    """(vec_id, label, vector: array of double or float, ok): ok if it can link, with label and components not null, all finite, not all zero."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    rows = rows.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("vector"))
+    kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"  # half the bytes where that is all the input has
+    rows = rows.select("vec_id", "label", F.transform("embedding", lambda v: (v.cast("double") + F.lit(0.0)).cast(kind)).alias("vector"))
     return rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda v: v != 0), F.lit(False)))
 
 
@@ -56,7 +58,7 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 def by_size(column: pa.ListArray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """(size of each vector, [(size, matrix of its vectors in order)])."""
     at = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = np.diff(at)
     out = []
     for size in np.unique(sizes).tolist():
@@ -99,26 +101,46 @@ def similar_vectors(rows: DataFrame, scratch: Scratch, threshold: float = 0.98)
 
     def cells(batches):
         for b in batches:
-            cell = np.zeros((b.num_rows, CELL_DIMS), np.int64)
+            cell = np.zeros((b.num_rows, MOST_DIMS), np.int64)
             sizes, parts = by_size(b.column(3))
             for size, x in parts:
-                y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotations.value[size][:, :CELL_DIMS]
+                y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotations.value[size][:, :MOST_DIMS]
                 cell[sizes == size, : y.shape[1]] = np.floor(y / width)
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * CELL_DIMS)
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * MOST_DIMS)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(cell.ravel()))], names=["rep", "label", "n", "vector", "size", "cell"])
 
-    kind = dict(copies.dtypes)["label"]
-    placed = scratch.cut(map_arrow(copies.select("rep", "label", "n", "vector"), cells, f"rep long, label {kind}, n long, vector array<double>, size int, cell array<bigint>"))
+    kinds = dict(copies.dtypes)
+    placed = scratch.cut(map_arrow(copies.select("rep", "label", "n", "vector"), cells, f"rep long, label {kinds['label']}, n long, vector {kinds['vector']}, size int, cell array<bigint>"))
+    n = placed.count()
+    dims = CELL_DIMS
+    while dims < MOST_DIMS and n > TILE * placed.select("label", "size", F.slice("cell", 1, dims)).distinct().count():
+        dims += 1
+    placed = placed.withColumn("cell", F.slice("cell", 1, dims))
     # tiles of a cell, by hash: their number follows the cell's count
     counts = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = placed.join(counts, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.repartition("label", "size", "cell", "tile")  # else the join's partitioning serves, and a hot cell's tiles are made in one task
-    tiles = scratch.cut(dealt.groupBy("label", "size", "cell", "tile").agg(F.collect_list(F.struct("rep", "n", "vector")).alias("rows")))
-    # each tile meets those of its own cell and of the neighbours, once
-    own = tiles.select("label", "size", "cell", "tile", F.explode(F.array(*[F.array(*[(F.col("cell")[k] + s[k]) for k in range(CELL_DIMS)]) for s in _shifts()])).alias("to"))
-    there = tiles.select("label", "size", F.col("cell").alias("to"), F.col("tile").alias("other"))
-    pairs = own.join(there, ["label", "size", "to"]).where("struct(cell, tile) <= struct(to, other)")
-    left = tiles.withColumnRenamed("rows", "a")
+    listed = dealt.groupBy("label", "size", "cell", "tile").agg(F.collect_list(F.struct("rep", "n", "vector")).alias("rows"))
+
+    def boxes(batches):
+        for b in batches:
+            low, high = [], []
+            for i in range(b.num_rows):
+                size = b.column(1)[i].as_py()
+                x = _unpack(b.column(4)[i].values, size)[2]
+                y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotations.value[size]
+                low.append(y.min(0) - 1e-9)
+                high.append(y.max(0) + 1e-9)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=[*b.schema.names, "low", "high"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields)
+    tiles = scratch.cut(map_arrow(listed, boxes, f"{schema}, low array<double>, high array<double>"))
+    # each tile meets those of its own cell and of the neighbours, once, if their boxes are near enough
+    own = tiles.select("label", "size", "cell", "tile", "low", "high", F.explode(F.array(*[F.array(*[(F.col("cell")[k] + s[k]) for k in range(dims)]) for s in _shifts(dims)])).alias("to"))
+    there = tiles.select("label", "size", F.col("cell").alias("to"), F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    apart = "aggregate(zip_with(zip_with(low, high2, (a, b) -> a - b), zip_with(low2, high, (a, b) -> a - b), (a, b) -> pow(greatest(a, b, 0D), 2)), 0D, (s, x) -> s + x)"
+    pairs = own.join(there, ["label", "size", "to"]).where("struct(cell, tile) <= struct(to, other)").where(F.expr(apart) <= width**2).select("label", "size", "cell", "tile", "to", "other")
+    left = tiles.select("label", "size", "cell", "tile", F.col("rows").alias("a"))
     right = tiles.select("label", "size", F.col("cell").alias("to"), F.col("tile").alias("other"), F.col("rows").alias("b"))
     met = pairs.join(left, ["label", "size", "cell", "tile"]).join(right, ["label", "size", "to", "other"])
     met = met.select("size", "a", "b", F.expr("cell = to AND tile = other").alias("same"))
@@ -153,9 +175,9 @@ def similar_vectors(rows: DataFrame, scratch: Scratch, threshold: float = 0.98)
     return keyed.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _shifts() -> list[tuple[int, ...]]:
+def _shifts(dims: int) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = [()]
-    for _ in range(CELL_DIMS):
+    for _ in range(dims):
         out = [(*s, d) for s in out for d in (-1, 0, 1)]
     return out
 
@@ -164,7 +186,7 @@ def _unpack(rows: pa.StructArray, size: int) -> tuple[np.ndarray, np.ndarray, np
     vectors = rows.field("vector")
     flat = vectors.values.to_numpy(zero_copy_only=False)
     at = vectors.offsets.to_numpy()
-    return rows.field("rep").to_numpy(), rows.field("n").to_numpy(), flat[at[0] : at[-1]].reshape(-1, size)
+    return rows.field("rep").to_numpy(), rows.field("n").to_numpy(), flat[at[0] : at[-1]].reshape(-1, size).astype(np.float64)
 
 
 def _links(ra: np.ndarray, na: np.ndarray, rb: np.ndarray, nb: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
