@@ -1,7 +1,8 @@
 """URL filters: glob rules run as one bit-parallel wildcard automaton.
 
-Every rule becomes a pattern over the canonical url ``.host/path``; all patterns are packed, one bit a position, into a
-few 64-bit words. One Shift-And step a character moves all patterns at once, and all urls of a batch move together.
+Every rule becomes a pattern over the canonical url: ``.host``, a byte that no text holds, and the path. ``*`` stands for any
+bytes of one side. All patterns are packed, one bit a position, into 64-bit words; one Shift-And step a byte moves all
+patterns at once, and all urls of a batch move together.
 """
 
 from __future__ import annotations
@@ -16,46 +17,69 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 
+#: Parts host and path; no UTF-8 text holds this byte, and no wildcard takes it.
+PART = b"\xff"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """host: fits itself and its subdomains; path: a prefix; ``glob`` replaces both by a pattern with ``*`` over ``.host/path``."""
+    """host: fits itself and its subdomains; path: a prefix. ``host_glob`` (over ``.host``) and ``path_glob`` replace them, each for its side."""
 
     verdict: str
     host: str = ""
     path: str = ""
-    glob: str = ""
+    host_glob: str = ""
+    path_glob: str = ""
 
     @property
     def name(self) -> str:
-        return self.glob or self.host + self.path
+        return self.host_glob + self.path_glob or self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        return self.glob or f"*.{self.host}{self.path}*"
+    def pattern(self) -> bytes:
+        if self.host_glob or self.path_glob:
+            return (self.host_glob or "*").encode() + PART + (self.path_glob or "*").encode()
+        return f"*.{self.host}".encode() + PART + f"{self.path}*".encode()
 
 
 #: The stated rules.
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-#: Where no stated rule fits: hosts that name what they sell are blocked, all else is allowed.
-FALLBACK = (Rule("block", glob="*.spam-farm.*"), Rule("block", glob="*.cheap-pills.*"), Rule("block", glob="*.casino*"))
+
+#: Where no stated rule fits. Names that hosts of advertising, tracking, gambling, pharmacies, adult sites, spam and
+#: link shorteners begin a label with (a label that is or begins ``name-`` for the first list, begins with the name for the second).
+LABELS = (
+    "ad ads adserver adservice adclick adtrack advert adverts banner banners click clicks clickbait counter metrics pixel popads popunder stats telemetry tracker tracking affiliate affiliates"
+    " bet bets betting bingo free-bets jackpot lotto lottery poker roulette slots sportsbook adult cams escort escorts hardcore hentai milf nude porn sex webcams xxx cialis levitra cheap-pills pills pharma viagra"
+    " spam spam-farm seo-farm link-farm linkfarm payday-loans quick-loans crypto-giveaway free-prizes get-rich replica-watches"
+).split()
+PREFIXES = "casino doubleclick googlesyndication porno sexcam onlinecasino onlinepharmacy viagra warez phishing".split()
+HOSTS = "bit.ly tinyurl.com goo.gl t.co ow.ly is.gd adf.ly taboola.com outbrain.com criteo.com scorecardresearch.com quantserve.com".split()
+#: Files that hold no page, and parts of sites that hold forms, carts, searches and scripts.
+SUFFIXES = "7z apk avi bin bz2 css deb dmg exe gif gz ico iso jar jpeg jpg js mkv mov mp3 mp4 msi otf png rar rpm svg tar tgz ttf wav webm webp woff woff2 xz zip".split()
+FOLDERS = "/cgi-bin/ /wp-admin/ /wp-login /wp-json/ /xmlrpc.php /login /signin /signup /register /logout /cart/ /checkout/ /search/ /feed/ /tag/ /trackback/ /ads/ /adserver/ /banners/ /popups/".split()
+FALLBACK = (
+    *(Rule("block", host_glob=f"*.{x}{end}") for x in LABELS for end in (".*", "-*")),
+    *(Rule("block", host_glob=f"*.{x}*") for x in PREFIXES),
+    *(Rule("block", x) for x in HOSTS),
+    *(Rule("block", path_glob=f"*.{x}") for x in SUFFIXES),
+    *(Rule("block", path_glob=f"{x}*") for x in FOLDERS),
+)
 
 
 class Automaton:
-    """Shift-And over UTF-8 bytes with ``*`` as self-loops; a bit for each literal of each pattern, in multiword masks."""
+    """Shift-And over UTF-8 bytes with ``*`` as self-loops, which PART does not follow; a bit for each literal of each pattern, in multiword masks."""
 
-    def __init__(self, patterns: list[str]) -> None:
+    def __init__(self, patterns: list[bytes]) -> None:
         literals: list[int] = []
         loops: set[int] = set()
         starts: list[int] = []
         self.ends: list[int] = []
-        self.open_end: list[bool] = []
-        for p in patterns:
-            body = p.encode()
+        for body in patterns:
             starts.append(len(literals))
             literals.append(-1)  # the state before the first literal
             if body.startswith(b"*"):
                 loops.add(len(literals) - 1)
-            for c in body.strip(b"*"):
+            for c in body.strip(b"*"):  # a star of its own side within
                 if c == 0x2A:
                     loops.add(len(literals) - 1)
                 else:
@@ -65,13 +89,14 @@ class Automaton:
             self.ends.append(len(literals) - 1)
         self.words = (len(literals) + 63) // 64
         self.masks = np.zeros((256, self.words), np.uint64)
-        self.loops = np.zeros(self.words, np.uint64)
+        self.loops = np.zeros((256, self.words), np.uint64)
         self.init = np.zeros(self.words, np.uint64)
         for i, c in enumerate(literals):
             if c >= 0:
                 self.masks[c, i // 64] |= np.uint64(1 << (i % 64))
         for i in loops:
-            self.loops[i // 64] |= np.uint64(1 << (i % 64))
+            self.loops[:, i // 64] |= np.uint64(1 << (i % 64))
+        self.loops[PART[0]] = 0
         for i in starts:
             self.init[i // 64] |= np.uint64(1 << (i % 64))
 
@@ -92,7 +117,8 @@ class Automaton:
             shifted = cur << np.uint64(1)
             if self.words > 1:
                 shifted[:, 1:] |= cur[:, :-1] >> np.uint64(63)
-            state[:live] = (shifted & self.masks[flat[at[:live] + step]]) | (cur & self.loops)
+            byte = flat[at[:live] + step]
+            state[:live] = (shifted & self.masks[byte]) | (cur & self.loops[byte])
         hit = np.empty((n, len(self.ends)), bool)
         for k, e in enumerate(self.ends):
             hit[order, k] = (state[:, e // 64] >> np.uint64(e % 64)) & np.uint64(1) != 0
@@ -114,17 +140,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def judge(hosts: list[str], paths: list[str], rules: tuple[Rule, ...], fallback: tuple[Rule, ...], automaton: Automaton) -> tuple[list[str | None], list[str]]:
-    """The longest stated rule that fits each url, and its verdict. NUL parts host and path, so that no rule reaches over."""
+    """The longest stated rule that fits each url, and its verdict; else that of the first fallback rule that fits, else allow."""
     both = (*rules, *fallback)
-    hit = automaton.run([f".{h}\0{p}".encode() for h, p in zip(hosts, paths, strict=True)])
+    hit = automaton.run([b"." + h.encode() + PART + p.encode() for h, p in zip(hosts, paths, strict=True)])
     hit[np.fromiter((not h for h in hosts), bool, count=len(hosts))] = False
     order = sorted(range(len(rules)), key=lambda k: (len(rules[k].name), rules[k].verdict == "block"))
     best = np.full(len(hosts), -1)
     for k in order:
         best[hit[:, k]] = k
-    other = np.full(len(hosts), -1)
-    for k in range(len(rules), len(both)):
-        other[hit[:, k] & (other < 0)] = k
+    rest = hit[:, len(rules) :]
+    other = np.where(rest.any(1), rest.argmax(1) + len(rules), -1) if fallback else np.full(len(hosts), -1)
     names = [rules[k].name if k >= 0 else None for k in best]
     return names, [both[k if k >= 0 else o].verdict if k >= 0 or o >= 0 else "allow" for k, o in zip(best, other, strict=True)]
 
@@ -133,9 +158,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(id, host, path, rule, verdict) for each row, in one narrow pass.
 
     Null url or none with ``://``: host and path empty, rule null, verdict allow. A url whose path is empty does not start
-    with ``/``. Equal lengths: block wins. Repeated rows give repeated results; other columns are not read.
+    with ``/``. Equal lengths: block wins. Where no stated rule fits, the fallback's names, files and folders are blocked. Repeated rows give repeated results; other columns are not read.
     """
-    patterns = [r.glob or f"*.{r.host}\0{r.path}*" for r in (*rules, *fallback)]
+    patterns = [r.pattern for r in (*rules, *fallback)]
 
     def run(batches):
         automaton = Automaton(patterns)
@@ -154,7 +179,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-OP1_SQL = r"""
+def _words(x: list[str]) -> str:
+    return "'" + " ".join(x) + "'"
+
+
+#: The fallback in terms of labels, suffixes and folders rather than globs.
+OP1_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -166,11 +196,16 @@ m AS (SELECT *, CASE
         WHEN ends_with(d, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
         WHEN ends_with(d, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
         WHEN ends_with(d, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-        WHEN ends_with(d, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM r)
+        WHEN ends_with(d, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM r),
+f AS (SELECT *, string_split({_words(LABELS)}, ' ') AS labels, string_split({_words(PREFIXES)}, ' ') AS begins, string_split({_words(HOSTS)}, ' ') AS hosts,
+             string_split({_words(SUFFIXES)}, ' ') AS suffixes, string_split({_words(FOLDERS)}, ' ') AS folders FROM m)
 SELECT page_id, host, path, rule, CASE
         WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
         WHEN rule IS NOT NULL THEN 'block'
-        WHEN host <> '' AND (contains(d || chr(0) || path, '.spam-farm.') OR contains(d || chr(0) || path, '.cheap-pills.') OR contains(d || chr(0) || path, '.casino')) THEN 'block'
+        WHEN host <> '' AND (
+             len(list_filter(labels, lambda x: contains(d, '.' || x || '.') OR contains(d, '.' || x || '-'))) > 0
+             OR len(list_filter(begins, lambda x: contains(d, '.' || x))) > 0 OR len(list_filter(hosts, lambda x: ends_with(d, '.' || x))) > 0
+             OR len(list_filter(suffixes, lambda x: ends_with(path, '.' || x))) > 0 OR len(list_filter(folders, lambda x: starts_with(path, x))) > 0) THEN 'block'
         ELSE 'allow' END AS verdict
-FROM m
+FROM f
 """
