@@ -41,12 +41,12 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        chunked = [CHUNK.findall(t) for t in texts]
+        """Little-endian 32-bit ids of each text; one that spells an added token is left to the library whole."""
+        chunked = [CHUNK.findall(t) if not any(a in t for a in self.added) else [] for t in texts]
         distinct = set().union(*chunked)
         new = list(distinct.difference(self))
         if len(self) + len(new) > self.most:
@@ -54,7 +54,10 @@ class ChunkIds(dict):
             new = list(distinct)
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
+        return [b"".join(map(self.__getitem__, chunks)) if chunks or not t else self._whole(t) for chunks, t in zip(chunked, texts, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +130,11 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, limits: np.ndarray,
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_steps: int = 400) -> list[tuple[int, np.ndarray]]:
-    """(how often, items of each size): the linear programme's basic solution, rounded down."""
+    """(how often, items of each size): the linear programme's basic solution, rounded down.
+
+    ``most_steps`` bounds the columns that are tried; every basis on the way is a solution, so stopping early may cost a few
+    sequences and places every document all the same.
+    """
     g = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     x = demand / np.diag(basis)

@@ -62,7 +62,7 @@ def test_round_trip_query(spark, docs_of, prose, reference):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(" \t\n\r\u00a0\u2003\u3000ab,.'1\u00e9s", max_size=14), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.text(" \t\n\r\u00a0\u2003\u3000ab,.'1\u00e9s", max_size=14) | st.just("<|endoftext|>"), max_size=3).map("".join), min_size=1, max_size=4))
 def test_words_are_encoded_as_the_library_does(texts):
     ids = packing.chunk_ids(public_tokenizers.path(packing.VOCABULARY))
     want = [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
@@ -81,7 +81,6 @@ def check(rows, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
     pieces = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
     want = Counter()
     for d, t in docs:
@@ -109,9 +108,14 @@ def test_packing(spark, scratch, docs_of, prose):
     assert n == math.ceil(total / 2048)
 
 
+def test_added_tokens_are_those_of_the_library():
+    ids = packing.chunk_ids(public_tokenizers.path(packing.VOCABULARY))
+    assert np.frombuffer(ids.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_packing_odd_inputs(spark, scratch, docs_of):
     assert packing.pack(docs_of([]), scratch).count() == 0
-    odd = [(1, None), (1, None), (None, "a b"), (2, ""), (2, "x" * 9000)]
+    odd = [(1, None), (1, None), (None, "a b"), (2, ""), (2, "x" * 9000), (3, "see <|endoftext|> and <|endoftext|>")]
     check(packing.pack(docs_of(odd), scratch).collect(), odd)
 
 
