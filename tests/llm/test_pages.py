@@ -187,7 +187,7 @@ See the License for the specific language governing permissions and
 limitations under the License."""
     rows = spark.createDataFrame([(0, gpl), (1, apache), (2, "This program is free software: good"), (3, gpl + "\n\n" + gpl)], "doc_id long, text string")
     got = [tuple(r)[1:] for r in licenses.scan(rows).orderBy("doc_id").collect()]
-    free = "gpl-free,gpl-hope,gpl-implied,gpl-see"
+    free = "gpl3-free,gpl-hope,gpl-implied,gpl-see"
     assert got[0] == (4, free, "GPL-3.0-or-later")
     assert got[1] == (4, "apache-header,apache-header-2,apache-copy,apache-see", "Apache-2.0")
     assert got[2] == (0, "", "") and got[3] == (8, free + "," + free, "GPL-3.0-or-later")
@@ -196,13 +196,47 @@ limitations under the License."""
 def test_a_shorter_rule_beside_a_longer_one(spark):
     two = "\n".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
     three = two + "\n" + licenses.SENTENCES["bsd-name"]
-    assert licence(spark, three + "\n" + two, three + "\n" + three) == ["BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause"]
+    assert licence(spark, three + "\n" + two, three + "\n" + three) == ["BSD-2-Clause,BSD-3-Clause", "BSD-3-Clause"]
 
 
 def test_licenses_of_both_readings(spark):
     wrapped = "\n\n".join(licenses.SENTENCES[k].replace(" of ", "\nof ", 1).replace(" or ", "\nor ", 1) for k in ("mit-grant", "mit-condition", "mit-warranty"))
     title = "\n\nDocs\nLicensed under CC BY 4.0.\n\nMore\nReleased under CC0 1.0."
-    assert licence(spark, wrapped + title) == ["MIT,CC-BY-4.0,CC0-1.0"]
+    assert licence(spark, wrapped + title) == ["CC-BY-4.0,CC0-1.0,MIT"]
+
+
+def test_other_sentences_may_stand_between(spark):
+    mit = [licenses.SENTENCES[k] for k in ("mit-grant", "mit-condition", "mit-warranty")]
+    assert licence(spark, "\n".join([mit[0], "Licensed under CC BY 4.0.", mit[1], "Words of our own.", mit[2]]), "\n".join(mit[::-1])) == ["CC-BY-4.0,MIT", ""]
+
+
+def test_shorter_rules_go_by_place(spark):
+    lines = lambda *ids: "\n".join(licenses.SENTENCES[k] for k in ids)
+    two, mit = ("bsd-grant", "bsd-source", "bsd-binary"), ("mit-grant", "mit-condition", "mit-warranty")
+    got = licence(spark, lines(*two, *two, "bsd-name"), lines(*two, "bsd-advert", "bsd-name"), lines(*mit, "x11-name"), lines(*mit, "x11-name", *mit))
+    assert got == ["BSD-2-Clause,BSD-3-Clause", "BSD-4-Clause", "X11", "MIT,X11"]
+
+
+def test_spdx_tags(spark):
+    assert licence(spark, "// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", "# spdx-license-identifier: GPL-2.0+", "SPDX-License-Identifier: Nonsense-1.0", "x SPDX-License-Identifier: GPL-3.0") == ["Apache-2.0,MIT", "GPL-2.0-or-later", "", "GPL-3.0-only"]
+
+
+def test_every_licence_is_found_by_its_own_sentences(spark):
+    rules = licenses.rules()
+    notice = {v: k for k, v in licenses.notices().items()}
+    said = [".\n".join(notice.get(x) or licenses.SENTENCES[x] for x in ids) + "." for _, ids in rules]
+    assert len({n for n, _ in rules}) >= 40
+    assert [n in got.split(",") for (n, _), got in zip(rules, licence(spark, *said), strict=True)] == [True] * len(rules)
+    assert all(any(m in s.lower() for m in licenses.MARKERS) for s in [*licenses.SENTENCES.values(), *notice.values()])
+
+
+def test_license_odd_inputs(spark):
+    schema = "doc_id long, text string, a string, t string, tags string, known string, licenses string"
+    assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
+    long = "no such words here. " * 200_000 + "\nReleased under the MIT License.\n" + "x" * 1_000_000
+    rows = [(None, "MIT License", *"abcde"), (None, None, *"abcde"), (1, long, *"abcde"), (1, long, *"abcde")]
+    got = sorted(((r["doc_id"], r["n_sentences"], r["licenses"]) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == [(1, 1, "MIT"), (1, 1, "MIT"), (None, 0, ""), (None, 1, "")]
 
 
 def test_license_plan_is_native(spark):
