@@ -60,11 +60,12 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return load_catalog(spark, rows) if rows else spark.createDataFrame([], COLUMNS)
 
 
-def issues(candidates: DataFrame, catalog: DataFrame, id_of: Column, context: dict[str, Column], order: list[str], partition: list[str], strict: bool = True, timestamp: str | None = None, tool: str = "fleetscope") -> DataFrame:
+def issues(candidates: DataFrame, catalog: DataFrame, id_of: Column, context: dict[str, Column], order: list[str], partition: list[str], strict: bool = True, timestamp: str | None = None, tool: str = "fleetscope", beside: tuple[str, ...] = ()) -> DataFrame:
     """Numbered and rendered issues.
 
     ``candidates`` has issue_key and entity_id beside what ``context`` reads. Numbers run over all candidates of a partition, so a
     disabled rule still uses numbers up; only then the catalogue is joined and disabled rules go. The timestamp is a parameter.
+    Columns of ``candidates`` named in ``beside`` come along.
     """
     n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
     known = catalog.where("enabled").select("issue_key", F.struct("severity", "category", "title", "description", "recommendation", "entity_type").alias("_c"))  # rows may have columns of these names
@@ -73,5 +74,5 @@ def issues(candidates: DataFrame, catalog: DataFrame, id_of: Column, context: di
     return rows.select(
         F.concat(id_of, T.numbered(F.col("_n"))).alias("issue_id"), "issue_key", "_c.severity", "_c.category", render(F.col("_c.description"), context).alias("description"), "_c.entity_type", "entity_id",
         F.lit(tool).alias("analysis_tool"), F.lit(timestamp).cast("string").alias("analysis_timestamp"),
-        F.create_map(F.lit("title"), F.col("_c.title"), F.lit("recommendation"), F.col("_c.recommendation")).alias("metadata"),
+        F.create_map(F.lit("title"), F.col("_c.title"), F.lit("recommendation"), F.col("_c.recommendation")).alias("metadata"), *beside,
     )

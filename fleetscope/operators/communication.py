@@ -38,12 +38,12 @@ def subscriber_without_publisher(pubs: DataFrame, subs: DataFrame, topics: DataF
 
 
 def topic_multiple_publishers(pubs: DataFrame, topics: DataFrame, nodes: DataFrame, scope: str = "global") -> DataFrame:
-    """Topics with several publishers; their names in ascending order. Names are only joined for topics that pass the count."""
+    """Topics with several publishers (of nodes with a name), by topic and message type; their names in ascending order. Names are only joined for topics that pass the count."""
     on = keys(scope, "topic_id")
     busy = pubs.groupBy(*on).agg(F.countDistinct("endpoint_id").alias("publisher_count")).where("publisher_count > 1")
-    named = pubs.join(busy, on, "left_semi").join(nodes.select(*keys(scope, "node_id"), "runtime_name"), keys(scope, "node_id"), "left")
-    names = named.groupBy(*on).agg(F.countDistinct("endpoint_id").alias("publisher_count"), F.array_join(F.sort_array(F.collect_set("runtime_name")), ", ").alias("publishers"))
-    return names.join(topics.select(*on, "topic_name"), on).select("topic_id", "topic_name", "publisher_count", "publishers")
+    named = pubs.join(busy, on, "left_semi").join(nodes.where("runtime_name IS NOT NULL").select(*keys(scope, "node_id"), "runtime_name"), keys(scope, "node_id"))
+    names = named.groupBy(*on).agg(F.countDistinct("endpoint_id").alias("publisher_count"), F.array_join(F.sort_array(F.collect_set("runtime_name")), ", ").alias("publishers")).where("publisher_count > 1")
+    return names.join(topics.select(*on, "topic_name", "msg_type").distinct(), on).select("topic_id", "topic_name", "msg_type", "publisher_count", "publishers")
 
 
 def _pairs(pubs: DataFrame, subs: DataFrame, topics: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:

@@ -54,7 +54,7 @@ def launch_triples(model) -> DataFrame:
         shred(located, graph, act, {"hasProvenance": _iri("provenance", prov)}, []),
         shred(located, graph, T.resource("provenance", prov), {"hasSourceFile": _text("source_file"), "hasConfidence": (F.col("confidence").cast("string"), "decimal")}, ["Provenance"]),
         shred(model.parameters, graph, act, {"hasParameter": _iri("parameter", param)}, []),
-        shred(model.parameters, graph, T.resource("parameter", param), {"hasParameterName": _text("name"), "hasParameterValue": _text("value")}, ["Parameter"]),
+        shred(model.parameters, graph, T.resource("parameter", param), {"hasParameterName": _text("name"), "hasParameterValue": (F.when(F.col("dtype") == "boolean", F.lower("value")).otherwise(F.col("value")), F.coalesce("dtype", F.lit("string")))}, ["Parameter"]),
         shred(model.remappings, graph, act, {"hasRemapping": _iri("remapping", remap)}, []),
         shred(model.remappings, graph, T.resource("remapping", remap), {"remapFrom": (T.some(F.col("from_topic")), "string"), "remapTo": _text("to_topic")}, ["Remapping"]),
         shred(model.conditions, graph, act, {"hasCondition": _iri("condition", cond)}, []),

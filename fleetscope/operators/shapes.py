@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,29 +36,40 @@ SHAPES = (
 )
 
 
-def focus_nodes(triples: DataFrame, target: str) -> DataFrame:
-    return triples.where(F.col("p").isin("type", "hasSpecificType") & (F.col("o") == ROS + target)).select("graph", F.col("s").alias("focus")).distinct()
-
-
-def violations(triples: DataFrame, shape: Shape) -> DataFrame:
-    """Focus nodes and their values meet in one left join; count and value checks are aggregates of it."""
-    focus = focus_nodes(triples, shape.target)
-    values = triples.where(F.col("p") == shape.path).select("graph", F.col("s").alias("focus"), "o", "kind", "dtype")
-    rows = focus.join(values, ["graph", "focus"], "left")
+def _checks(shape: Shape) -> dict[str, Column]:
+    """Constraint and what breaks it in one of the path's values."""
+    here = F.col("p") == shape.path
     bad: dict[str, Column] = {}
     if shape.datatype:
-        bad["datatype"] = F.col("o").isNotNull() & ~F.coalesce(F.col("dtype") == shape.datatype, F.lit(False))
+        bad["datatype"] = here & ~F.coalesce(F.col("dtype") == shape.datatype, F.lit(False))
     if shape.values:
-        bad["in"] = F.col("o").isNotNull() & ~F.col("o").isin(*shape.values)
+        bad["in"] = here & ~F.col("o").isin(*shape.values)
     if shape.pattern:
-        bad["pattern"] = F.col("o").isNotNull() & ~F.col("o").rlike(shape.pattern)
-    facts = rows.groupBy("graph", "focus").agg(F.count("o").alias("n"), *(F.count_if(c).alias(k) for k, c in bad.items()))
-    found = F.array_compact(F.array(F.when(F.col("n") < shape.min_count, F.lit("minCount")), *(F.when(F.col(k) > 0, F.lit(k)) for k in bad)))
-    return facts.select("graph", "focus", F.explode(found).alias("constraint")).select("graph", "focus", F.lit(shape.target).alias("shape"), F.lit(shape.path).alias("path"), "constraint")
+        bad["pattern"] = here & ~F.col("o").rlike(shape.pattern)
+    return bad
 
 
 def report(triples: DataFrame, shapes: tuple[Shape, ...] = SHAPES) -> DataFrame:
-    return reduce(DataFrame.unionByName, [violations(triples, s) for s in shapes])
+    """All shapes in one pass: conditional aggregates by subject, combined before the only shuffle, then the broken constraints of its classes."""
+    parts = []
+    targets = sorted({s.target for s in shapes})
+    of_target = {t: F.max(F.col("p").isin("type", "hasSpecificType") & (F.col("o") == ROS + t)).alias(f"is{i}") for i, t in enumerate(targets)}
+    counted = []
+    for i, shape in enumerate(shapes):
+        counted.append(F.count_if(F.col("p") == shape.path).alias(f"n{i}"))
+        counted += [F.count_if(c).alias(f"{k}{i}") for k, c in _checks(shape).items()]
+        broken = {"minCount": F.col(f"n{i}") < shape.min_count, **{k: F.col(f"{k}{i}") > 0 for k in _checks(shape)}}
+        for k, c in broken.items():
+            said = F.struct(F.lit(shape.target).alias("shape"), F.lit(shape.path).alias("path"), F.lit(k).alias("constraint"))
+            parts.append(F.when(F.col(f"is{targets.index(shape.target)}") & c, said))
+    paths = {s.path for s in shapes}
+    facts = triples.where(F.col("p").isin("type", "hasSpecificType", *sorted(paths)) & F.col("o").isNotNull()).groupBy("graph", F.col("s").alias("focus")).agg(*of_target.values(), *counted)
+    found = facts.where(F.array_contains(F.array(*(F.col(f"is{i}") for i in range(len(targets)))), True))
+    return found.select("graph", "focus", F.explode(F.array_compact(F.array(*parts))).alias("v")).select("graph", "focus", "v.*")
+
+
+def violations(triples: DataFrame, shape: Shape) -> DataFrame:
+    return report(triples, (shape,))
 
 
 def conforms(triples: DataFrame, shapes: tuple[Shape, ...] = SHAPES) -> bool:

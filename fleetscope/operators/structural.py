@@ -39,7 +39,8 @@ def include_unresolved(actions: DataFrame) -> DataFrame:
 
 
 def include_self(actions: DataFrame) -> DataFrame:
-    return actions.where("action_type = 'include' AND included_launch_id IN (concat('launch_desc_', file_id), file_id)")
+    """The target is the description's own id, or the one that its file gives."""
+    return actions.where("action_type = 'include' AND included_launch_id IN (CAST(ld_id AS STRING), concat('launch_desc_', file_id))")
 
 
 def arg_no_default(actions: DataFrame) -> DataFrame:
@@ -72,13 +73,12 @@ CONTEXT = {"executable": "executable", "package": "package", "condition": "cond"
 
 
 def detect(actions: DataFrame, catalog: DataFrame | None = None, timestamp: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Issues of all rules, numbered by description and family, with the source file of what they are about."""
+    """Issues of all rules, numbered by file and family, with the description and source file of what they are about."""
     from . import catalog as C
 
-    rows = candidates(actions, keys)
+    rows = candidates(actions, keys).withColumn("location", F.col("source_file"))
     known = catalog if catalog is not None else C.load_catalog(actions.sparkSession)
-    out = C.issues(rows, known, F.concat(F.lit("issue_"), "file_id", F.lit("_"), "family"), {k: F.col(c) for k, c in CONTEXT.items()}, ["pos", "issue_key"], ["file_id", "family"], timestamp=timestamp)
-    return out.join(actions.select(F.col("action_id").alias("entity_id"), "ld_id", F.col("source_file").alias("location")), "entity_id", "left")
+    return C.issues(rows, known, F.concat(F.lit("issue_"), "file_id", F.lit("_"), "family"), {k: F.col(c) for k, c in CONTEXT.items()}, ["pos", "issue_key"], ["file_id", "family"], timestamp=timestamp, beside=("ld_id", "location"))
 
 
 # Rules as conjunctive queries over exported triples state them; on entity tables each is one scan.

@@ -1,7 +1,8 @@
 """A triple view of entity tables, and basic graph patterns over it.
 
-Triples are (graph, s, p, o, kind, dtype). A pattern's star around one subject, all of whose predicates an entity table has, is
-compiled to one scan of that table; other patterns become equi-joins.
+Triples are (graph, s, p, o, kind, dtype). The patterns of a star around one subject whose predicates have few values are
+answered in one pass with conditional aggregates; other patterns become equi-joins, in an order in which each shares a variable
+with those before it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from fleetscope.functions import text as T
 ROS = "http://example.org/ros-launch#"
 
 
-def shred(rows: DataFrame, graph: Column, subject: Column, properties: dict[str, tuple[Column, str]], types: list[str]) -> DataFrame:
-    """An entity's triples: one explode of an array of structs; null values give none. Kinds are iri, string, decimal, integer and boolean."""
+def shred(rows: DataFrame, graph: Column, subject: Column, properties: dict[str, tuple[Column, str | Column]], types: list[str]) -> DataFrame:
+    """An entity's triples: one explode of an array of structs; null values give none. Kinds are iri, string, decimal, integer and boolean, or a column of those."""
     parts = [F.struct(F.lit("type").alias("p"), F.lit(ROS + t).alias("o"), F.lit("iri").alias("kind"), F.lit(None).cast("string").alias("dtype")) for t in types]
     for p, (value, kind) in properties.items():
-        parts.append(F.struct(F.lit(p).alias("p"), value.cast("string").alias("o"), F.lit("iri" if kind == "iri" else "lit").alias("kind"), (F.lit(None).cast("string") if kind == "iri" else F.lit(kind)).alias("dtype")))
+        iri = isinstance(kind, str) and kind == "iri"
+        dtype = F.lit(None).cast("string") if iri else F.lit(kind) if isinstance(kind, str) else kind
+        parts.append(F.struct(F.lit(p).alias("p"), value.cast("string").alias("o"), F.lit("iri" if iri else "lit").alias("kind"), dtype.alias("dtype")))
     out = rows.select(graph.alias("graph"), subject.alias("s"), F.explode(F.array(*parts)).alias("t"))
     return out.select("graph", "s", "t.*").where("o IS NOT NULL")
 
@@ -112,6 +115,8 @@ class Query:
 def match(triples: DataFrame, p: Pattern) -> DataFrame:
     rows = triples.where(F.col("p") == p.predicate)
     columns = []
+    if p.subject == p.object and p.subject.startswith("?"):  # one variable: one column, and an equality
+        return rows.where("s = o").select("graph", F.col("s").alias(p.subject[1:]))
     for side, term in (("s", p.subject), ("o", p.object)):
         if term.startswith("?"):
             columns.append(F.col(side).alias(term[1:]))
@@ -120,11 +125,48 @@ def match(triples: DataFrame, p: Pattern) -> DataFrame:
     return rows.select(F.col("graph"), *columns)
 
 
+#: Predicates that a subject has one value of in each graph, or a few.
+SINGLE = frozenset(
+    "hasSpecificType hasActionId hasName hasNamespace hasPackage hasExecutable hasNodeName hasDefaultValue hasArgumentName hasTargetScope includesLaunch hasProvenance hasSourceFile hasConfidence hasLaunchFileId hasFormat"
+    " hasRuntimeName hasTopicId hasTopicName hasMessageType hasReliability onTopic fromNode remapFrom remapTo hasParameterName hasParameterValue hasConditionExpression".split()
+)
+
+
+def star(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Patterns around one subject variable in one pass: the sets of their predicates' values by subject, then every combination of them."""
+    subject = patterns[0].subject[1:]
+    predicates = list(dict.fromkeys(p.predicate for p in patterns))
+    sets = [F.collect_set(F.when(F.col("p") == p, F.col("o"))).alias(f"_{i}") for i, p in enumerate(predicates)]
+    rows = triples.where(F.col("p").isin(*predicates)).groupBy("graph", F.col("s").alias(subject)).agg(*sets).where(" AND ".join(f"size(_{i}) > 0" for i in range(len(predicates))))
+    for p in patterns:
+        values = F.col(f"_{predicates.index(p.predicate)}")
+        name = p.object[1:]
+        if not p.object.startswith("?"):
+            rows = rows.where(F.array_contains(values, p.object))
+        elif name in rows.columns:
+            rows = rows.where(F.array_contains(values, F.col(name)))
+        else:
+            rows = rows.withColumn(name, F.explode(values))
+    return rows.drop(*(f"_{i}" for i in range(len(predicates))))
+
+
+def _parts(triples: DataFrame, patterns: list[Pattern]) -> list[DataFrame]:
+    stars: dict[str, list[Pattern]] = {}
+    for p in patterns:
+        if p.subject.startswith("?") and p.predicate in SINGLE and p.subject != p.object:
+            stars.setdefault(p.subject, []).append(p)
+    starred = {id(p) for group in stars.values() if len(group) > 1 for p in group}
+    return [star(triples, group) for group in stars.values() if len(group) > 1] + [match(triples, p) for p in patterns if id(p) not in starred]
+
+
 def _joined(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Stars around one variable first: a star of k literal predicates is one pass with conditional aggregates where values are single."""
-    out = match(triples, patterns[0])
-    for p in patterns[1:]:
-        new = match(triples, p)
+    """Stars first, then the patterns that share a variable with what is there; a pattern that never does would multiply rows and is refused."""
+    out, *rest = _parts(triples, patterns)
+    while rest:
+        i = next((i for i, x in enumerate(rest) if len(set(x.columns) & set(out.columns)) > 1), None)
+        if i is None:
+            raise ValueError("patterns without a common variable would give a product")
+        new = rest.pop(i)
         out = out.join(new, [c for c in out.columns if c in new.columns])
     return out
 

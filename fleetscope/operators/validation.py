@@ -26,16 +26,22 @@ def sequence_validity(sequence: DataFrame, actions: DataFrame) -> DataFrame:
     return _errors(gone, "sequence_validity", F.format_string("the sequence names %s, which does not exist", "action_id"))
 
 
-def no_orphans(actions: DataFrame, sequence: DataFrame, edges: DataFrame) -> DataFrame:
+def walked(sequence: DataFrame, edges: DataFrame) -> DataFrame:
+    """What the sequence leads to: one walk that three rules share."""
+    return tree.reachable(sequence.select("ld_id", F.col("action_id").alias("id")), edges)
+
+
+def no_orphans(actions: DataFrame, sequence: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     items = actions.select("ld_id", F.col("action_id").alias("id"))
-    lost = tree.orphans(items, sequence.select("ld_id", F.col("action_id").alias("id")), edges)
+    lost = tree.orphans(items, sequence.select("ld_id", F.col("action_id").alias("id")), edges, reached)
     return _errors(lost, "no_orphans", F.format_string("%s cannot be reached", "id"), "warning", "id")
 
 
-def reachability(sequence: DataFrame, edges: DataFrame) -> DataFrame:
+def reachability(sequence: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """Sequence ids that are not reached from the sequence: none, by construction; kept so that a report names every rule."""
     ids = sequence.select("ld_id", F.col("action_id").alias("id"))
-    missed = ids.join(tree.reachable(ids, edges).select("ld_id", "id"), ["ld_id", "id"], "left_anti")
+    reached = walked(sequence, edges) if reached is None else reached
+    missed = ids.join(reached.select("ld_id", "id"), ["ld_id", "id"], "left_anti")
     return _errors(missed, "reachability", F.lit("unreachable"), action="id")
 
 
@@ -43,8 +49,9 @@ def id_format(actions: DataFrame, column: str = "action_id") -> DataFrame:
     return _errors(actions.where(~F.col(column).rlike(ID_PATTERN)), "id_format", F.format_string("%s is no valid id", column), action=column)
 
 
-def no_cycles(sequence: DataFrame, edges: DataFrame) -> DataFrame:
-    found = tree.cycles(edges, sequence.select("ld_id", F.col("action_id").alias("id")))
+def no_cycles(sequence: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """Every action of the sequence's trees that reaches itself, once each, whatever order a walk would take."""
+    found = tree.cycles(edges, reached=walked(sequence, edges) if reached is None else reached)
     return _errors(found, "no_cycles", F.format_string("%s lies on a cycle", "id"), action="id")
 
 
@@ -63,9 +70,10 @@ def include_required_fields(actions: DataFrame) -> DataFrame:
 
 
 def validate(actions: DataFrame, sequence: DataFrame, edges: DataFrame) -> DataFrame:
-    """All nine rules as one union."""
+    """All nine rules as one union; the tree is walked once."""
+    reached = walked(sequence, edges)
     parts = [
-        map_consistency(actions), sequence_validity(sequence, actions), reachability(sequence, edges), no_orphans(actions, sequence, edges), id_format(actions), no_cycles(sequence, edges),
+        map_consistency(actions), sequence_validity(sequence, actions), reachability(sequence, edges, reached), no_orphans(actions, sequence, edges, reached), id_format(actions), no_cycles(sequence, edges, reached),
         scope_actions_only(actions, edges), node_required_fields(actions), include_required_fields(actions),
     ]
     return reduce(DataFrame.unionByName, parts)

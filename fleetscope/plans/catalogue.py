@@ -55,7 +55,7 @@ def comm_subscriber_without_publisher(s, d):
     return communication.subscriber_without_publisher(views.pubs(s, d), views.subs(s, d), views.topics(s, d), views.nodes(s, d))
 
 
-@query(COMM + f"SELECT topic_id, topic_name, count(DISTINCT endpoint_id) AS publisher_count, string_agg(DISTINCT runtime_name, ', ' ORDER BY runtime_name) AS publishers FROM pub JOIN topic USING (topic_id) {_NODE} GROUP BY topic_id, topic_name HAVING count(DISTINCT endpoint_id) > 1")
+@query(COMM + f"SELECT topic_id, topic_name, topic_type AS msg_type, count(DISTINCT endpoint_id) AS publisher_count, string_agg(DISTINCT runtime_name, ', ' ORDER BY runtime_name) AS publishers FROM pub JOIN topic USING (topic_id) {_NODE} GROUP BY topic_id, topic_name, topic_type HAVING count(DISTINCT endpoint_id) > 1")
 def comm_topic_multiple_publishers(s, d):
     return communication.topic_multiple_publishers(views.pubs(s, d), views.topics(s, d), views.nodes(s, d))
 
@@ -112,14 +112,14 @@ _simple("l2_node_without_remappings", structural.query_node_without_remappings,
 _simple("issue_node_no_name", structural.node_no_name, "action_type = 'node' AND name IS NULL")
 _simple("issue_arg_orphan", structural.arg_orphan, "action_type = 'declare_argument' AND confidence < 0.9")
 _simple("issue_namespace_implicit", structural.namespace_implicit, "action_type = 'node' AND namespace IS NULL AND cond IS NULL AND EXISTS (SELECT 1 FROM action b WHERE b.ld_id = action.ld_id AND b.action_type = 'push_namespace')")
-_simple("issue_include_self", structural.include_self, "action_type = 'include' AND included_launch_id IN ('launch_desc_' || file_id, file_id)")
+_simple("issue_include_self", structural.include_self, "action_type = 'include' AND included_launch_id IN (CAST(ld_id AS VARCHAR), 'launch_desc_' || file_id)")
 _simple("issue_runtime_condition", structural.node_runtime_condition, "action_type = 'node' AND contains(cond, 'has_resource')")
 _simple("issue_opaque_symbolic", structural.opaque_symbolic_node, "action_type = 'node' AND NOT contains(cond, 'has_resource') AND contains(cond, 'for') AND contains(cond, 'range')")
 
 _WHERE = {
     "node_no_name": "action_type = 'node' AND name IS NULL", "node_runtime_condition": "action_type = 'node' AND contains(cond, 'has_resource')",
     "opaque_symbolic_node": "action_type = 'node' AND NOT contains(cond, 'has_resource') AND contains(cond, 'for') AND contains(cond, 'range')",
-    "include_unresolved": f"action_type = 'include' AND {_UNRESOLVED}", "include_self": "action_type = 'include' AND included_launch_id IN ('launch_desc_' || file_id, file_id)",
+    "include_unresolved": f"action_type = 'include' AND {_UNRESOLVED}", "include_self": "action_type = 'include' AND included_launch_id IN (CAST(ld_id AS VARCHAR), 'launch_desc_' || file_id)",
     "arg_no_default": "action_type = 'declare_argument' AND default_value IS NULL", "arg_orphan": "action_type = 'declare_argument' AND confidence < 0.9",
     "namespace_implicit": "action_type = 'node' AND namespace IS NULL AND cond IS NULL AND EXISTS (SELECT 1 FROM action b WHERE b.ld_id = action.ld_id AND b.action_type = 'push_namespace')",
 }
@@ -277,12 +277,12 @@ def compose_first_binding(s, d):
 
 
 @query("""WITH e AS (SELECT p_partkey AS endpoint_id, p_partkey % 20 AS action_id, 't' || CAST(p_partkey % 7 AS VARCHAR) AS topic_name FROM part),
-r AS (SELECT event_id % 20 AS action_id, event_id % 11 AS t, arg_min(user_id, event_id) AS u FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+r AS (SELECT event_id % 20 AS action_id, event_id % 11 AS t, arg_min(user_id, event_id) AS u FROM events GROUP BY 1, 2)
 SELECT endpoint_id, e.action_id, e.topic_name AS original_topic_name, coalesce('/robot/' || CAST(u AS VARCHAR), e.topic_name) AS topic_name, u IS NOT NULL AS remap_applied
 FROM e LEFT JOIN r ON r.action_id = e.action_id AND 't' || CAST(t AS VARCHAR) = e.topic_name""")
 def compose_remap_first_match(s, d):
     ends = table(s, d, "part").selectExpr("p_partkey AS endpoint_id", "p_partkey % 20 AS action_id", "concat('t', p_partkey % 7) AS topic_name")
-    remaps = table(s, d, "events").where("event_id % 3 = 0").selectExpr("event_id % 20 AS action_id", "event_id AS pos", "concat('/t', event_id % 11, '/') AS from_topic", "concat('/robot/', user_id) AS to_topic")
+    remaps = table(s, d, "events").selectExpr("event_id % 20 AS action_id", "event_id AS pos", "concat('/t', event_id % 11, '/') AS from_topic", "concat('/robot/', user_id) AS to_topic")
     return compose.apply_remaps(ends, remaps).select("endpoint_id", "action_id", "original_topic_name", "topic_name", "remap_applied")
 
 
@@ -336,12 +336,11 @@ def tree_depth(s, d):
     return tree.reachable(roots, edges).groupBy("ld_id").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("items"))
 
 
-@query("""WITH RECURSIVE edge AS (SELECT DISTINCT c_nationkey AS ld_id, c_custkey % 23 AS parent, (c_custkey * 5 + c_custkey // 100) % 23 AS child FROM customer WHERE c_custkey % 4 = 0),
-path AS (SELECT ld_id, parent AS a, child AS b FROM edge UNION SELECT p.ld_id, p.a, e.child FROM path p JOIN edge e ON e.ld_id = p.ld_id AND e.parent = p.b),
-ring AS (SELECT DISTINCT ld_id, a AS id FROM path WHERE a = b)
-SELECT ld_id, id FROM ring UNION SELECT p.ld_id, p.b FROM path p JOIN ring r ON r.ld_id = p.ld_id AND r.id = p.a JOIN path q ON q.ld_id = p.ld_id AND q.a = p.b JOIN ring t ON t.ld_id = q.ld_id AND t.id = q.b""")
+@query("""WITH RECURSIVE edge AS (SELECT DISTINCT c_nationkey AS ld_id, c_custkey % 23 AS parent, (c_custkey * 5 + c_custkey // 100) % 23 AS child FROM customer),
+path AS (SELECT ld_id, parent AS a, child AS b FROM edge UNION SELECT p.ld_id, p.a, e.child FROM path p JOIN edge e ON e.ld_id = p.ld_id AND e.parent = p.b)
+SELECT DISTINCT ld_id, a AS id FROM path WHERE a = b""")
 def tree_cycles(s, d):
-    edges = table(s, d, "customer").where("c_custkey % 4 = 0").selectExpr("c_nationkey AS ld_id", "c_custkey % 23 AS parent", "(c_custkey * 5 + c_custkey div 100) % 23 AS child")
+    edges = table(s, d, "customer").selectExpr("c_nationkey AS ld_id", "c_custkey % 23 AS parent", "(c_custkey * 5 + c_custkey div 100) % 23 AS child")
     return tree.cycles(edges)
 
 

@@ -18,11 +18,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("p_partkey AS topic_id", "concat('/', lower(p_brand), '/', p_partkey) AS topic_name")
+    return table(spark, d, "part").selectExpr("p_partkey AS topic_id", "concat('/', lower(p_brand), '/', p_partkey) AS topic_name", "CASE WHEN p_size % 4 > 0 THEN concat('T', p_size % 3) END AS msg_type")
 
 
 def endpoints(spark: SparkSession, d: str, flag: str, status: str) -> DataFrame:
-    ends = table(spark, d, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status) & (F.col("l_quantity") <= 10))
+    ends = table(spark, d, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status))
     rows = ends.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey AS node_id", "l_partkey AS topic_id", "l_orderkey % 3 AS mt", "l_linenumber % 2 AS be")
     each = rows.groupBy("node_id", "topic_id").agg(F.min("mt").alias("mt"), F.min("be").alias("be"))
     return each.selectExpr("concat(node_id, ':', topic_id) AS endpoint_id", "node_id", "topic_id", "concat('T', mt) AS msg_type", "CASE WHEN be = 1 THEN 'BEST_EFFORT' ELSE 'reliable' END AS reliability")
@@ -39,11 +39,11 @@ def graph_of(ends: DataFrame, node: DataFrame) -> DataFrame:
 def _ends(name: str, flag: str, status: str) -> str:
     return f"""{name} AS (SELECT CAST(o_custkey AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) AS endpoint_id, o_custkey AS node_id, l_partkey AS topic_id,
   'T' || CAST(min(l_orderkey % 3) AS VARCHAR) AS msg_type, CASE WHEN min(l_linenumber % 2) = 1 THEN 'best_effort' ELSE 'reliable' END AS reliability
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = '{flag}' AND l_linestatus = '{status}' AND l_quantity <= 10 GROUP BY o_custkey, l_partkey)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = '{flag}' AND l_linestatus = '{status}' GROUP BY o_custkey, l_partkey)"""
 
 
 COMM = f"""WITH node AS (SELECT n_name AS graph, c_custkey AS node_id, c_name AS runtime_name, n_name AS package, c_mktsegment AS executable FROM customer JOIN nation ON c_nationkey = n_nationkey),
-topic AS (SELECT p_partkey AS topic_id, '/' || lower(p_brand) || '/' || CAST(p_partkey AS VARCHAR) AS topic_name FROM part),
+topic AS (SELECT p_partkey AS topic_id, '/' || lower(p_brand) || '/' || CAST(p_partkey AS VARCHAR) AS topic_name, CASE WHEN p_size % 4 > 0 THEN 'T' || CAST(p_size % 3 AS VARCHAR) END AS topic_type FROM part),
 {_ends("pub", "A", "F")},
 {_ends("sub", "R", "O")}
 """

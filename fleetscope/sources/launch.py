@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import text as T
+from fleetscope.shared import kept
 from fleetscope.shipping import arrow_schema, ship
 
 from . import program
@@ -84,6 +85,12 @@ class LaunchModel:
     """Launch programs: ``rows`` in program.SCHEMA, and the tables that rules, composition and export work on."""
 
     rows: DataFrame
+    once: bool = False
+
+    @cached_property
+    def stored(self) -> LaunchModel:
+        """This model with its rows in a table, so that files are parsed once however many rules and tables read them."""
+        return self if self.once else LaunchModel(kept(self.rows, "launch"), True)
 
     @cached_property
     def descriptions(self) -> DataFrame:
@@ -116,11 +123,11 @@ class LaunchModel:
 
     @cached_property
     def parameters(self) -> DataFrame:
-        """(ld_id, action_id, name, value): parameters of nodes, set_parameter values and include arguments."""
+        """(ld_id, action_id, name, value, dtype): parameters of nodes, set_parameter values and include arguments; dtype of literals that are no text."""
         rows = self.rows.where("error IS NULL AND action_id IS NOT NULL")
         held = rows.select("ld_id", "action_id", F.explode(F.when(F.col("action_type") == "include", F.col("argument_mappings")).otherwise(F.col("parameters"))).alias("name", "v"))
-        own = rows.where("action_type = 'set_parameter'").select("ld_id", "action_id", text_of("name").alias("name"), text_of("value").alias("value"))
-        return held.select("ld_id", "action_id", "name", text_of("v").alias("value")).unionByName(own)
+        own = rows.where("action_type = 'set_parameter'").select("ld_id", "action_id", text_of("name").alias("name"), text_of("value").alias("value"), "value.dtype")
+        return held.select("ld_id", "action_id", "name", text_of("v").alias("value"), "v.dtype").unionByName(own)
 
     @cached_property
     def remappings(self) -> DataFrame:
@@ -136,23 +143,23 @@ class LaunchModel:
     def validate(self) -> DataFrame:
         from fleetscope.operators import validation
 
-        return validation.validate(self.actions, self.sequence, self.edges)
+        return validation.validate(self.stored.actions, self.stored.sequence, self.stored.edges)
 
     def issues(self, catalog: DataFrame | None = None, timestamp: str | None = None) -> DataFrame:
         from fleetscope.operators import structural
 
-        return structural.detect(self.actions, catalog, timestamp)
+        return structural.detect(self.stored.actions, catalog, timestamp)
 
     def triples(self) -> DataFrame:
         from fleetscope.operators import rdf
 
-        return rdf.launch_triples(self)
+        return rdf.launch_triples(self.stored)
 
     def summary(self) -> DataFrame:
         """Counts of each description; a pseudo-node of a plain process is no node."""
         from fleetscope.operators import model
 
-        return self.descriptions.select("ld_id", "format", "file_path").join(model.counts(self.actions), "ld_id", "left").na.fill(0)
+        return self.stored.descriptions.select("ld_id", "format", "file_path").join(model.counts(self.stored.actions), "ld_id", "left").na.fill(0)
 
 
 # Documents of extracted programs
@@ -170,7 +177,9 @@ def _raw(s: dict | None) -> dict | None:
     if s["type"] in names:
         a, b = names[s["type"]]
         return _put({"type": s["type"], a: s["name"]}, **{b: s["value"]})
-    return {"type": s["type"], "expression" if s["type"] == "expression" else "value": json.loads(s["value"]) if s["type"] == "expression" and s["value"] else s["value"]}
+    if s["type"] == "expression":
+        return {"type": "expression", "expression": json.loads(s["value"]) if s["value"] else s["value"]}
+    return {"type": s["type"], "value": program.typed(s)}
 
 
 def _source(path: str, confidence: float) -> dict:

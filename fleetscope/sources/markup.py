@@ -96,7 +96,7 @@ def _entries(x: object) -> list[tuple[str, dict, list]]:
 def read_yaml(text: str) -> list[dict]:
     import yaml
 
-    loaded = yaml.load(normalise(text), yaml.BaseLoader)  # every scalar stays a string
+    loaded = yaml.load(normalise(text), getattr(yaml, "CBaseLoader", yaml.BaseLoader))  # every scalar stays a string
     if not isinstance(loaded, dict) or "launch" not in loaded:
         raise ValueError("no launch list")
     return [x for e in loaded["launch"] or [] for c in _entries(e) if (x := item(*c))]

@@ -11,7 +11,8 @@ import json
 import re
 from collections import defaultdict
 
-SUBST = "struct<type: string, name: string, value: string>"
+#: dtype: boolean, integer or decimal for a literal that is no text; its value is Python's text of it.
+SUBST = "struct<type: string, name: string, value: string, dtype: string>"
 COLUMNS = {
     **dict.fromkeys(("file_path", "file_id", "format", "ld_id"), "string"), "ld_confidence": "double", "pos": "int", **dict.fromkeys(("action_id", "action_type", "parent_id"), "string"), "depth": "int",
     **dict.fromkeys(("name", "package", "executable", "namespace", "default_value", "value"), SUBST), "description": "string", "choices": "array<string>", "target_scope": "string",
@@ -22,12 +23,22 @@ SCHEMA = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 FIELDS = list(COLUMNS)
 
 
-def subst(kind: str, name: str | None = None, value: str | None = None) -> dict:
-    return {"type": kind, "name": name, "value": value}
+def subst(kind: str, name: str | None = None, value: str | None = None, dtype: str | None = None) -> dict:
+    return {"type": kind, "name": name, "value": value} | ({"dtype": dtype} if dtype else {})
+
+
+#: Datatypes of literals that are no text.
+DTYPES = {bool: "boolean", int: "integer", float: "decimal"}
 
 
 def literal(value: object) -> dict | None:
-    return None if value is None else subst("literal", None, str(value))
+    return None if value is None else subst("literal", None, str(value), DTYPES.get(type(value)))
+
+
+def typed(s: dict) -> object:
+    """A literal's value in its own type."""
+    read = {"boolean": lambda v: v == "True", "integer": int, "decimal": float}.get(s.get("dtype"))
+    return s["value"] if read is None or s["value"] is None else read(s["value"])
 
 
 def parse_text(text: str | None) -> dict | None:

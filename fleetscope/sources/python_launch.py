@@ -13,7 +13,7 @@ from functools import reduce
 
 from fleetscope.functions.conditions import python_condition
 
-from .program import file_id, subst
+from .program import DTYPES, file_id, literal, subst
 
 _SOURCES = {"PythonLaunchDescriptionSource", "XMLLaunchDescriptionSource", "YAMLLaunchDescriptionSource"}
 
@@ -45,7 +45,7 @@ def substitution(value: object) -> dict | None:
         return subst("file_path", value["package"], value["relative_path"])
     if kind == "path_join":
         return subst("expression", None, json.dumps(["path_join", *value["parts"]], ensure_ascii=False, default=str))
-    return subst("literal", None, str(value))
+    return literal(value if type(value) in DTYPES else str(value))
 
 
 def shown(value: object) -> str:

@@ -139,3 +139,52 @@ def test_shapes(spark):
     ]
     got = shapes.report(spark.createDataFrame(rows, "graph string, s string, p string, o string, kind string, dtype string"))
     assert {(r["focus"], r["path"], r["constraint"]) for r in got.collect()} == {("l", "hasFormat", "in"), ("a", "hasPackage", "datatype"), ("a", "hasExecutable", "minCount"), ("r", "remapTo", "minCount")}
+
+
+def test_items_between_cycles_lie_on_none(spark):
+    e = spark.createDataFrame([(1, *x) for x in [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (5, 6)]], "ld_id int, parent int, child int")
+    assert sorted(r["id"] for r in tree.cycles(e).collect()) == [1, 2, 4, 5]
+    assert sorted(r["id"] for r in tree.cycles(e, spark.createDataFrame([(1, 4)], "ld_id int, id int")).collect()) == [4, 5]
+
+
+TRIPLES = "graph string, s string, p string, o string, kind string, dtype string"
+
+
+def test_a_variable_used_twice_is_an_equality(spark):
+    t = spark.createDataFrame([("", "a", "likes", "a", "iri", None), ("", "a", "likes", "b", "iri", None)], TRIPLES)
+    got = triples.match(t, triples.Pattern("?x", "likes", "?x"))
+    assert got.columns == ["graph", "x"] and [r["x"] for r in got.collect()] == ["a"]
+
+
+def test_products_are_refused_and_patterns_reordered(spark):
+    P = triples.Pattern
+    t = spark.createDataFrame([("", "a", "p", "b", "iri", None), ("", "b", "q", "c", "iri", None), ("", "c", "r", "d", "iri", None)], TRIPLES)
+    with pytest.raises(ValueError):
+        triples.solve(t, triples.Query([P("?a", "p", "?b"), P("?x", "r", "?y")]))
+    got = triples.solve(t, triples.Query([P("?a", "p", "?b"), P("?c", "r", "?d"), P("?b", "q", "?c")])).collect()
+    assert [(r["a"], r["b"], r["c"], r["d"]) for r in got] == [("a", "b", "c", "d")]
+
+
+def test_a_star_is_one_pass_with_every_combination(spark):
+    P = triples.Pattern
+    rows = [("", s, p, o, "lit", "string") for s, p, o in [("a", "hasName", "n"), ("a", "hasPackage", "x"), ("a", "hasPackage", "y"), ("b", "hasName", "m"), ("c", "hasName", "n"), ("c", "hasPackage", "n")]]
+    t = spark.createDataFrame(rows, TRIPLES)
+    got = triples.solve(t, triples.Query([P("?s", "hasName", "?n"), P("?s", "hasPackage", "?k")]))
+    assert sorted((r["s"], r["n"], r["k"]) for r in got.collect()) == [("a", "n", "x"), ("a", "n", "y"), ("c", "n", "n")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    same = triples.solve(t, triples.Query([P("?s", "hasName", "?n"), P("?s", "hasPackage", "?n")]))
+    assert [r["s"] for r in same.collect()] == ["c"]
+    fixed = triples.solve(t, triples.Query([P("?s", "hasName", "n"), P("?s", "hasPackage", "x")]))
+    assert [r["s"] for r in fixed.collect()] == ["a"]
+
+
+def test_issues_of_two_descriptions_of_one_file(spark):
+    columns = "ld_id string, file_id string, pos int, action_id string, action_type string, name string, package string, executable string, namespace string, default_value string, confidence double, cond string, included_launch_id string, source_file string"
+    row = lambda ld, src: (ld, "f", 0, "la:f:0#0", "node", None, "p", "e", None, None, 1.0, None, "", src)
+    got = structural.detect(spark.createDataFrame([row("A", "x"), row("B", "y")], columns), keys=["node_no_name"]).collect()
+    assert sorted((r["ld_id"], r["location"]) for r in got) == [("A", "x"), ("B", "y")]
+
+
+def test_an_include_of_its_own_description(spark):
+    rows = spark.createDataFrame([("L", "f", "include", x) for x in ("L", "launch_desc_f", "f", "other")], "ld_id string, file_id string, action_type string, included_launch_id string")
+    assert sorted(r["included_launch_id"] for r in structural.include_self(rows).collect()) == ["L", "launch_desc_f"]

@@ -217,3 +217,28 @@ def test_stream_parses_new_files_once(spark, tmp_path):
     drain()
     assert spark.read.parquet(str(tmp_path / "out/rows")).select("file_path").distinct().count() == 2
     assert spark.read.parquet(str(tmp_path / "out/issues")).count() > first > 0
+
+
+TYPED = """from launch import LaunchDescription
+
+def generate_launch_description():
+    return LaunchDescription([Node(package="p", executable="e", parameters=[{"n": 3, "on": True, "x": 0.5, "s": "3"}])])
+"""
+
+
+def test_literals_keep_their_type(spark):
+    from fleetscope.operators import rdf
+
+    model = L.LaunchModel(L.parse_documents(spark.createDataFrame([("a.launch.py", "python", TYPED)], "path string, format string, content string")))
+    document = json.loads(L.to_documents(model).first()["document"])
+    (action,) = document["actions"].values()
+    assert {k: v["value"] for k, v in action["parameters"].items()} == {"n": 3, "on": True, "x": 0.5, "s": "3"}
+    assert [type(action["parameters"][k]["value"]) for k in ("n", "on", "x", "s")] == [int, bool, float, str]
+    said = {(r["o"], r["dtype"]) for r in rdf.launch_triples(model).where("p = 'hasParameterValue'").collect()}
+    assert said == {("3", "integer"), ("true", "boolean"), ("0.5", "decimal"), ("3", "string")}
+
+
+def test_triples_parse_each_file_once(spark):
+    model = L.LaunchModel(L.parse_documents(spark.createDataFrame([("a.launch.py", "python", TYPED)], "path string, format string, content string")))
+    assert "MapInArrow" not in model.triples()._jdf.queryExecution().executedPlan().toString()
+    assert model.triples().count() > 10 and model.validate().count() == 0
