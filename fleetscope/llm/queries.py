@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .ctw import op9_context_tree_scores
-from .embedding import op7_embedding_near_dedup
+from .embedding import OP7_SQL, op7_embedding_near_dedup
 from .html_extract import op10_html_extraction
 from .licenses import OP8_SQL, op8_license_scan
 from .packing import op2_best_fit_packing
@@ -29,5 +29,6 @@ QUERIES = {
 SQL = {
     "op1_url_filter": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
     "op8_license_scan": OP8_SQL,
 }

@@ -56,10 +56,10 @@ def test_packing_stage(stages):
     assert len({r["sequence_id"] for r in rows}) == math.ceil(sum(r["length"] for r in rows) / 2048)
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op6_substring_dedup", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op6_substring_dedup", "op7_embedding_near_dedup", "op8_license_scan"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
