@@ -247,10 +247,14 @@ def relative_stem(path: Column) -> Column:
 def read_documents(spark: SparkSession, path: str) -> LaunchModel:
     """Extracted programs (one JSON document a file) as a model; results kept beside them (rdf, issues, architecture) are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    ship(spark)
+    return documents_model(files.where(~F.col("path").rlike("/(rdf|issues|architecture)/")))
+
+
+def documents_model(files: DataFrame) -> LaunchModel:
+    """Extracted programs out of rows (path, content: one JSON document)."""
+    ship(files.sparkSession)
     schema = program.SCHEMA
     target = arrow_schema(schema)
-    files = files.where(~F.col("path").rlike("/(rdf|issues|architecture)/"))
 
     def run(batches):
         for b in batches:

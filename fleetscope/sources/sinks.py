@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from fleetscope.operators import model as M
 from fleetscope.operators.triples import to_ntriples
 
-from .launch import LaunchModel, to_documents
+from .launch import LaunchModel, documents_model, to_documents
 
 
-def write_documents(model: LaunchModel, path: str) -> None:
-    """One JSON document a launch description, in a folder of its id: files of one stem don't overwrite each other."""
-    to_documents(model).select("ld_id", F.col("document").alias("value")).write.mode("overwrite").partitionBy("ld_id").text(path)
+def _write(rows: DataFrame, key: str, path: str, as_files: bool) -> None:
+    """(key, document) as a folder and file a key, which suits a workspace, or as one table, which suits any number of them."""
+    if as_files:
+        rows.select(key, F.col("document").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    else:
+        rows.select(key, "document").write.mode("overwrite").parquet(path)
+
+
+def write_documents(model: LaunchModel, path: str, as_files: bool = True) -> None:
+    """One JSON document a launch description, in a folder of its id (files of one stem don't overwrite each other), or in one table."""
+    _write(to_documents(model), "ld_id", path, as_files)
+
+
+def read_document_table(spark, path: str) -> LaunchModel:
+    """The model of a table that write_documents wrote."""
+    return documents_model(spark.read.parquet(path).select(F.col("ld_id").alias("path"), F.col("document").cast("binary").alias("content")))
 
 
 def issue_documents(issues: DataFrame, timestamp: str, key: str = "ld_id") -> DataFrame:
@@ -23,8 +36,8 @@ def issue_documents(issues: DataFrame, timestamp: str, key: str = "ld_id") -> Da
     return each.select(key, F.concat(F.lit('{"analysis_timestamp":"'), F.lit(timestamp), F.lit('","issue_count":'), F.col("issue_count").cast("string"), F.lit(',"issues":['), F.array_join("said", ","), F.lit("]}")).alias("document"))
 
 
-def write_issues(issues: DataFrame, path: str, timestamp: str, key: str = "ld_id") -> None:
-    issue_documents(issues, timestamp, key).select(key, F.col("document").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_issues(issues: DataFrame, path: str, timestamp: str, key: str = "ld_id", as_files: bool = True) -> None:
+    _write(issue_documents(issues, timestamp, key), key, path, as_files)
 
 
 def read_issues(spark, path: str) -> DataFrame:
@@ -44,19 +57,26 @@ def architecture_documents(arch: dict[str, DataFrame]) -> DataFrame:
     return out.select("graph", F.to_json(F.struct(F.col("graph").alias("id"), "nodes", "topics", "publications", "subscriptions", "warnings")).alias("document"))
 
 
-def write_architectures(arch: dict[str, DataFrame], path: str) -> None:
-    architecture_documents(arch).select("graph", F.col("document").alias("value")).write.mode("overwrite").partitionBy("graph").text(path)
+def write_architectures(arch: dict[str, DataFrame], path: str, as_files: bool = True) -> None:
+    _write(architecture_documents(arch), "graph", path, as_files)
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
     to_ntriples(triples).write.mode("overwrite").text(path)
 
 
+#: Actions that one model document tells of at most.
+MOST_ACTIONS = 1_000_000
+
+
 def model_document(model: LaunchModel, issues: DataFrame | None = None, project: str = "fleet", interfaces: DataFrame | None = None) -> DataFrame:
     """One JSON document of a whole workspace: packages with their files, descriptions under their main package, execution configurations, issues.
 
-    For a workspace that one viewer shows; larger fleets keep the tables.
+    For a workspace that one viewer shows: more than MOST_ACTIONS are refused, as larger fleets keep the tables.
     """
+    model = model.stored
+    if model.actions.limit(MOST_ACTIONS + 1).count() > MOST_ACTIONS:
+        raise ValueError(f"one document cannot hold more than {MOST_ACTIONS} actions")
     actions, named = model.actions, M.main_package(model.actions).select("ld_id", "package")
     nodes = actions.where("action_type = 'node' AND package <> '' AND NOT startswith(package, '$(')")
     files = nodes.select("package", F.col("file_id").alias("path")).distinct()

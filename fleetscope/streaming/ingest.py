@@ -22,6 +22,6 @@ def keep_issues(rows: DataFrame, out: str, checkpoint: str, timestamp: str | Non
     def batch(frame: DataFrame, n: int) -> None:
         frame.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
         kept = frame.sparkSession.read.schema(frame.schema).parquet(f"{out}/rows/batch={n}")
-        LaunchModel(kept).issues(timestamp=timestamp).write.mode("overwrite").parquet(f"{out}/issues/batch={n}")
+        LaunchModel(kept, True).issues(timestamp=timestamp).write.mode("overwrite").parquet(f"{out}/issues/batch={n}")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

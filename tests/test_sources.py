@@ -242,3 +242,19 @@ def test_triples_parse_each_file_once(spark):
     model = L.LaunchModel(L.parse_documents(spark.createDataFrame([("a.launch.py", "python", TYPED)], "path string, format string, content string")))
     assert "MapInArrow" not in model.triples()._jdf.queryExecution().executedPlan().toString()
     assert model.triples().count() > 10 and model.validate().count() == 0
+
+
+def test_documents_as_one_table(spark, tmp_path):
+    model = L.LaunchModel(L.parse_documents(spark.createDataFrame([("a.launch.py", "python", TYPED), ("b.launch.py", "python", TYPED)], "path string, format string, content string")))
+    sinks.write_documents(model, str(tmp_path / "table"), as_files=False)
+    back = sinks.read_document_table(spark, str(tmp_path / "table"))
+    assert sorted(r["action_id"] for r in back.actions.collect()) == sorted(r["action_id"] for r in model.actions.collect())
+    sinks.write_issues(model.issues(timestamp="T"), str(tmp_path / "issues"), "T", as_files=False)
+    assert spark.read.parquet(str(tmp_path / "issues")).count() == 2
+
+
+def test_large_models_are_refused_as_one_document(spark, monkeypatch):
+    model = L.LaunchModel(L.parse_documents(spark.createDataFrame([("a.launch.py", "python", TYPED)], "path string, format string, content string")))
+    monkeypatch.setattr(sinks, "MOST_ACTIONS", 0)
+    with pytest.raises(ValueError):
+        sinks.model_document(model)
