@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.shared import folder
 from fleetscope.shipping import ship
 
 U64 = np.uint64
@@ -20,20 +19,6 @@ _RNG = np.random.Generator(np.random.PCG64(20240611))
 MULT = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Set here only on a local master where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            return kept
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="fleetscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on every worker."""
     ship(df.sparkSession)
@@ -48,22 +33,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below shared_root; it is deleted when the driver's JVM ends, as a result may be read until then."""
-    root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return root
-
-
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, survive lost executors and give the planner true sizes."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.root = shared_folder(spark, "fleetscope")
+        self.root = folder(spark, "fleetscope")
         self.n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -118,11 +93,6 @@ def shingle_hashes(wh: np.ndarray, k: int) -> np.ndarray:
     return gram_hashes(wh, k)
 
 
-def joined_broadcast(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join whose right side has a proven bound."""
-    return rows.join(F.broadcast(small), on, how)
-
-
 def hot_keys(counts: DataFrame, scratch: Scratch, share: int = 4096, least: int = 256) -> DataFrame:
     """(key, n) of ``counts`` (key, n) for keys with over 1 / share of all rows (and over ``least``): ``share`` keys at most, whatever the input's size."""
     total = counts.agg(F.sum("n")).first()[0] or 0

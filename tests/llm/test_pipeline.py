@@ -37,9 +37,9 @@ def test_near_duplicate_stage(stages):
     before, after = ({r["doc_id"]: r["text"] for r in s.collect()} for s in stages[1:3])
     gone = set(before) - set(after)
     for d in gone:
-        assert any(e < d and brute.jaccard(before[e], before[d]) > 0.7 for e in before), d
+        assert any(e < d and brute.jaccard(before[e], before[d]) >= 0.5 for e in before), d
     kept = sorted(after)
-    assert sum(brute.jaccard(after[a], after[b]) >= 0.85 for i, a in enumerate(kept) for b in kept[i + 1 :]) == 0
+    assert sum(brute.jaccard(after[a], after[b]) >= 0.8 for i, a in enumerate(kept) for b in kept[i + 1 :]) == 0
 
 
 def test_substring_stage(stages):
@@ -50,6 +50,20 @@ def test_substring_stage(stages):
         assert len(brute.WORD.findall(t or "")) == want[d][0] - want[d][1]
 
 
+def test_stages_take_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(P.STAGES):
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0 and (k == 3 or none.columns == docs.columns)
+    text = " ".join(f"odd{i}" for i in range(40))
+    rows = spark.createDataFrame([(None, text, 1), (7, text, 1), (7, text, 1), (8, text, 1), (9, None, 1), (10, "", 1)], "doc_id long, text string, root long")
+    near = sorted((r["doc_id"] for r in P.near_duplicates(spark, rows, sf_dir).collect()), key=repr)
+    assert near == sorted([None, 7, 7, 9], key=repr)
+    cut = sorted(((r["doc_id"], r["text"]) for r in P.substrings(spark, rows, sf_dir).collect()), key=repr)
+    assert cut == sorted([(None, text), (7, text), (7, text), (8, ""), (9, None), (10, "")], key=repr)
+    assert P.packing(spark, rows, sf_dir).count() == 6
+
+
 def test_packing_stage(stages):
     rows = stages[4].collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stages[3].collect()}
