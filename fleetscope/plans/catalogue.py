@@ -523,16 +523,17 @@ def model_counts(s, d):
 # Sources
 
 
-def _parsed(fmt: str) -> None:
+def _parsed(name: str, fmt: str, templates: dict[str, str], sql: str) -> None:
     def run(s, d):
-        rows = LaunchModel(parse_documents(views.launch_documents(s, d, fmt))).actions
+        rows = LaunchModel(parse_documents(views.launch_documents(s, d, fmt, templates))).actions
         return rows.select("action_id", "action_type", "parent_id", "name", "package", "executable", "cond", "confidence")
 
-    query(views.launch_sql(fmt), f"parse_{fmt}_launch")(run)
+    query(sql, name)(run)
 
 
 for _fmt in views.LAUNCH:
-    _parsed(_fmt)
+    _parsed(f"parse_{_fmt}_launch", _fmt, views.LAUNCH, views.launch_sql(_fmt))
+    _parsed(f"parse_{_fmt}_features", _fmt, views.FEATURES, views.feature_sql(_fmt))
 
 
 @query(

@@ -124,10 +124,111 @@ def generate_launch_description():
 """,
 }
 
+#: Launch files out of parts with the rarer actions: environment, parameters, namespaces, conditions of both kinds, processes, components, opaque functions, branches and loops.
+FEATURES = {
+    "xml": """<launch>
+  <let name="l_{k}" value="v"/>
+  <set_env name="E_{k}" value="1"/>
+  <unset_env name="U_{k}"/>
+  <group>
+    <push-ros-namespace namespace="ns_{k}"/>
+    <node pkg="{b}" exec="x_{z}" if="$(var a)" unless="not $(env E) and $(var b)"/>
+  </group>
+  <node pkg="{b}" exec="x_{z}" namespace="n"/>
+  <executable cmd="echo"/>
+  <set_parameter name="p_{k}" value="3"/>
+</launch>
+""",
+    "yaml": """launch:
+  - let: {name: l_{k}, value: v}
+  - set_env: {name: E_{k}, value: "1"}
+  - unset_env: {name: U_{k}}
+  - group:
+      - push-ros-namespace: {namespace: ns_{k}}
+      - node: {pkg: {b}, exec: x_{z}, if: "$(var a)", unless: "not $(env E) and $(var b)"}
+  - node: {pkg: {b}, exec: x_{z}, namespace: n}
+  - executable: {cmd: echo}
+  - set_parameter: {name: p_{k}, value: "3"}
+""",
+    "python": """from launch import LaunchDescription
+
+def spawn(context):
+    wanted = LaunchConfiguration("n_{k}")
+    n = int(wanted.perform(context))
+    out = []
+    if n == 1:
+        out.append(Node(package="{b}", executable="one_{z}"))
+    else:
+        for i in range(0, n):
+            out.append(Node(package="{b}", executable="many_{z}"))
+    return out
+
+def generate_launch_description():
+    lost = []
+    lost.append(DeclareLaunchArgument("lost_{k}"))
+    ld = LaunchDescription()
+    ld.add_action(SetEnvironmentVariable("E_{k}", "1"))
+    ld.add_action(UnsetEnvironmentVariable("U_{k}"))
+    ld.add_action(SetParameter("p_{k}", 3))
+    ld.add_action(ExecuteProcess(cmd="run_{z}"))
+    ld.add_action(GroupAction([PushRosNamespace("ns_{k}"), Node(package="{b}", executable="in_{z}", condition=UnlessCondition(LaunchConfiguration("u_{k}")))], condition=IfCondition("a == 'b'")))
+    ld.add_action(ComposableNodeContainer(name="box_{k}", namespace="", package="{b}", executable="container", composable_node_descriptions=[ComposableNode(package="{b}", plugin="plug_{z}", name="c_{k}")]))
+    ld.add_action(OpaqueFunction(function=spawn))
+    return ld
+""",
+}
 
-def launch_documents(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+#: The rows that they give: (text that the id is the hash of, ordinal, type, text of the parent, name, package, executable, conditions, confidence).
+_DECLARED = (
+    ("let_l_{k}", 0, "set_parameter", None, "l_{k}", None, None, None, 1.0),
+    ("set_env_E_{k}", 0, "set_parameter", None, "E_{k}", None, None, None, 1.0),
+    ("group", 0, "group", None, None, None, None, None, 1.0),
+    ("push_ns_ns_{k}", 0, "push_namespace", "group", None, None, None, None, 1.0),
+    ("Node(pkg={b},exec=x_{z},name=None)", 0, "node", "group", None, "{b}", "x_{z}", '["eq", ["launch_arg_get", "a"], "true"]\n["not", ["and", ["not", ["truthy", ["env_get", "E"]]], ["eq", ["launch_arg_get", "b"], "true"]]]', 1.0),
+    ("Node(pkg={b},exec=x_{z},name=None)", 1, "node", None, None, "{b}", "x_{z}", None, 1.0),
+    ("set_param_p_{k}", 0, "set_parameter", None, "p_{k}", None, None, None, 1.0),
+)
+FEATURE_ROWS = {
+    "xml": _DECLARED,
+    "yaml": _DECLARED,
+    "python": (
+        ("set_env_E_{k}", 0, "set_parameter", None, "E_{k}", None, None, None, 1.0),
+        ("set_param_p_{k}", 0, "set_parameter", None, "p_{k}", None, None, None, 1.0),
+        ("exec_run_{z}", 0, "node", None, None, "__executable__", "run_{z}", None, 1.0),
+        ("group_action", 0, "group", None, None, None, None, '["eq", ["var_get", "a"], "b"]', 0.9),
+        ("push_ns_ns_{k}", 0, "push_namespace", "group_action", None, None, None, None, 1.0),
+        ("Node(pkg={b},exec=in_{z},name=None)", 0, "node", "group_action", None, "{b}", "in_{z}", '["not", ["eq", ["launch_arg_get", "u_{k}"], "true"]]', 0.9),
+        ("Node(pkg={b},exec=container,name=box_{k})", 0, "node", None, "box_{k}", "{b}", "container", None, 1.0),
+        ("Node(pkg={b},exec=plug_{z},name=c_{k})", 0, "node", None, "c_{k}", "{b}", "plug_{z}", None, 1.0),
+        ("Node(pkg={b},exec=one_{z},name=None)", 0, "node", None, None, "{b}", "one_{z}", '["eq", ["var_get", "n"], "1"]', 0.9),
+        ("Node(pkg={b},exec=many_{z},name=None)", 0, "node", None, None, "{b}", "many_{z}", '["and", ["not", ["eq", ["var_get", "n"], "1"]], ["for_range", "i", ["launch_arg_get", "n_{k}"]]]', 0.9),
+        ("arg_lost_{k}", 0, "declare_argument", None, "lost_{k}", None, None, None, 0.8),
+    ),
+}
+
+
+def feature_sql(fmt: str) -> str:
+    """FEATURE_ROWS for every part."""
+
+    def text(x: str | None) -> str:
+        if x is None:
+            return "CAST(NULL AS VARCHAR)"
+        said = "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        return f"replace(replace(replace({said}, '{{k}}', ks), '{{z}}', z), '{{b}}', b)"
+
+    def action(x: str | None, n: int = 0) -> str:
+        return "CAST(NULL AS VARCHAR)" if x is None else f"pre || substr(md5({text(x)}), 1, 8) || '#{n}'"
+
+    rows = (
+        f"SELECT {action(said, n)} AS action_id, '{kind}' AS action_type, {action(parent)} AS parent_id, {text(name)} AS name, {text(package)} AS package, {text(executable)} AS executable, {text(cond)} AS cond, {sure}::DOUBLE AS confidence FROM p"
+        for said, n, kind, parent, name, package, executable, cond, sure in FEATURE_ROWS[fmt]
+    )
+    return "WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS ks, CAST(p_size AS VARCHAR) AS z, replace(lower(p_brand), '#', '_') AS b, 'la:file_parts_' || CAST(p_partkey AS VARCHAR) || '_launch:' AS pre FROM part)\n" + " UNION ALL ".join(rows)
+
+
+def launch_documents(spark: SparkSession, d: str, fmt: str, templates: dict[str, str] = LAUNCH) -> DataFrame:
     """(path, format, content) of one launch file a part."""
-    text = F.lit(LAUNCH[fmt])
+    text = F.lit(templates[fmt])
     for key, value in (("k", F.col("p_partkey").cast("string")), ("z", F.col("p_size").cast("string")), ("b", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")))):
         text = F.replace(text, F.lit("{" + key + "}"), value)
     return table(spark, d, "part").select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".launch")).alias("path"), F.lit(fmt).alias("format"), text.alias("content"))
