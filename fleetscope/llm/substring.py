@@ -28,34 +28,60 @@ from pyspark.sql import functions as F
 from .common import MULT, U64, Scratch, as_long, fresh, gram_hashes, hot_keys, map_arrow, mix, word_hashes
 
 WINDOW, SEED = 13, 5
-#: Documents whose equal runs travel as one row.
-SLICE = 1024
+#: Documents, and bytes of text, that are hashed together; their equal runs travel as one row.
+SLICE, SLICE_BYTES = 1024, 4 << 20
 
 
 class Runs:
-    """The runs of a text: window and node hashes, and for each run its first window, size, minimizer and content hash."""
+    """The runs of some texts (lists of words), text after text.
 
-    def __init__(self, words: list[bytes], window: int = WINDOW, seed: int = SEED) -> None:
-        self.hashes = wh = word_hashes(words)
+    owner, at, windows: text, place in it and hash of each window; first, size, minimizer, content: of each run, ``first`` being
+    the place of its first window among all.
+    """
+
+    def __init__(self, texts: list[list[bytes]], window: int = WINDOW, seed: int = SEED) -> None:
+        counts = np.fromiter(map(len, texts), np.int64, count=len(texts))
+        self.hashes = wh = word_hashes([w for words in texts for w in words])
         self.window = window
-        self.windows = gram_hashes(wh, window, salt=11)
-        n = len(self.windows)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        # windows that lie in one text
+        self.place = place = np.flatnonzero(owner[: len(wh) - window + 1] == owner[window - 1 :]) if len(wh) >= window else np.empty(0, np.int64)
+        self.owner = owner[place]
+        self.at = place - (np.cumsum(counts) - counts)[self.owner]
+        self.windows = gram_hashes(wh, window, salt=11)[place]
+        n = len(place)
         if not n:
             self.first, self.size, self.minimizer, self.content = (np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
             return
         grams = gram_hashes(wh, seed)
-        low = grams[:n].copy()
+        low = grams[: len(wh) - window + 1].copy()
         for j in range(1, window - seed + 1):
-            np.minimum(low, grams[j : j + n], out=low)
-        self.first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+            np.minimum(low, grams[j : j + len(low)], out=low)
+        low = low[place]
+        self.first = np.concatenate([[0], np.flatnonzero((low[1:] != low[:-1]) | (self.owner[1:] != self.owner[:-1])) + 1])
         self.minimizer = low[self.first]
         # a run's windows in order: a polynomial over their hashes, and their number
         self.size = np.diff(np.append(self.first, n))
         k = np.arange(n) - np.repeat(self.first, self.size)
         self.content = mix(np.add.reduceat(self.windows * mix(k.astype(np.uint64) + MULT[0]), self.first) + self.size.astype(np.uint64))
 
-    def nodes(self) -> np.ndarray:
-        return gram_hashes(self.hashes, self.window - 1, salt=7)
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node that it starts from, node that it ends in) of each window."""
+        all_ = gram_hashes(self.hashes, self.window - 1, salt=7)
+        return all_[self.place], all_[self.place + 1] if len(self.place) else all_[self.place]
+
+
+def slices(batch: pa.RecordBatch, column: int):
+    """A batch in parts of SLICE rows and about SLICE_BYTES of text at most."""
+    sizes = [len(t or "") for t in batch.column(column).to_pylist()]
+    i = 0
+    while i < len(sizes):
+        j, held = i, 0
+        while j < len(sizes) and j - i < SLICE and (j == i or held + sizes[j] <= SLICE_BYTES):
+            held += sizes[j]
+            j += 1
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def split(text: str | None) -> list[bytes]:
@@ -64,7 +90,7 @@ def split(text: str | None) -> list[bytes]:
 
 def combined(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Rows of one key as one: (index of its first (doc, at), largest doc if there are more, the other (doc, at) pairs)."""
-    order = np.lexsort((at, doc, key))
+    order = np.argsort(key, kind="stable") if (doc[1:] >= doc[:-1]).all() and (at[1:] >= at[:-1])[doc[1:] == doc[:-1]].all() else np.lexsort((at, doc, key))
     k = key[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     end = np.append(first[1:], len(k))
@@ -81,12 +107,11 @@ def text_runs(docs: DataFrame) -> DataFrame:
     """(m, run, doc, at, most, more) of documents (n, text): each run of each, equal ones of a slice in one row."""
 
     def emit(batches):
-        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            found = [Runs(split(t)) for t in b.column(1).to_pylist()]
-            m, run, at = (np.concatenate([getattr(r, c) for r in found]) for c in ("minimizer", "content", "first"))
-            doc = np.repeat(b.column(0).to_numpy(), [len(r.first) for r in found])
-            rows, most, more = combined(run, doc, at)
-            yield pa.RecordBatch.from_arrays([as_long(m[rows]), as_long(run[rows]), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), most, more], names=["m", "run", "doc", "at", "most", "more"])
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            r = Runs([split(t) for t in b.column(1).to_pylist()])
+            doc, at = b.column(0).to_numpy()[r.owner[r.first]], r.at[r.first]
+            rows, most, more = combined(r.content, doc, at)
+            yield pa.RecordBatch.from_arrays([as_long(r.minimizer[rows]), as_long(r.content[rows]), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), most, more], names=["m", "run", "doc", "at", "most", "more"])
 
     return map_arrow(docs.where("n IS NOT NULL").select("n", "text"), emit, "m long, run long, doc long, at int, most long, more binary")
 
@@ -101,27 +126,27 @@ def source_edges(docs: DataFrame) -> DataFrame:
     """
 
     def emit(batches):
-        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            parts: list[tuple] = []
-            opened: list[tuple] = []
-            for doc, t, listed, kinds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                r = Runs(split(t))
-                nodes = r.nodes()
-                want, kinds = listed.values.to_numpy().view(np.uint64), kinds.values.to_numpy()
-                order = np.argsort(want)
-                i = np.minimum(np.searchsorted(want[order], r.content), len(want) - 1)
-                kind = np.where(want[order[i]] == r.content, kinds[order[i]], 0)
-                k = np.flatnonzero(kind & 1)
-                k = k[np.unique(r.content[k], return_index=True)[1]]
-                parts.append((r.content[k], np.full(len(k), doc), r.first[k], r.size[k], nodes[r.first[k]], nodes[r.first[k] + r.size[k]]))
-                p = np.flatnonzero(np.repeat(kind & 2, r.size))
-                opened.append((r.windows[p], np.full(len(p), doc), p, np.ones(len(p), np.int64), nodes[p], nodes[p + 1]))
-            for whole, found in ((True, parts), (False, opened)):
-                cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            r = Runs([split(t) for t in b.column(1).to_pylist()])
+            head, tail = r.nodes()
+            ids = b.column(0).to_numpy()
+            # what is listed for each text, found again among its runs
+            counts = np.diff(b.column(2).offsets.to_numpy())
+            want, kinds = b.column(2).flatten().to_numpy().view(np.uint64), b.column(3).flatten().to_numpy()
+            want = want + np.repeat(np.arange(len(counts)), counts).astype(np.uint64) * MULT[1]
+            order = np.argsort(want)
+            own = r.content + r.owner[r.first].astype(np.uint64) * MULT[1]
+            i = np.minimum(np.searchsorted(want[order], own), len(want) - 1)
+            kind = np.where(want[order[i]] == own, kinds[order[i]], 0)
+            k = np.flatnonzero(kind & 1)
+            k = k[np.unique(own[k], return_index=True)[1]]  # one place a text will do
+            p = np.flatnonzero(np.repeat(kind & 2, r.size))
+            f = r.first[k]
+            for whole, cols in ((True, (r.content[k], ids[r.owner[f]], r.at[f], r.size[k], head[f], tail[f + r.size[k] - 1])), (False, (r.windows[p], ids[r.owner[p]], r.at[p], np.ones(len(p), np.int64), head[p], tail[p]))):
                 rows, most, more = combined(*cols[:3])
-                key, doc, at, n, head, tail = (c[rows] for c in cols)
+                key, doc, at, n, h, t = (c[rows] for c in cols)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), whole)), as_long(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), as_long(head), as_long(tail), most, more],
+                    [pa.array(np.full(len(rows), whole)), as_long(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), as_long(h), as_long(t), most, more],
                     names=["whole", "key", "doc", "at", "n", "head", "tail", "most", "more"],
                 )
 
@@ -189,6 +214,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.where("n IS NOT NULL").select("n", "text")
     runs = scratch.cut(text_runs(docs))
     shared = scratch.cut(runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.count("most").alias("many")).where("n > 1 OR many > 0").select(F.col("m").alias("key"), "n"))
+    scratch.free()
     hot = hot_keys(shared, scratch).select(F.col("key").alias("m"), F.lit(True).alias("hot"))
     marked = runs.join(F.broadcast(hot), "m", "left")  # a hot minimizer's runs meet by content and window, never by minimizer
     rest = marked.where("hot IS NULL").join(shared.select(F.col("key").alias("m")), "m")
@@ -234,18 +260,34 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def covered(words: list[bytes], spans: list[dict], window: int = WINDOW) -> np.ndarray:
-    """A bool for each word: whether a window covers it whose words are, one by one, those of its source."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
-        lo, source = s["lo"], s["words"].encode().split(b" ")
-        own = words[lo : lo + len(source)]
-        same = np.fromiter(map(eq, own, source), bool, count=min(len(own), len(source)))
+def covered(words: list[bytes], los: list[int], sources: list[str], window: int = WINDOW) -> np.ndarray:
+    """A bool for each word: whether a window covers it whose words are, one by one, those of its source.
+
+    ``los``: where spans of windows start; ``sources``: the words there that a smaller document has.
+    """
+    out = np.zeros(len(words), bool)
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, count=len(words)) + 1).tolist()  # one past the blank after each word
+    for lo, source in zip(los, sources, strict=True):
+        said = source.encode()
+        n = said.count(b" ") + 1
+        if lo + n <= len(words) and text[ends[lo - 1] if lo else 0 : ends[lo + n - 1] - 1] == said:  # most spans, at once
+            out[lo : lo + n] = True
+            continue
+        theirs = said.split(b" ")
+        own = words[lo : lo + n]
+        same = np.fromiter(map(eq, own, theirs), bool, count=len(own))
         total = np.concatenate([[0], np.cumsum(same)])
-        at = lo + np.flatnonzero(total[window:] - total[:-window] == window)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+        for at in np.flatnonzero(total[window:] - total[:-window] == window).tolist():
+            out[lo + at : lo + at + window] = True
+    return out
+
+
+def _spans(column: pa.ListArray) -> list[tuple[list[int], list[str]] | None]:
+    """(los, words) of each row's spans."""
+    at, flat = column.offsets.to_pylist(), column.values
+    los, said = flat.field("lo").to_pylist(), flat.field("words").to_pylist()
+    return [(los[i:j], said[i:j]) if j > i else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def numbered(docs: DataFrame, n: str, scratch: Scratch) -> DataFrame:
@@ -270,11 +312,11 @@ def substring_digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def digest(batches):
         for b in batches:
             n, gone, said = [], [], []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, spans in zip(b.column(1).to_pylist(), _spans(b.column(2)), strict=True):
                 words = split(t)
                 n.append(len(words))
                 if spans:
-                    out = covered(words, spans)
+                    out = covered(words, *spans)
                     gone.append(int(out.sum()))
                     words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
                 else:
@@ -310,9 +352,9 @@ def drop_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, sizes = [], []
-            for t, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            for t, spans in zip(b.column(at).to_pylist(), _spans(b.column(len(names))), strict=True):
                 if spans:
-                    out = covered(split(t), spans)
+                    out = covered(split(t), *spans)
                     t = cut(t, out) if out.any() else t
                 texts.append(t)
                 sizes.append(None if t is None else len(t))

@@ -73,7 +73,7 @@ def test_colliding_hashes_remove_nothing(spark, scratch, docs_of, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(substring, "word_hashes", lambda words: np.zeros(len(words), np.uint64))
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)]  # all bytes differ
     assert [r["n_removed"] for r in substring.substring_digest(docs_of(rows), scratch).collect()] == [0] * 6
     rows.append((9, rows[0][1]))
     got = {r["doc_id"]: r["n_removed"] for r in substring.substring_digest(docs_of(rows), scratch).collect()}
