@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,18 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Python gets batches of so many rows at most in what is computed meanwhile: for rows that hold several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that an input doesn't have."""
     held = {t.lower() for t in taken}

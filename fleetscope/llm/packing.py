@@ -65,8 +65,11 @@ def chunk_ids(path: str, most: int = MOST_CHUNKS) -> ChunkIds:
     return ChunkIds(path, most)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut from the back into full pieces."""
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS, forget: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut from the back into full pieces.
+
+    ``forget``: a worker drops the encoder and its table with the task, so that other work finds the memory free.
+    """
 
     def run(batches):
         enc = chunk_ids(path, most_chunks)
@@ -90,6 +93,8 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, most_chunks:
                         at, k, size = at + size, k + 1, capacity
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            chunk_ids.cache_clear()
 
     rows = docs.select("doc_id", "text")
     return map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
@@ -230,14 +235,14 @@ def fewest(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Bins]:
     return min(plans, key=lambda bins: sum(b.count for b in bins))
 
 
-def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS, forget: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
     A null or empty text is its end id alone. Rows that repeat are packed as often as they come; null ids too. Ranks are
     counted within (length, salt), so that a length that a third of all pieces have is spread. Other columns are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    pieces = scratch.cut(pieces_of(docs, path, capacity, most_chunks))
+    pieces = scratch.cut(pieces_of(docs, path, capacity, most_chunks, forget))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     bins = fewest(histogram, capacity)
     lengths = docs.sparkSession.createDataFrame([(n, -(-c // max(GROUP, math.isqrt(c)))) for n, c in histogram.items()], "length long, salts long")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, as_long, map_arrow, mix, ragged, shingle_hashes, word_hashes
+from .common import U64, Scratch, as_long, map_arrow, mix, ragged, shingle_hashes, small_batches, word_hashes
 from .components import connected_components
 
 TILE = 512
@@ -329,7 +329,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
         pairs = possible_pairs(told.select("rows"), spanning)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        new = scratch.cut(similar(scratch.cut(pairs), texts, k))
+        pairs = scratch.cut(pairs)
+        with small_batches(scratch.spark, 256):
+            new = scratch.cut(similar(pairs, texts, k))
         seen = new if seen is None else seen.unionByName(new)
         scratch.free()
     roots = connected_components(seen.where("near"), scratch)
