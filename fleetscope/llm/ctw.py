@@ -21,8 +21,8 @@ from .common import U64, Scratch, as_long, map_arrow, word_hashes
 
 DEPTH = 5
 #: Grams whose log probabilities, and tokens whose counts, are broadcast at most; all others are joined.
-MOST_GRAMS, MOST_TOKENS = 1 << 20, 1 << 20
-BLOCK = 1 << 20
+MOST_GRAMS, MOST_TOKENS = 1 << 19, 1 << 18
+BLOCK = 1 << 18
 
 
 def gram_blocks(texts: list[bytes], block: int = BLOCK):
@@ -60,7 +60,7 @@ def _codes(x: np.ndarray) -> np.ndarray:
 class Tally:
     """Counts of keys, merged now and then, so that memory follows the distinct keys."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    def __init__(self, most: int = 1 << 19) -> None:
         self.keys, self.counts, self.waiting, self.most = [], [], 0, most
 
     def add(self, key: np.ndarray) -> None:
@@ -90,7 +90,7 @@ class Tally:
 
 
 #: Documents in Python's hands at a time; distinct keys that a task keeps.
-SLICE, MOST_KEPT = 1024, 2 << 20
+SLICE, MOST_KEPT = 512, 1 << 20
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -513,12 +513,14 @@ def language_model_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
         f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, size long, asked array<struct<kind: tinyint, key: long, times: long>>",
     )
     scored = scratch.cut(scored)
+    shared.destroy()
     # what is not broadcast is looked up once each: tokens among the counts, grams in the tree
     each = scored.select("row", F.explode("asked").alias("a")).select("row", "a.*")
     distinct_ = scratch.cut(each.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
     tokens = distinct_.where("kind = 0").select("kind", "key").join(counts.where("kind = 0").select("key", "n"), "key", "left").select("kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
     logs = tree.log10(distinct_.where("kind = 1").select("key")).select(F.lit(1).cast("tinyint").alias("kind"), "key", F.col("log").alias("value"))
     values = scratch.cut(tokens.unionByName(logs))
+    tree.top.destroy()
     many = distinct_.where(F.col("n") > max(256, (distinct_.agg(F.sum("n")).first()[0] or 0) // 4096)).select("kind", "key")
     hot = values.join(many, ["kind", "key"]).withColumnRenamed("value", "hot")  # 4096 rows at most
     marked = each.join(F.broadcast(hot), ["kind", "key"], "left")
