@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +27,21 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Python gets batches of so many rows at most in what is computed meanwhile: for rows that hold several texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for what is computed meanwhile."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, rows: int):
+    """Python gets batches of so many rows at most in what is computed meanwhile: for rows that hold several texts."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that an input doesn't have."""
     held = {t.lower() for t in taken}
@@ -47,10 +51,14 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut the lineage, survive lost executors and give the planner true sizes."""
+    """Tables written to the shared folder: they cut the lineage, survive lost executors and give the planner true sizes.
+
+    With ``release`` the shuffle files of a step go as soon as its table is written, not when Spark's cleaner gets to them.
+    """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, release: bool = False) -> None:
         self.spark = spark
+        self.release = release
         self.root = folder(spark, "fleetscope")
         self.n = 0
 
@@ -58,14 +66,22 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true") if self.release else nullcontext():
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of cut() that no plan needs any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables of cut(), when no plan needs any."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def free(self) -> None:

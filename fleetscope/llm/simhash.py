@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     fps = scratch.cut(prefixes(rows, k, common_shingles(rows, k)))
-    classes = scratch.cut(fps.groupBy("words").agg(F.min("doc_id").alias("low")))
+    held = scratch.cut(fps.select("doc_id", "words"))
+    classes = scratch.cut(held.groupBy("words").agg(F.min("doc_id").alias("low")))
     lowest = classes.select(F.col("words").alias("id"), F.col("low").alias("doc_id"))
     first = fps.join(lowest, "doc_id").where("words = id").select("id", "size", "print", "keys")
     met = posting_lists(first.select(F.explode("keys").alias("key"), F.col("id").alias("member")), scratch, tile=256)
@@ -315,8 +316,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
     each = scratch.cut(lists.select("list", F.explode("ids").alias("id")))
     scratch.free()
     members = scratch.cut(first.select("id", "size", "print").join(each.select("id").distinct(), "id").dropDuplicates(["id"]))
-    wanted = members.select("id").join(lowest, "id")
-    texts = scratch.cut(rows.join(wanted, "doc_id").select("id", "text").dropDuplicates(["id"]))
+    for done in (fps, lists):  # keys and lists take the most disk
+        scratch.drop(done)
     seen = None
     for spanning in (True, False):
         found, of_lists = members.withColumn("root", F.col("id")), each
@@ -330,20 +331,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(lowest, "id")
+        texts = scratch.cut(rows.join(wanted, "doc_id").dropDuplicates(["doc_id", "id"]).select("id", "text"))  # of these pairs only
         with small_batches(scratch.spark, 256):
             new = scratch.cut(similar(pairs, texts, k))
+        scratch.drop(texts)
         seen = new if seen is None else seen.unionByName(new)
         scratch.free()
     roots = connected_components(seen.where("near"), scratch)
     named = classes.join(roots.withColumnRenamed("node", "words"), "words", "left").select("words", "low", F.coalesce("root", "words").alias("root"))
     best = scratch.cut(named.groupBy("root").agg(F.min("low").alias("keep")))
     named = scratch.cut(named.join(best, "root").select("words", "keep"))
-    return fps.select("doc_id", "words").join(named, "words").select("doc_id", "keep")
+    return held.join(named, "words").select("doc_id", "keep")
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies; rows with a null id stay."""
-    groups = near_duplicates(docs, scratch, k)
+    own = Scratch(scratch.spark, scratch.release)
+    groups = near_duplicates(docs, own, k)
     gone = scratch.cut(groups.where("doc_id <> keep").select("doc_id").distinct())
+    own.clear()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import brute
-from fleetscope.llm import components, embedding, simhash
+from fleetscope.llm import common, components, embedding, simhash
 
 
 def test_simhash_matches_brute_force(spark, scratch, docs_of, prose):
@@ -136,6 +136,26 @@ def test_near_duplicates_odd_rows(spark, scratch, docs_of):
     assert got == sorted([None, None, 4, 4, 1], key=repr)
 
 
+def test_near_duplicates_fetch_only_texts_they_compare(spark, scratch, docs_of, monkeypatch):
+    rng = random.Random(23)
+    make = lambda n: rng.choices([f"u{j}" for j in range(3000)], k=n)
+    passages = [make(30) for _ in range(25)]
+    rows = [(i, " ".join(make(90) + passages[i % 25])) for i in range(100)]  # keys in common, but not near
+    rows.append((900, rows[0][1] + " more"))
+    fetched, cut = [], common.Scratch.cut
+
+    def watched(self, df):
+        out = cut(self, df)
+        if "text" in out.columns:
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", watched)
+    kept = simhash.drop_near_duplicates(docs_of(rows), scratch)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(range(100))
+    assert sum(fetched) == 2
+
+
 def test_hubs_are_split(spark, scratch, monkeypatch):
     monkeypatch.setattr(components, "HUB_LEAST", 3)
     test_components_of_chains_and_stars(spark, scratch)

@@ -1,4 +1,6 @@
 import math
+import time
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -6,6 +8,7 @@ import pytest
 import brute
 import __spark_entry__ as entry
 import corpus_pipeline as P
+from fleetscope.llm.common import Scratch, setting
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +67,27 @@ def test_stages_take_odd_rows(spark, sf_dir):
     assert P.packing(spark, rows, sf_dir).count() == 6
 
 
+def test_near_duplicate_stage_leaves_little_on_disk(spark, sf_dir, docs_of, prose):
+    tables = lambda: {p.parent for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")}
+    docs, held = docs_of(prose), tables()
+    kept = P.near_duplicates(spark, docs, sf_dir)
+    assert len(tables() - held) == 1  # the ids that go
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {1, 55} <= ids and not ids & {53, 54, 56, 57}
+
+
+def test_written_tables_release_their_shuffles(spark, docs_of, prose):
+    shuffles = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = shuffles()
+    with setting(spark, "spark.sql.adaptive.enabled", "true"):
+        table = Scratch(spark, release=True).cut(docs_of(prose).groupBy("doc_id").count())
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:  # files go in the background
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == len(prose)
+
+
 def test_packing_stage(stages):
     rows = stages[4].collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stages[3].collect()}
