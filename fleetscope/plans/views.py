@@ -7,6 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -227,11 +229,12 @@ def feature_sql(fmt: str) -> str:
 
 
 def launch_documents(spark: SparkSession, d: str, fmt: str, templates: dict[str, str] = LAUNCH) -> DataFrame:
-    """(path, format, content) of one launch file a part."""
+    """(path, format, content) of one launch file a part. The parts are dealt to all cores before their texts are made: a table of small rows is read in few tasks, its texts take long to parse."""
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_size", "p_brand"))
     text = F.lit(templates[fmt])
     for key, value in (("k", F.col("p_partkey").cast("string")), ("z", F.col("p_size").cast("string")), ("b", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")))):
         text = F.replace(text, F.lit("{" + key + "}"), value)
-    return table(spark, d, "part").select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".launch")).alias("path"), F.lit(fmt).alias("format"), text.alias("content"))
+    return parts.select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".launch")).alias("path"), F.lit(fmt).alias("format"), text.alias("content"))
 
 
 def launch_sql(fmt: str) -> str:

@@ -30,6 +30,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return made
 
 
+#: Tasks a core that spread() makes, so that cores which end early take more.
+TASKS_A_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to all cores, for rows that are small to read and slow to work on: however few files or row groups hold them."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once and read back: its plan starts there, and lost executors cost nothing that came before."""
     path = f"{folder(df.sparkSession, name)}/0"

@@ -48,6 +48,18 @@ def parse(path: str, fmt: str, text: str) -> list[dict]:
         return [program.failed(path, fmt, f"{type(e).__name__}: {e}")]
 
 
+#: Rows that leave a worker together: what it holds at once doesn't grow with the rows of a document.
+BATCH_ROWS = 2048
+
+
+def record_batch(rows: list[dict], target: pa.Schema) -> pa.RecordBatch:
+    """Rows of program.SCHEMA; a map that is not there is an empty one."""
+    for r in rows:
+        for m in ("parameters", "argument_mappings"):
+            r[m] = list((r[m] or {}).items())
+    return pa.RecordBatch.from_pylist(rows, target)
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """program.SCHEMA rows of documents (path, format, content: string or binary)."""
     ship(docs.sparkSession)
@@ -55,15 +67,15 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches):
-        maps = [f.name for f in target if pa.types.is_map(f.type)]
         for b in batches:
             rows = []
             for path, fmt, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 rows += parse(path, fmt, content.decode("utf-8", "replace") if isinstance(content, bytes) else content or "")
-            for r in rows:
-                for m in maps:
-                    r[m] = list((r[m] or {}).items())
-            yield pa.RecordBatch.from_pylist(rows, target)
+                if len(rows) >= BATCH_ROWS:
+                    yield record_batch(rows, target)
+                    rows = []
+            if rows:
+                yield record_batch(rows, target)
 
     return docs.select("path", "format", "content").mapInArrow(run, schema)
 
@@ -264,9 +276,10 @@ def documents_model(files: DataFrame) -> LaunchModel:
                     rows += program.from_document(json.loads(content))
                 except Exception as e:  # as in parse()
                     rows.append(program.failed(p, "json", f"{type(e).__name__}: {e}"))
-            for r in rows:
-                for m in ("parameters", "argument_mappings"):
-                    r[m] = list((r[m] or {}).items())
-            yield pa.RecordBatch.from_pylist(rows, target)
+                if len(rows) >= BATCH_ROWS:
+                    yield record_batch(rows, target)
+                    rows = []
+            if rows:
+                yield record_batch(rows, target)
 
     return LaunchModel(files.select("path", "content").mapInArrow(run, schema))
